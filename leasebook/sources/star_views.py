@@ -8,6 +8,7 @@ the session. FIXTURES.md says which case each rule brings about.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -220,35 +221,55 @@ def needed_views(sql: str, views: dict[str, str] | None = None) -> list[str]:
     return [name for name in views if name in found]
 
 
-def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
-    """The statement behind a WITH clause of the views it reads."""
-    views = {**(extra or {}), **VIEWS}
+def with_views(sql: str, before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> str:
+    """The statement behind a WITH clause of the views it reads, from `before`, VIEWS and `after`."""
+    views = {**(before or {}), **VIEWS, **(after or {})}
     ctes = [f"{name} AS ({views[name].strip()})" for name in needed_views(sql, views)]
     return f"WITH {', '.join(ctes)} {sql}" if ctes else sql
 
 
 class StarSource:
-    """Reads the star schema of one directory and derives billing tables from it."""
+    """Reads the star schema of one directory and derives billing tables from it, each when first used."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune_session(spark)
-        self._files = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in BASE_TABLES}
-        self._cache: dict[str, DataFrame] = {}
+        self._sf_dir = sf_dir
+        self._base: dict[str, str] = {}
+        self._bytes = 0
+        self._views: dict[str, DataFrame] = {}
+
+    def _read_base(self, name: str) -> None:
+        """Name a base table for SQL and fit the number of shuffle partitions to the bytes read."""
+        table = self.spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+        view = f"star_{uuid.uuid4().hex}_{name}"
+        table.createOrReplaceTempView(view)
+        self._base[name] = f"SELECT * FROM {view}"
+        self._bytes += plan_bytes(table)
+        size_shuffles(self.spark, self._bytes)
 
     def query(self, sql: str) -> DataFrame:
-        return self.spark.sql(with_views(sql, self._files))
+        for name in needed_views(sql, {**VIEWS, **dict.fromkeys(BASE_TABLES, "")}):
+            if name in BASE_TABLES and name not in self._base:
+                self._read_base(name)
+        return self.spark.sql(with_views(sql, self._base))
 
     def view(self, name: str) -> DataFrame:
-        if name not in self._cache:
-            self._cache[name] = self.query(f"SELECT * FROM {name}")
-        return self._cache[name]
+        if name not in self._views:
+            self._views[name] = self.query(f"SELECT * FROM {name}")
+        return self._views[name]
 
     def tables(self) -> BillingTables:
-        return BillingTables(**{f: self.view(f) for f in BillingTables.__dataclass_fields__})
+        return _LazyTables(self, "")
 
     def soft_tables(self) -> SoftTables:
-        return SoftTables(**{f: self.view(f"soft_{f}") for f in SoftTables.__dataclass_fields__})
+        return _LazyTables(self, "soft_")
 
-    def size_shuffles(self) -> int:
-        """Fit the number of shuffle partitions to the bytes of the base tables."""
-        return size_shuffles(self.spark, sum(plan_bytes(self.spark.sql(s)) for s in self._files.values()))
+
+class _LazyTables:
+    """Stands in for BillingTables or SoftTables; a table is planned when it is asked for."""
+
+    def __init__(self, source: StarSource, prefix: str):
+        self._source, self._prefix = source, prefix
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._source.view(self._prefix + name)
