@@ -30,20 +30,19 @@ def changed_packages(new_rows: list[DataFrame]) -> DataFrame:
     return packages.distinct()
 
 
-def change_log_rows(changed: DataFrame, next_changes: DataFrame, logins: DataFrame,
+def change_log_rows(changed: DataFrame, next_changes: DataFrame, accepted: DataFrame,
                     logs: dict[str, tuple[DataFrame, DataFrame, str]], as_of) -> DataFrame:
     """One version row per changed package with the highest change id of each part.
 
-    `logs` maps an output column to (log before, new rows, id column). Each log is brought to
-    one row per package before they meet, instead of joining the logs row by row.
+    `logs` maps an output column to (log before, new rows, id column). Each log is cut to the
+    accepted packages and brought to one row per package before they meet, instead of joining
+    the logs row by row.
     """
-    rows = changed.join(next_changes, "PackageID").join(logins.select("PackageID", "LoginName"), "PackageID")
+    rows = changed.join(next_changes, "PackageID").join(accepted.select("PackageID", "LoginName"), "PackageID")
     for column, (log, new, id_column) in logs.items():
-        ids = log.select("PackageID", F.col(id_column).alias(column)).unionByName(
-            new.select("PackageID", F.col(id_column).alias(column))
-        )
-        rows = rows.join(for_packages(ids, changed).groupBy("PackageID").agg(F.max(column).alias(column)),
-                         "PackageID", "left")
+        logged = for_packages(log.select("PackageID", F.col(id_column).alias(column)), accepted)
+        ids = logged.unionByName(new.select("PackageID", F.col(id_column).alias(column)))
+        rows = rows.join(ids.groupBy("PackageID").agg(F.max(column).alias(column)), "PackageID", "left")
     return rows.select("PackageID", "ChangeID", *logs, as_of.alias("Updated"), F.col("LoginName").alias("UpdatedBy"))
 
 

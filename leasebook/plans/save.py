@@ -58,6 +58,11 @@ class CheckedBatch:
             self.accepted.select("submission_id", "PackageID"), "submission_id"
         )
 
+    stage_parts = False  # stage the smaller comparisons too; worth it when all outputs are wanted
+
+    def _shared(self, df: DataFrame) -> DataFrame:
+        return stage(df) if self.stage_parts else df
+
     def messages(self, diff: DataFrame) -> DataFrame:
         """Line notices are only shown where they are the reason for the refusal."""
         refused = self.refused.withColumn("_show", F.col("ErrorText") == submissions.BAD_LINES)
@@ -88,16 +93,16 @@ class SaveBatch(CheckedBatch):
 
     @cached_property
     def header_diff(self) -> DataFrame:
-        return parts.diff_header(self.accepted, self.tables.header, null_safe=self._null_safe)
+        return self._shared(parts.diff_header(self.accepted, self.tables.header, null_safe=self._null_safe))
 
     @cached_property
     def partner_diff(self) -> DataFrame:
-        return parts.diff_partner(self.accepted, self.tables.partner, self.tables.partner_log,
-                                  null_safe=self._null_safe)
+        return self._shared(parts.diff_partner(self.accepted, self.tables.partner, self.tables.partner_log,
+                                               null_safe=self._null_safe))
 
     @cached_property
     def note_diff(self) -> DataFrame:
-        return parts.diff_note(self.accepted, self.tables.note, null_safe=self._null_safe)
+        return self._shared(parts.diff_note(self.accepted, self.tables.note, null_safe=self._null_safe))
 
     @cached_property
     def next_changes(self) -> DataFrame:
@@ -105,7 +110,7 @@ class SaveBatch(CheckedBatch):
 
     @cached_property
     def _maxima(self) -> DataFrame:
-        return details.log_maxima(self.tables.detail_log, self.accepted)
+        return self._shared(details.log_maxima(self.tables.detail_log, self.accepted))
 
     # New log rows
 
@@ -203,16 +208,16 @@ class SoftSaveBatch(CheckedBatch):
 
     @cached_property
     def header_diff(self) -> DataFrame:
-        return parts.diff_header(self.accepted, self.tables.header, "ChangeID", detect_change=False)
+        return self._shared(parts.diff_header(self.accepted, self.tables.header, "ChangeID", detect_change=False))
 
     @cached_property
     def partner_diff(self) -> DataFrame:
-        return parts.diff_partner(self.accepted, self.tables.partner, self.tables.partner_log, "ChangeID", True,
-                                  self._null_safe)
+        return self._shared(parts.diff_partner(self.accepted, self.tables.partner, self.tables.partner_log, "ChangeID",
+                                               True, self._null_safe))
 
     @cached_property
     def note_diff(self) -> DataFrame:
-        return parts.diff_note(self.accepted, self.tables.note, "ChangeID", True, self._null_safe)
+        return self._shared(parts.diff_note(self.accepted, self.tables.note, "ChangeID", True, self._null_safe))
 
     @cached_property
     def next_changes(self) -> DataFrame:
