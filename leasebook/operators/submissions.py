@@ -39,7 +39,9 @@ def _parsed_documents(submissions: DataFrame) -> DataFrame:
                "ignoreSurroundingSpaces": "false"}
     document = F.from_xml("LinesXml", f"r array<struct<{fields}>>, _corrupt string", options)
     filled = F.length(F.col("LinesXml")) > 0
-    parsed = submissions.select("submission_id", "LinesXml", F.when(filled, document).alias("_doc"))
+    # Exploding a one-element array keeps later filters from being moved below the parser,
+    # which would parse every document once per reference.
+    parsed = submissions.select("submission_id", F.explode(F.array(F.when(filled, document))).alias("_doc"))
 
     def unreadable(line: Column) -> Column:
         bad = F.lit(False)
