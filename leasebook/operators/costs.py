@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.functions.dates import month_diff
@@ -22,7 +22,7 @@ def _months():
     return month_diff(F.col("LicenseStartDate"), F.col("LicenseExpirationDate"))
 
 
-def renewal_cost(detail: DataFrame, header: DataFrame, name: str = "CalculatedRenewalCost") -> DataFrame:
+def renewal_cost(detail: DataFrame, header: DataFrame) -> DataFrame:
     """PackageID and the cost of renewing the package for one more term.
 
     Packages without lines have no row; lines without a header belong to no package.
@@ -31,10 +31,29 @@ def renewal_cost(detail: DataFrame, header: DataFrame, name: str = "CalculatedRe
     return (
         _monthly(detail, ["PackageID"])
         .join(terms, "PackageID")
-        .select("PackageID", package_cost(_months(), F.col("_monthly"), F.col("PackageDiscount")).alias(name))
+        .select("PackageID", term_cost().alias("CalculatedRenewalCost"))
     )
 
 
+def package_summary(detail: DataFrame, base_item_id: int) -> DataFrame:
+    """Per package the base item's quantity and price and the monthly amount, in one pass over the lines.
+
+    A package holds an item at most once, so the maximum picks the base item's row.
+    """
+    is_base = F.col("ItemID") == base_item_id
+    amount = line_amount(*[F.col(c) for c in LINE_AMOUNT_ARGS])
+    return detail.groupBy("PackageID").agg(
+        F.max(F.when(is_base, F.col("Quantity"))).alias("LicensedUsers"),
+        F.max(F.when(is_base, F.col("Price"))).alias("BasePrice"),
+        F.sum(amount).alias("_monthly"),
+    )
+
+
+def term_cost() -> Column:
+    """Renewal cost of a header row joined with its `package_summary`; NULL without lines."""
+    return package_cost(_months(), F.col("_monthly"), F.col("PackageDiscount"))
+
+
 def history_cost(detail_log: DataFrame, header_log: DataFrame) -> DataFrame:
     """Cost over the logs, joined on PackageID only, one row per package, term and discount.
 

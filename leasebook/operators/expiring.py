@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from leasebook.functions.dates import month_diff, read_date_range
 from leasebook.functions.joins import lookup_join
+from leasebook.functions.money import COST
 from leasebook.functions.text import is_blank
 from leasebook.model import BASE_ITEM_ID, BillingTables
-from leasebook.operators.costs import renewal_cost
-from leasebook.operators.shared import base_item_rows, named_partners, with_client
+from leasebook.operators.costs import package_summary, term_cost
+from leasebook.operators.shared import named_partners, with_client
 
 # Notices for unreadable dates.
 BAD_START = "the start date filter entered could not be interpreted"
@@ -39,14 +40,13 @@ def expiring_finder(t: BillingTables, start_ym: str = "", end_ym: str = "", clie
     rows = (
         named.join(named_partners(t.partner, t.client, partner_text), "PackageID",
                    "left" if is_blank(partner_text) else "inner")
-        .join(base_item_rows(t.detail, base_item_id, ["PackageID"]), "PackageID", "left")
-        .join(renewal_cost(t.detail, header), "PackageID", "left")
+        .join(package_summary(t.detail, base_item_id), "PackageID", "left")
         .select(
             "ClientName", "ClientPartnerName", "Location", "BillingContactName", "BillingEmail", "PackageID",
             F.coalesce("LicensedUsers", F.lit(0)).alias("LicensedUsers"), "UserMinimum", "BasePrice",
             "LicenseStartDate", "LicenseExpirationDate",
             month_diff(F.col("LicenseStartDate"), F.col("LicenseExpirationDate")).alias("DurationMonths"),
-            F.coalesce("CalculatedRenewalCost", F.lit(0).cast("decimal(28,4)")).alias("CalculatedRenewalCost"),
+            F.coalesce(term_cost(), F.lit(0).cast(COST)).alias("CalculatedRenewalCost"),
         )
     )
     # PackageID breaks ties, so one very frequent date does not end in a single sort partition.
@@ -86,10 +86,7 @@ def expiring_package_info(t: BillingTables, start_ym: str = "", end_ym: str = ""
         header = _in_range(header, start, end).join(
             named_partners(t.partner, t.client, partner_text).select("PackageID"), "PackageID", "left_semi"
         )
-    rows = (
-        header.join(base_item_rows(t.detail, base_item_id, ["PackageID"]), "PackageID", "left")
-        .join(renewal_cost(t.detail, header), "PackageID", "left")
-    )
+    rows = header.join(package_summary(t.detail, base_item_id), "PackageID", "left")
     if sort:
         # The latest expiry per client is grouped and joined back rather than taken over a
         # window, because a window would hold all packages of the largest client in one task.
@@ -102,5 +99,5 @@ def expiring_package_info(t: BillingTables, start_ym: str = "", end_ym: str = ""
         "PackageID", F.coalesce("LicensedUsers", F.lit(0)).alias("LicensedUsers"), "UserMinimum", "BasePrice",
         "LicenseStartDate", "LicenseExpirationDate",
         month_diff(F.col("LicenseStartDate"), F.col("LicenseExpirationDate")).alias("DurationMonths"),
-        F.coalesce("CalculatedRenewalCost", F.lit(0).cast("decimal(28,4)")).alias("CalculatedRenewalCost"),
+        F.coalesce(term_cost(), F.lit(0).cast(COST)).alias("CalculatedRenewalCost"),
     )

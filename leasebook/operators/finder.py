@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leasebook.functions.dates import add_years, month_diff, read_date_range
 from leasebook.functions.text import is_blank, where_text, yes_no_arg
 from leasebook.model import BASE_ITEM_ID, BillingTables
-from leasebook.operators.costs import history_cost, history_cost_v0, renewal_cost, version_cost
+from leasebook.operators.costs import history_cost, history_cost_v0, package_summary, term_cost, version_cost
 from leasebook.operators.shared import base_item_rows, named_partners, with_client
 
 # Notices, provenance and status texts, default date span, sort order.
@@ -97,9 +97,9 @@ def _current_rows(t: BillingTables, header: DataFrame, s: FinderSearch) -> DataF
     notes = where_text(t.note, "Note", s.note_text).select("PackageID", "Note")
     return (
         header.join(named_partners(t.partner, t.client, s.partner_text), "PackageID", _how(s.partner_text))
-        .join(base_item_rows(t.detail, s.base_item_id, ["PackageID"]), "PackageID", "left")
         .join(notes, "PackageID", _how(s.note_text))
-        .join(renewal_cost(t.detail, header, "TotalPackageCost"), "PackageID", "left")
+        .join(package_summary(t.detail, s.base_item_id), "PackageID", "left")
+        .withColumn("TotalPackageCost", term_cost())
     )
 
 
