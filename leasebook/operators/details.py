@@ -120,13 +120,15 @@ def change_items_rows(diff: DataFrame, maxima: DataFrame, next_changes: DataFram
         F.col("_group_max")
     )
     in_after, in_before = F.col("Action") != "DELETE", F.col("Action") != "INSERT"
-    rows = (
-        diff.join(maxima.select("PackageID", "ItemID", "_group_max"), ["PackageID", "ItemID"], "left")
-        .join(next_groups(maxima), "PackageID", "left")
+    # Everything known per package is brought together first, so the lines meet it in one join.
+    package = (
+        next_changes.join(next_groups(maxima), "PackageID", "left")
         .join(details_changed(diff), "PackageID", "left")
-        .join(next_changes, "PackageID")
         .join(changed.select("PackageID", F.lit(True).alias("_versioned")).distinct(), "PackageID", "left")
     )
+    rows = diff.join(
+        maxima.select("PackageID", "ItemID", "_group_max"), ["PackageID", "ItemID"], "left"
+    ).join(package, "PackageID")
     if post_image:
         rows = rows.where(in_after & F.col("_versioned"))
         group = after_group

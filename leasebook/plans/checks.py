@@ -234,9 +234,8 @@ C["pad_blank_rows"] = """
 SELECT * FROM c_package_lines UNION ALL
 SELECT request_id, '', NULL, NULL, NULL, NULL FROM (SELECT request_id, unnest(range(5)) FROM requests) k"""
 C["pad_empty_text_rows"] = """
-SELECT request_id, ItemName, CAST(CAST(trunc(ItemPrice) AS INT) AS VARCHAR) AS ItemPrice,
-  CAST(Quantity AS VARCHAR) AS Quantity, CAST(CAST(ItemDiscount * 100 AS INT) AS VARCHAR) AS ItemDiscount,
-  CAST(NULL AS VARCHAR) AS LicenseFactor FROM c_package_lines
+SELECT request_id, ItemName, CAST(ItemPrice AS VARCHAR) AS ItemPrice, CAST(Quantity AS VARCHAR) AS Quantity,
+  CAST(ItemDiscount AS VARCHAR) AS ItemDiscount, CAST(LicenseFactor AS VARCHAR) AS LicenseFactor FROM c_package_lines
 UNION ALL SELECT request_id, '', '', '', '', '' FROM (SELECT request_id, unnest(range(5)) FROM requests) k"""
 C["end_of_list_rows"] = """
 SELECT request_id, 'END_OF_LIST' AS EndOfListKey, '' AS ItemName, '' AS ItemPrice, '' AS Quantity, '' AS ItemDiscount,

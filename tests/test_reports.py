@@ -145,3 +145,26 @@ def test_lookups_and_padding(spark, t):
     lines = spark.createDataFrame([(1, "a", D(1), 2, D(0), D(0))], "request_id int, ItemName string, ItemPrice decimal(19,4),"
                                   " Quantity int, ItemDiscount decimal(5,4), LicenseFactor decimal(5,4)")
     assert padding.pad_empty_text_rows(lines, keys).where("Quantity = ''").count() == 5
+
+
+def test_hot_package_is_split_over_tasks(spark):
+    """A third of all lines in one package: adaptive execution splits its join partition."""
+    lines = spark.range(300_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 10 ELSE id END AS PackageID", "id AS ItemID", "CAST(1 AS DECIMAL(19,4)) AS Price",
+        "1 AS Quantity", "CAST(0 AS DECIMAL(5,4)) AS Discount", "CAST(0 AS DECIMAL(5,4)) AS LicenseFactor")
+    requests = spark.range(300_000).selectExpr("id AS request_id", "id AS PackageID")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "400KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16"}
+    before = {k: spark.conf.get(k) for k in conf if k != "spark.sql.adaptive.coalescePartitions.initialPartitionNum"}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        joined = versions._current_lines(requests, lines)
+        assert len(joined.collect()) == 300_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
