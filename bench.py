@@ -1,6 +1,6 @@
 """Times headline queries and prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3,
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2,
 after one warm-up). A query's figure is the median; the value is their sum.
 """
 
@@ -28,7 +28,7 @@ def run_once(spark, name: str, sf_dir: str) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session("leasebook-bench", os.environ.get("BENCH_CPUS", "8"))
     seconds = {}
     for name in HEADLINE:

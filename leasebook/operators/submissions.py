@@ -79,19 +79,27 @@ def _ids_by_name(table: DataFrame, id_column: str, name_column: str) -> DataFram
     return table.groupBy(text_key(F.col(name_column)).alias("_name")).agg(F.min(id_column).alias(id_column))
 
 
-def assign_package_ids(submissions: DataFrame, header: DataFrame) -> DataFrame:
-    """Add FinalPackageID and IsNew: known packages keep their id, others continue after the highest.
+def mark_new_packages(submissions: DataFrame, header: DataFrame) -> DataFrame:
+    """Add IsNew: the package id is 0 or belongs to no package."""
+    known = header.select("PackageID", F.lit(True).alias("_known"))
+    is_new = F.col("_known").isNull() | (F.col("PackageID") == 0)
+    return submissions.join(known, "PackageID", "left").withColumn("IsNew", is_new).drop("_known")
+
+
+def number_new_packages(marked: DataFrame, header: DataFrame) -> DataFrame:
+    """Add FinalPackageID: known packages keep their id, new ones continue after the highest.
 
     New packages are numbered in the order of submission_id.
     """
-    known = header.select("PackageID", F.lit(True).alias("_known"))
-    marked = submissions.join(known, "PackageID", "left")
-    is_new = F.col("_known").isNull() | (F.col("PackageID") == 0)
-    kept = marked.where(~is_new).drop("_known").withColumn("FinalPackageID", F.col("PackageID"))
-    fresh = number_rows(marked.where(is_new).drop("_known"), "submission_id", "_number")
+    kept = marked.where("NOT IsNew").withColumn("FinalPackageID", F.col("PackageID"))
+    fresh = number_rows(marked.where("IsNew"), "submission_id", "_number")
     highest = header.agg(F.coalesce(F.max("PackageID"), F.lit(0))).scalar()
-    fresh = fresh.withColumn("FinalPackageID", highest + F.col("_number")).drop("_number")
-    return kept.withColumn("IsNew", F.lit(False)).unionByName(fresh.withColumn("IsNew", F.lit(True)))
+    return kept.unionByName(fresh.withColumn("FinalPackageID", highest + F.col("_number")).drop("_number"))
+
+
+def assign_package_ids(submissions: DataFrame, header: DataFrame) -> DataFrame:
+    """Add IsNew and FinalPackageID."""
+    return number_new_packages(mark_new_packages(submissions, header), header)
 
 
 def resolve_items(lines: DataFrame, item: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ class CheckedBatch:
     @cached_property
     def checked(self) -> DataFrame:
         headers = submissions.validate_header(self._batch, self._client)
-        return stage(submissions.submission_errors(headers, self.checked_lines))
+        errors = submissions.submission_errors(headers, self.checked_lines)
+        return stage(submissions.mark_new_packages(errors, self._header))
 
     @cached_property
     def refused(self) -> DataFrame:
@@ -48,7 +49,7 @@ class CheckedBatch:
     def accepted(self) -> DataFrame:
         """Accepted submissions with their final PackageID."""
         ok = self.checked.where("ErrorText IS NULL").drop("ErrorText")
-        numbered = submissions.assign_package_ids(ok, self._header)
+        numbered = submissions.number_new_packages(ok, self._header)
         return stage(numbered.drop("PackageID").withColumnRenamed("FinalPackageID", "PackageID"))
 
     @cached_property
