@@ -15,7 +15,7 @@ def staging_root(spark: SparkSession) -> str:
     required, because another machine could not read a local folder.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
     if not context.master.startswith("local"):
