@@ -12,7 +12,7 @@ import duckdb
 
 import __spark_entry__ as entry
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "benchmark", "labels"]
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
