@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leasebook.llm.common import documents, table
+from leasebook.llm.decontamination import contamination
+from leasebook.llm.minhash_dedup import groups
 from leasebook.llm.substring_dedup import remove_repeats
 
 
@@ -16,10 +18,24 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(documents(spark, sf_dir), shingle_words=4)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 SQL = {
@@ -34,5 +50,35 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
            lambda z: NOT list_contains(coalesce(gone, []), z[2])), lambda z: z[1]), ' '), '')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)
+""",
+    "op5_minhash_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '{WORDS}'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id,
+       s.doc_id <= coalesce(m, s.doc_id) AS kept
+FROM s LEFT JOIN c USING (doc_id)
+""",
+    "op9_decontamination": rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '{LETTERS}'), []) AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '{LETTERS}') AS w FROM benchmark WHERE text IS NOT NULL),
+z AS (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, size, array_to_string(w[s:s+size-1], ' ') AS win FROM z),
+k AS (SELECT DISTINCT size FROM iw),
+ds AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, k WHERE len(w) >= size),
+dw AS (SELECT doc_id, size, s, array_to_string(w[s:s+size-1], ' ') AS win FROM ds),
+h AS (SELECT doc_id, size, s, item_id FROM dw JOIN iw USING (size, win)),
+p AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(s, s + size)) AS q FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(v, ',' ORDER BY v) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS v FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, p.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
 }
