@@ -10,17 +10,32 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasebook.sources.staging import stage
+from leasebook.sources import staging
 
-__all__ = ["SMALLEST_ID", "KEY", "documents", "keyed", "map_rows", "stage", "table"]
+__all__ = ["SMALLEST_ID", "KEY", "documents", "keyed", "map_rows", "stage", "table", "unwrapped", "wrapped"]
 
 SMALLEST_ID = -(2**63)
 KEY = ["id", "th"]
 
 
+# A staged table is computed once, so its shuffle files are of no use after the write.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back; Spark removes the write's shuffle files at its end."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return staging.stage(df)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,10 +46,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows (id, th, doc_id, text); other columns are left behind, so their names cannot clash."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST_ID)).alias("id"),
-        F.hash("text").alias("th"), "doc_id", "text",
-    )
+    return docs.select(*_key(), "doc_id", "text")
+
+
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST_ID)).alias("id"), F.hash("text").alias("th")]
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Whole rows as one struct `row` beside their key, so that no column name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key())
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def map_rows(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]], schema: str, flush: int = 4096) -> DataFrame:

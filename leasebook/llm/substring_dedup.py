@@ -60,13 +60,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_
     sketch = stage(map_rows(rows, seeds, "id long, th int, s1 long, s2 long, seeds array<long>, places array<int>"))
     first = sketch.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = sketch.select(*KEY, "s1", "s2").join(first, ["s1", "s2"]).where("id > first.id").select(*KEY).distinct()
+    later = stage(later)
     occurrence = (
         sketch.select(*KEY, "seeds", "places").join(later, KEY, "left_anti").dropDuplicates(KEY)
         .select(*KEY, F.explode(F.arrays_zip("seeds", "places")).alias("x"))
         .select(F.col("x.seeds").alias("seed"), *KEY, F.col("x.places").alias("place"))
     )
     repeated = occurrence.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    places = occurrence.join(repeated, "seed").groupBy(*KEY).agg(F.collect_list("place").alias("places"))
+    places = stage(occurrence.join(repeated, "seed").groupBy(*KEY).agg(F.collect_list("place").alias("places")))
 
     def extended(batch: dict[str, list]) -> Iterator[tuple]:
         for id_, th, raw, near in zip(batch["id"], batch["th"], batch["raw"], batch["places"]):
@@ -84,7 +85,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_
     )
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
     again = windows.join(first.where("n > 1"), ["w1", "w2"]).where("struct(id, start) > first")
-    return (
+    return stage(
         again.groupBy(*KEY).agg(F.collect_set("start").alias("starts")).withColumn("whole", F.lit(False))
         .unionByName(later.withColumns({"starts": F.expr("cast(array() AS array<int>)"), "whole": F.lit(True)}))
     )
