@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leasebook.llm.byte_bpe import encode_decode
 from leasebook.llm.common import documents, table
 from leasebook.llm.decontamination import contamination
+from leasebook.llm.language_id import learned_and_identified
 from leasebook.llm.minhash_dedup import groups
+from leasebook.llm.quality import learned_and_scored
 from leasebook.llm.substring_dedup import remove_repeats
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_and_identified(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -22,6 +29,15 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(documents(spark, sf_dir), shingle_words=4)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir)).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_and_scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -29,8 +45,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality": op7_quality,
     "op9_decontamination": op9_decontamination,
 }
 
