@@ -31,6 +31,7 @@ POSITIVES, UNLABELLED, CHECKED = 2500, 5000, 1500
 GRAMS = 1 << 10
 LONGEST = 3
 ACCEPT = 0.3
+WIDEST = 5.0
 
 _SHAPE = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -71,13 +72,20 @@ class QualityModel:
     shift: float = 0.0
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.centre) / self.scale) @ self.weights[:-1] + self.weights[-1]
+        return scaled(x, self.centre, self.scale) @ self.weights
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return logistic(self.slope * self.margins(x) + self.shift)
 
 
-def _descend(gradient, size: int, rows: int, turns: int, batch: int = 512, rate: float = 0.01, seed: int = 11) -> np.ndarray:
+def scaled(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised and held within `WIDEST`; the many n-grams count a tenth of a measure; a last column of ones."""
+    x = np.clip((x - centre) / scale, -WIDEST, WIDEST)
+    x[:, -GRAMS:] /= 10
+    return np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+
+
+def _descend(gradient, size: int, rows: int, turns: int, batch: int = 1024, rate: float = 0.01, seed: int = 11) -> np.ndarray:
     """Adam over shuffled batches of row numbers."""
     weights, mean, square, step = np.zeros(size), np.zeros(size), np.zeros(size), 0
     order = np.random.default_rng(seed)
@@ -105,10 +113,10 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, turns: int = 40, penalty: float = 1e-4) -> QualityModel:
+def train(positive: np.ndarray, unlabelled: np.ndarray, turns: int = 40, penalty: float = 1e-2) -> QualityModel:
     x = np.vstack([positive, unlabelled])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.hstack([(x - centre) / scale, np.ones((len(x), 1))]).astype(np.float32)
+    x = scaled(x, centre, scale)
     is_p = np.arange(len(x)) < len(positive)
     place = np.arange(len(x)) % 5 == 0  # a fifth of the rows is kept for the prior
     learn = np.flatnonzero(~place)

@@ -12,10 +12,22 @@ from leasebook.llm.common import documents, table
 from leasebook.llm.decontamination import contamination
 from leasebook.llm.language_id import learned_and_identified
 from leasebook.llm.minhash_dedup import groups
+from leasebook.llm.order_minhash import edited_fingerprints
+from leasebook.llm.pseudonyms import findings, pseudonymise
 from leasebook.llm.quality import learned_and_scored
+from leasebook.llm.sharding import shard
 from leasebook.llm.substring_dedup import remove_repeats
 
 
+# Key of the registered query; real use passes a secret of its own.
+KEY_OF_CHECKS = "not a secret"
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_and_identified(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -38,19 +50,31 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_and_scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.size(findings("text")), F.lit(0)).cast("long").alias("n_found"), "text")
+    return pseudonymise(docs, KEY_OF_CHECKS)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality": op7_quality,
+    "op8_pseudonyms": op8_pseudonyms,
     "op9_decontamination": op9_decontamination,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
