@@ -11,6 +11,7 @@ from leasebook.llm.byte_bpe import encode_decode
 from leasebook.llm.common import documents, table
 from leasebook.llm.decontamination import contamination
 from leasebook.llm.language_id import learned_and_identified
+from leasebook.llm.line_dedup import without_repeated_lines
 from leasebook.llm.minhash_dedup import groups
 from leasebook.llm.order_minhash import edited_fingerprints
 from leasebook.llm.pseudonyms import findings, pseudonymise
@@ -28,6 +29,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_left"), "n_removed",
+        F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_and_identified(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -67,6 +74,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
