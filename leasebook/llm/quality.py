@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,3 +211,23 @@ def learned_and_scored(docs: DataFrame, labels: DataFrame, parts: int = 5, held:
     model = fit(docs.where(fold("doc_id", parts) != held), labels.where(fold("doc_id", parts) != held))
     return score(docs, model).select(
         "doc_id", (fold("doc_id", parts) == held).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
+    """`docs` without the rows whose score is under `ACCEPT`; columns as they are.
+
+    The score is added to each row in one pass, so rows need no key and repeated rows all stay.
+    """
+    model = fit(docs.where(fold("doc_id", parts) != held), labels.where(fold("doc_id", parts) != held))
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def rate(raw: pd.Series) -> pd.Series:
+        out = np.empty(len(raw))
+        for at in range(0, len(raw), 256):
+            out[at: at + 256] = shared.value.scores(np.array([features(x or b"") for x in raw.iloc[at: at + 256]]))
+        return pd.Series(out)
+
+    return docs.where(rate(F.col("text").cast("binary")) >= ACCEPT)
