@@ -81,14 +81,18 @@ def _sets(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _could_match(x: str, y: str, percent: int) -> Column:
-    """Length, position and map filters on two prefix rows of a common token; y is the earlier set."""
+    """Length, position and map filters on two prefix rows of a common token; y is the earlier set.
+
+    The position filter takes the token for the first that the sets share: it holds for the row of
+    that token, and a similar pair needs no other.
+    """
     xn, yn = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = F.ceil((xn + yn) * percent / F.lit(100 + percent))
     apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ("b1", "b2"))
     i, j = F.col(f"{x}.pos"), F.col(f"{y}.pos")
     return (
         (F.col(f"{y}.at") < F.col(f"{x}.at")) & (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent)
-        & ((xn + yn - apart) >= need * 2) & (F.least(i, j) + F.least(xn - i, yn - j) >= need)
+        & ((xn + yn - apart) >= need * 2) & (F.least(xn - i, yn - j) >= need)
     )
 
 

@@ -12,9 +12,10 @@ similarity of their sets is at least `threshold`; groups are the connected docum
 
 Groups need connections, not all pairs. So pairs are drawn in rounds, and a pair is drawn only
 if earlier rounds left its nodes in different groups: first every node with the one hub (smallest
-id in its bucket) that it meets most often, then with all its hubs, then every pair of nodes that
-still meet across groups. The last round is complete, so no link between groups is lost beyond
-the chance of banding ((1 - 0.8^4)^32 = 5e-8 a pair) and `miss`.
+id in its bucket) that it meets most often, then with all its hubs, then nodes that still meet
+across groups, less those whose rarest shingles rule a link out (`across_groups`). The last round
+is complete, so no link between groups is lost beyond the chance of banding
+((1 - 0.8^4)^32 = 5e-8 a pair) and `miss`.
 
 Defined cases: null and empty texts have no shingles and stand alone. A null doc_id counts as the
 smallest id. Rows that repeat a doc_id are linked with each other.
@@ -117,6 +118,52 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle_wo
     return stage(map_rows(sides(near, texts, "raw"), similar, "a long, b long").distinct())
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets whose nodes are in more than one group, with each node's group `label`."""
+    placed = members.join(labels, "node", "left").select("bucket", "hub", "node", "n", F.coalesce("label", "node").alias("label"))
+    several = placed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    return stage(placed.join(several.select("bucket"), "bucket"))
+
+
+def across_groups(placed: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, label) in different groups that can still reach the threshold.
+
+    No such pair is missed: in an order of shingles from rare to frequent, let i and j be the places
+    of the first shingle that two sets of n and m share. Then at most min(n - i, m - j) are shared.
+    So the smaller set has its first common shingle among the first n - ceil(2t / (1 + t) n) + 1, the
+    larger among the first m - ceil(t m) + 1. In a group of near copies whose members differ by
+    shingles of their own, these fill the first places, and members too far from the rest drop out
+    here, one by one, without being compared with all others. Of two nodes in different groups one
+    is outside the group that holds most nodes under their shingle; only such nodes look for partners.
+    """
+    def exploded(batch: dict[str, list]) -> Iterator[tuple]:
+        for node, label, raw in zip(batch["node"], batch["label"], batch["raw"]):
+            own = shingles(raw, shingle_words)
+            yield node, label, len(own), W.signed(own).tolist()
+
+    sets = map_rows(placed.join(texts, "node").select("node", "label", "raw"), exploded, "node long, label long, n long, s array<long>", 64)
+    held = stage(sets)
+    rows = held.select(F.explode("s").alias("shingle"), "node")
+    known = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    # Shingles of one set only come first in the order; their number is enough.
+    shared = rows.join(known, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+    prefix = (
+        shared.join(held.select("node", "label", "n"), "node")
+        .select("node", "label", "n", (F.col("n") - F.size("shared")).alias("own"),
+                F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("at", "x"))
+        .select(F.col("x.shingle").alias("shingle"), "node", "label", "n", (F.col("own") + F.col("at")).alias("pos"))
+    )
+    prefix = stage(prefix)
+    sizes = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    seeking = prefix.join(main, "shingle").where("label <> main")
+    need = f"ceil((x.n + y.n) * {percent} / {100 + percent})"
+    meet = F.expr(
+        f"x.shingle = y.shingle AND x.label <> y.label AND (x.node < y.node OR y.label = x.main) AND least(x.n - x.pos, y.n - y.pos) >= {need}")
+    pairs = seeking.alias("x").join(prefix.alias("y"), meet)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id of its group), kept."""
 
@@ -155,17 +202,15 @@ def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float
     best = met.groupBy("node").agg(F.max_by("hub", "shared").alias("hub"))
     links = check(best.select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
-    near_size = f"least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
-    for hub_only in (True, False):
-        labels = connected(links)
-        placed = members.join(labels, "node", "left").select("bucket", "hub", "node", "n", F.coalesce("label", "node").alias("label"))
-        open_ = placed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-        placed = stage(placed.join(open_.select("bucket"), "bucket"))
-        x, y = placed.alias("x"), placed.alias("y")
-        if hub_only:
-            x = x.where("node = hub")
-        pairs = x.join(y, F.expr(f"x.bucket = y.bucket AND x.node < y.node AND x.label <> y.label AND {near_size}"))
-        links = stage(links.unionByName(check(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())))
+    # Every hub with all nodes of its buckets that are still in other groups.
+    placed = _open(members, connected(links))
+    x, y = placed.where("node = hub").alias("x"), placed.alias("y")
+    apart = F.expr(f"x.bucket = y.bucket AND x.node < y.node AND x.label <> y.label AND least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)")
+    pairs = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    links = stage(links.unionByName(check(pairs)))
+
+    placed = _open(members, connected(links)).select("node", "n", "label").distinct()
+    links = stage(links.unionByName(check(across_groups(placed, texts, shingle_words, round(threshold * 100)))))
 
     labels = connected(links)
     out = (
