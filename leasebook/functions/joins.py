@@ -1,35 +1,24 @@
-"""Joins to dimensions that stay balanced when one key holds most rows."""
+"""Joins to dimensions that stay balanced when one key, or no key, holds most rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leasebook.session import plan_bytes
-
-# Copies of a dimension row, and so tasks a hot key is spread over.
-SALTS = 16
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    number = text.rstrip("bkmg")
-    return int(number) * units.get(text[len(number):] or "b", 1)
+# Hash values that rows without a key are dealt over; they match nothing, so the number changes no result.
+SPREAD = 1 << 16
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str], spread_by: list[str],
                 how: str = "left") -> DataFrame:
     """Join fact rows to a dimension with unique `on` keys, as "left" or "inner".
 
-    A dimension within Spark's broadcast limit is left to Catalyst, whose size check is the
-    same. Beyond the limit the key is salted: fact rows take a salt from a hash of
-    `spread_by` (no random numbers, so a retried task repeats its result) and every
-    dimension row is copied once per salt, so that no single key decides the largest task.
+    The dimension has one row a key, so adaptive execution can split a hot key's fact rows over as
+    many tasks as their bytes ask for, or broadcast a small dimension. Rows without a key would all
+    hash alike; a second key, 0 wherever a key is there, deals them out by a hash of `spread_by`.
     """
-    limit = _broadcast_limit(dim)
-    if 0 <= plan_bytes(dim) <= limit:
-        return fact.join(dim, on, how)
-    salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    dealt = F.when(missing, F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1).otherwise(0)
+    return fact.withColumn("_dealt", dealt).join(dim.withColumn("_dealt", F.lit(0).cast("long")), [*on, "_dealt"], how).drop("_dealt")

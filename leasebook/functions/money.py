@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 UNIT = "decimal(23,8)"
 TOTAL = "decimal(26,8)"
+TERM_TOTAL = "decimal(31,8)"
 COST = "decimal(28,4)"
+MONTHS = "decimal(6,0)"  # also for a term that ends in 9999
 RATE_LEFT = "decimal(6,4)"
 
 
@@ -45,7 +47,7 @@ def line_amount(quantity: Column, price: Column, discount: Column, factor: Colum
 
 def package_cost(months: Column, monthly: Column, discount: Column | None = None) -> Column:
     """Cost of a whole term: months x monthly amount, less the package discount."""
-    cost = monthly.cast(TOTAL) * months.cast("decimal(4,0)")
+    cost = (monthly.cast(TOTAL) * months.cast(MONTHS)).cast(TERM_TOTAL)
     if discount is not None:
-        cost = cost * (F.lit(1) - discount).cast("decimal(5,4)")
+        cost = cost * _left(discount)
     return cost.cast(COST)

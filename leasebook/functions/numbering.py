@@ -1,40 +1,25 @@
-"""Consecutive numbers for unique long keys, without a single-partition window."""
+"""Consecutive numbers for long keys of any distribution, without a window over all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keys per block. Keys are unique, so no block can hold more rows than this.
-BLOCK_BITS = 16
+from leasebook.sources.staging import stage
 
 
 def number_rows(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Add `out` = 1, 2, 3 ... in ascending order of the unique long column `key`.
+    """Add `out` = 1, 2, 3 ... in ascending order of the long column `key`; a null key comes first.
 
-    Rows are ranked inside blocks of 2^16 consecutive key values. The rows before each block
-    come from counts: summed inside super-blocks of 2^16 blocks, and over the super-blocks
-    (at most a few thousand for any key below 2^44). Every window partition is bounded by
-    uniqueness of the key, whatever its distribution.
+    The distinct keys are dealt into ranges of about equal size and written with their range, so
+    that a repeated task finds the same ranges. Ranks inside a range and the keys before it (one
+    count a range) make the number. Rows that repeat a key get the same number.
     """
-    blocked = df.withColumn("_block", F.shiftright(F.col(key), BLOCK_BITS))
-    blocks = (
-        blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_super", F.shiftright(F.col("_block"), BLOCK_BITS))
-    )
-    supers = blocks.groupBy("_super").agg(F.sum("_rows").alias("_super_rows"))
-    across = Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("_super").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    super_start = supers.select("_super", F.coalesce(F.sum("_super_rows").over(across), F.lit(0)).alias("_super_start"))
-    starts = (
-        blocks.withColumn("_in_super", F.coalesce(F.sum("_rows").over(within), F.lit(0)))
-        .join(super_start, "_super")
-        .select("_block", (F.col("_super_start") + F.col("_in_super")).alias("_start"))
-    )
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(key))
-    return (
-        blocked.withColumn("_rank", rank)
-        .join(starts, "_block")
-        .withColumn(out, F.col("_start") + F.col("_rank"))
-        .drop("_block", "_rank", "_start")
-    )
+    ranged = stage(df.select(key).distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_keys"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_keys").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    numbers = ranged.withColumn("_rank", rank).join(starts, "_range").select(
+        F.col(key).alias("_key"), (F.col("_start") + F.col("_rank")).alias(out))
+    return df.join(numbers, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")

@@ -49,19 +49,20 @@ def change_log_rows(changed: DataFrame, next_changes: DataFrame, accepted: DataF
 def row_messages(lines: DataFrame, diff: DataFrame) -> DataFrame:
     """The message shown beside each submitted line: what happened, or why it was refused.
 
-    `lines` are all checked lines with Accepted and, for accepted ones, PackageID.
+    `lines` are all checked lines with Accepted and, for accepted ones, PackageID and ItemID, which
+    are unique together; row numbers need not be.
     """
     action = F.lit(None).cast("string")
     for name, text in MESSAGES.items():
         action = F.when(F.col("Action") == name, text).otherwise(action)
     accepted = (
         lines.where("Accepted")
-        .join(diff.where("RowNo IS NOT NULL").select("PackageID", "RowNo", "Action"), ["PackageID", "RowNo"], "left")
+        .join(diff.select("PackageID", "ItemID", "Action"), ["PackageID", "ItemID"], "left")
         .select("submission_id", "RowNo", F.coalesce(action, F.lit("")).alias("_message"))
     )
     refused = lines.where("NOT Accepted").select("submission_id", "RowNo", F.col("LineErrors").alias("_message"))
     return accepted.unionByName(refused).select(
-        "submission_id", "RowNo", F.substring("_message", 3, 1000).alias("MessageToUser")
+        "submission_id", "RowNo", F.expr("substring(_message, 3)").alias("MessageToUser")
     )
 
 

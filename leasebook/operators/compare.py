@@ -23,12 +23,12 @@ def differs_or_null(pairs: list[tuple[Column, Column]]) -> Column:
 
 def for_packages(rows: DataFrame, packages: DataFrame) -> DataFrame:
     """Only the rows of the given packages."""
-    return rows.join(packages.select("PackageID").distinct(), "PackageID", "left_semi")
+    return rows.join(packages.select("PackageID"), "PackageID", "left_semi")
 
 
 def replace_packages(current: DataFrame, packages: DataFrame, rows: DataFrame) -> DataFrame:
     """Current rows with those of the given packages replaced."""
-    kept = current.join(packages.select("PackageID").distinct(), "PackageID", "left_anti")
+    kept = current.join(packages.select("PackageID"), "PackageID", "left_anti")
     return kept.select(*rows.columns).unionByName(rows)
 
 

@@ -14,7 +14,7 @@ from leasebook.model import BASE_ITEM_ID, BillingTables
 from leasebook.operators.costs import history_cost, history_cost_v0, package_summary, term_cost, version_cost
 from leasebook.operators.shared import base_item_rows, named_partners, with_client
 
-# Notices, provenance and status texts, default date span, sort order.
+# Notices, provenance and status texts, sort order.
 BAD_DATES = [
     "date entered as FROM date on Start date range filter could not be interpreted",
     "date entered as TO date in the Start date range filter could not be interpreted",
@@ -23,7 +23,6 @@ BAD_DATES = [
 ]
 CURRENT_TEXT = "Current Version"
 HISTORY_TEXT = "Previous version from cache"
-OPEN_YEARS = 100
 SORT_KEYS = ["ClientName", "ClientPartnerName", "Location", "PackageID", "ChangeID"]
 
 VERSION_KEY = ["PackageID", "HeaderChangeID"]
@@ -45,24 +44,28 @@ class FinderSearch:
     inactive: str = ""
     base_item_id: int = BASE_ITEM_ID
     as_of: dt.date | None = None
+    open_years: int | None = None  # as first written 100: a missing bound is so many years from the day of the search
 
     def dates(self) -> list[dt.date | None]:
         texts = [self.start_from, self.start_to, self.end_from, self.end_to]
         return read_date_range(list(zip(texts, BAD_DATES)))
 
-    def open_dates(self) -> list[dt.date]:
-        """Missing bounds are 100 years before and after the day of the search."""
+    def bounds(self) -> list[dt.date | None]:
+        """The dates; a missing one bounds nothing, unless `open_years` is set."""
+        if self.open_years is None:
+            return self.dates()
         today = self.as_of or dt.date.today()
-        spans = [-OPEN_YEARS, OPEN_YEARS, -OPEN_YEARS, OPEN_YEARS]
+        spans = [-self.open_years, self.open_years] * 2
         return [d or add_years(today, y) for d, y in zip(self.dates(), spans)]
 
 
 def _where_header(header: DataFrame, s: FinderSearch) -> DataFrame:
     """The filters on header columns, applied at the scan."""
-    a, b, c, d = (F.lit(day) for day in s.open_dates())
-    rows = where_text(header, "Location", s.location_text).where(
-        F.col("LicenseStartDate").between(a, b) & F.col("LicenseExpirationDate").between(c, d)
-    )
+    rows = where_text(header, "Location", s.location_text)
+    columns = ["LicenseStartDate", "LicenseStartDate", "LicenseExpirationDate", "LicenseExpirationDate"]
+    for place, (column, day) in enumerate(zip(columns, s.bounds())):
+        if day:
+            rows = rows.where(F.col(column) <= F.lit(day) if place % 2 else F.col(column) >= F.lit(day))
     return rows if yes_no_arg(s.inactive) else rows.where("Inactive = 0")
 
 
@@ -137,13 +140,13 @@ def _versions(t: BillingTables, header_log: DataFrame) -> DataFrame:
     return header_log.join(ids, ["PackageID", "HeaderChangeID"])
 
 
-def finder_history(t: BillingTables, s: FinderSearch = FinderSearch(), by_version_cost: bool = False,
+def finder_history(t: BillingTables, s: FinderSearch = FinderSearch(), by_version_cost: bool = True,
                    sort: bool = True) -> DataFrame:
     """One row per logged version; base item and note show only in the version that set them.
 
-    As first written the cost comes from `history_cost`, whose rows a version meets on
-    PackageID alone, so a version repeats once per distinct cost of its package.
-    `by_version_cost` takes the cost of that version instead.
+    The cost is that of the version. As first written (`by_version_cost=False`) it comes from
+    `history_cost`, whose rows a version meets on PackageID alone, so that a version repeats
+    once per distinct cost of its package.
     """
     header_log = with_client(_where_header(t.header_log, s), t.client, ["ClientName"], s.client_text, VERSION_KEY)
     if by_version_cost:
@@ -156,7 +159,7 @@ def finder_history(t: BillingTables, s: FinderSearch = FinderSearch(), by_versio
     return rows.orderBy(*SORT_KEYS) if sort else rows
 
 
-def finder_all(t: BillingTables, s: FinderSearch = FinderSearch(), by_version_cost: bool = False,
+def finder_all(t: BillingTables, s: FinderSearch = FinderSearch(), by_version_cost: bool = True,
                sort: bool = True) -> DataFrame:
     """Current packages and, when history is asked for, their versions.
 

@@ -25,6 +25,8 @@ UNKNOWN_CLIENT = (" ClientName entered does not match any entries in the databas
 UNKNOWN_PARTNER = (" ClientPartnerName entered does not match any entries in the database. Please only enter client"
                    " partner names from the dropdown list.")
 REPEATED_PACKAGE = "The package occurs more than once in this batch."
+NO_SUBMISSION_ID = "The submission has no id."
+REPEATED_SUBMISSION_ID = "The id of the submission occurs more than once in this batch."
 BAD_LINES = "There were errors in the details of your input.  Please review the errors noted in each row."
 DUPLICATE_ITEM = ", Duplicate key (two or more entries of the same item is forbidden)"
 UNKNOWN_ITEM = (", Item entered was not found in the database: please check the Inventory report and only enter items"
@@ -159,11 +161,19 @@ def validate_lines(resolved: DataFrame) -> DataFrame:
     )
 
 
-def submission_errors(checked: DataFrame, checked_lines: DataFrame) -> DataFrame:
+def submission_errors(checked: DataFrame, checked_lines: DataFrame, unread: DataFrame | None = None) -> DataFrame:
     """Add ErrorText to submissions checked by `validate_header`; NULL means accepted.
 
-    The first problem counts: client or partner, then a package occurring twice, then lines.
+    The first problem counts: the submission's own id, an unreadable document (`unread`, the rows of
+    `parse_errors`), client or partner, a package occurring twice, lines.
     """
+    ids = (
+        checked.groupBy("submission_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND submission_id IS NOT NULL")
+        .select("submission_id", F.lit(True).alias("_again"))
+    )
+    checked = checked.join(ids, "submission_id", "left")
+    unread = checked.select("submission_id", F.lit(None).cast("string").alias("ParseError")).where("false") if unread is None else unread
+    checked = checked.join(unread.dropDuplicates(["submission_id"]), "submission_id", "left")
     bad_lines = checked_lines.where("LineErrors <> ''").select("submission_id").distinct()
     bad_lines = bad_lines.withColumn("_bad_lines", F.lit(True))
     repeated = (
@@ -171,10 +181,12 @@ def submission_errors(checked: DataFrame, checked_lines: DataFrame) -> DataFrame
         .where("_n > 1").select("PackageID", F.lit(True).alias("_repeated"))
     )
     error = (
-        F.when(F.col("HeaderError").isNotNull(), F.col("HeaderError"))
+        F.when(F.col("submission_id").isNull(), NO_SUBMISSION_ID).when(F.col("_again"), REPEATED_SUBMISSION_ID)
+        .when(F.col("ParseError").isNotNull(), F.col("ParseError"))
+        .when(F.col("HeaderError").isNotNull(), F.col("HeaderError"))
         .when(F.col("_repeated"), REPEATED_PACKAGE).when(F.col("_bad_lines"), BAD_LINES)
     )
     return (
         checked.join(repeated, "PackageID", "left").join(bad_lines, "submission_id", "left")
-        .withColumn("ErrorText", error).drop("_repeated", "_bad_lines", "HeaderError")
+        .withColumn("ErrorText", error).drop("_repeated", "_bad_lines", "_again", "ParseError", "HeaderError")
     )

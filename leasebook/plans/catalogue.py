@@ -37,6 +37,17 @@ SELECT PackageID * 1000000 + detail.ItemID AS submission_id,
 FROM detail JOIN item ON detail.ItemID = item.ItemID"""
 
 
+# Every package's submission with one document: its lines, cut off for some, with an unreadable value for others.
+DOCUMENT_BATCH = """
+SELECT s.*, concat('<Root>', coalesce(d.Rows, ''), CASE WHEN s.submission_id % 7 = 3 THEN '<r><Row>' ELSE '</Root>' END) AS LinesXml
+FROM submissions s LEFT JOIN (
+  SELECT submission_id, concat_ws('', array_sort(collect_list(concat('<r><Row>', CAST(RowNo AS STRING), '</Row><ItemName>', ItemName,
+    '</ItemName><ItemPrice>', coalesce(CAST(ItemPrice AS STRING), ''), '</ItemPrice><Quantity>',
+    CASE WHEN submission_id % 11 = 5 THEN 'ten' ELSE CAST(Quantity AS STRING) END, '</Quantity><ItemDiscount>',
+    CAST(ItemDiscount AS STRING), '</ItemDiscount><LicenseFactor>', CAST(LicenseFactor AS STRING), '</LicenseFactor></r>')))) AS Rows
+  FROM submission_lines GROUP BY submission_id) d ON s.submission_id = d.submission_id"""
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -220,6 +231,11 @@ def yes_no_check(s):
 
 # Changes: reading and checking a batch
 
+def _final_packages(s: StarSource) -> DataFrame:
+    ids = submissions.assign_package_ids(s.view("submissions"), s.view("header"))
+    return ids.select("submission_id", F.col("FinalPackageID").alias("PackageID"))
+
+
 @query
 def parse_lines(s):
     return submissions.parse_lines(s.query(XML_DOCUMENTS))
@@ -238,14 +254,15 @@ def assign_package_ids(s):
 
 @query
 def next_package_change_id(s):
-    return changelog.next_package_change_id(s.view("submissions"), s.view("change_log"))
+    final = _final_packages(s)
+    return changelog.next_package_change_id(final, s.view("change_log"))
 
 
 @query
 def resolve_items(s):
     t = s.tables()
     lines = submissions.resolve_items(s.view("submission_lines"), t.item)
-    return submissions.last_item_changes(lines, s.view("submissions"), t.detail).select(
+    return submissions.last_item_changes(lines, _final_packages(s), t.detail).select(
         "submission_id", "RowNo", "ItemName", "ItemID", "LastDetailItemChangeID")
 
 
@@ -268,6 +285,16 @@ def submission_errors(s):
 
 # Changes: first schema
 
+@query
+def save_from_documents(s):
+    """Refused submissions and line changes of a batch whose lines come as documents."""
+    b = SaveBatch(s.tables(), s.query(DOCUMENT_BATCH), None, AS_OF)
+    refused = b.refused.select("submission_id", F.lit(None).cast("long").alias("PackageID"), F.lit(None).cast("long").alias("ItemID"),
+                               F.col("ErrorText").alias("Outcome"))
+    return refused.unionByName(b.detail_diff.select(F.lit(None).cast("long").alias("submission_id"), "PackageID",
+                                                    F.col("ItemID").cast("long").alias("ItemID"), F.col("Action").alias("Outcome")))
+
+
 @query
 def diff_details(s):
     return _batch(s).detail_diff

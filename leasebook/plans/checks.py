@@ -24,8 +24,8 @@ TERM = months("LicenseStartDate", "LicenseExpirationDate")
 
 
 def cost(term: str, amount: str, discount: str | None) -> str:
-    rest = f" * CAST(1 - {discount} AS DECIMAL(5,4))" if discount else ""
-    return f"CAST({amount} * CAST({term} AS DECIMAL(4,0)){rest} AS DECIMAL(28,4))"
+    rest = f" * CAST(1 - {discount} AS DECIMAL(6,4))" if discount else ""
+    return f"CAST(CAST({amount} * CAST({term} AS DECIMAL(6,0)) AS DECIMAL(31,8)){rest} AS DECIMAL(28,4))"
 
 
 V: dict[str, str] = {}  # shared subqueries
@@ -106,10 +106,8 @@ C["expiring_package_info_partner"] = _package_info(
 # Finder
 
 SEARCH_WHERE = """lower(h.Location) LIKE '%nation%' AND lower(c.ClientName) LIKE '%customer#_0%'
-  AND h.LicenseStartDate BETWEEN DATE '1995-02-01' AND DATE '2124-02-29'
-  AND h.LicenseExpirationDate BETWEEN DATE '1924-02-29' AND DATE '2003-01-01' AND h.Inactive = 0"""
-OPEN_WHERE = """h.LicenseStartDate BETWEEN DATE '1924-02-29' AND DATE '2124-02-29'
-  AND h.LicenseExpirationDate BETWEEN DATE '1924-02-29' AND DATE '2124-02-29'"""
+  AND h.LicenseStartDate >= DATE '1995-02-01' AND h.LicenseExpirationDate <= DATE '2003-01-01' AND h.Inactive = 0"""
+OPEN_WHERE = "true"
 V0_WHERE = "h.Location LIKE '%' AND c.ClientName LIKE '%'"
 
 
@@ -147,12 +145,11 @@ WHERE {where}"""
 
 BY_VERSION = "c_version_cost r ON v.PackageID = r.PackageID AND v.ChangeID = r.ChangeID"
 C["finder_current"] = _current(SEARCH_WHERE)
-C["finder_history"] = f"SELECT DISTINCT * FROM ({_history(OPEN_WHERE)}) q"
+C["finder_history"] = f"SELECT DISTINCT * FROM ({_history(OPEN_WHERE, BY_VERSION)}) q"
 C["history_cost"] = "SELECT * FROM c_history_cost"
 C["version_cost"] = "SELECT * FROM c_version_cost"
-C["finder_all"] = f"{_current(OPEN_WHERE)} UNION {_history(OPEN_WHERE)}"
-C["finder_all_search"] = f"{_current(SEARCH_WHERE)} UNION {_history(SEARCH_WHERE)}"
-C["finder_all_version_cost"] = f"{_current(OPEN_WHERE)} UNION {_history(OPEN_WHERE, BY_VERSION)}"
+C["finder_all"] = C["finder_all_version_cost"] = f"{_current(OPEN_WHERE)} UNION {_history(OPEN_WHERE, BY_VERSION)}"
+C["finder_all_search"] = f"{_current(SEARCH_WHERE)} UNION {_history(SEARCH_WHERE, BY_VERSION)}"
 C["finder_v0"] = (f"{_current(V0_WHERE, v0=True)} UNION "
                   + _history(f"{V0_WHERE} AND v.ChangeID <> 0", "c_history_cost_v0 r ON h.PackageID = r.PackageID"))
 
@@ -354,22 +351,24 @@ SELECT PackageID * 1000000 + ItemID AS submission_id, CASE WHEN Discount = 0.1
   ELSE 'Error in parsing XML: a value could not be converted' END AS ParseError
 FROM detail WHERE Discount = 0.1 OR (Discount <> 0 AND LicenseFactor = 0.08)"""
 V["c_known"] = "SELECT s.*, EXISTS (SELECT 1 FROM header h WHERE h.PackageID = s.PackageID) AND s.PackageID <> 0 AS Known FROM submissions s"
-C["assign_package_ids"] = """
+V["c_final"] = """
 SELECT submission_id, PackageID AS FinalPackageID, 0 AS IsNew FROM c_known WHERE Known
 UNION ALL
 SELECT submission_id, (SELECT max(PackageID) FROM header) + row_number() OVER (ORDER BY submission_id), 1
 FROM c_known WHERE NOT Known"""
+C["assign_package_ids"] = "SELECT * FROM c_final"
+V["c_last_version"] = "SELECT PackageID, max(ChangeID) AS Last FROM change_log GROUP BY PackageID"
 C["next_package_change_id"] = """
-SELECT DISTINCT s.PackageID, coalesce((SELECT max(ChangeID) + 1 FROM change_log v WHERE v.PackageID = s.PackageID), 1) AS ChangeID
-FROM submissions s"""
+SELECT DISTINCT FinalPackageID AS PackageID, coalesce(Last + 1, 1) AS ChangeID
+FROM c_final f LEFT JOIN c_last_version v ON f.FinalPackageID = v.PackageID"""
 V["c_item_names"] = "SELECT lower(rtrim(ItemName)) AS n, min(ItemID) AS ItemID FROM item GROUP BY 1"
 V["c_client_names"] = "SELECT lower(rtrim(ClientName)) AS n, min(ClientID) AS ClientID FROM client GROUP BY 1"
 V["c_resolved"] = """
 SELECT l.*, i.ItemID FROM submission_lines l LEFT JOIN c_item_names i ON lower(rtrim(l.ItemName)) = i.n"""
 C["resolve_items"] = """
 SELECT l.submission_id, l.RowNo, l.ItemName, l.ItemID, d.DetailItemChangeID AS LastDetailItemChangeID
-FROM c_resolved l JOIN submissions s ON l.submission_id = s.submission_id
-  LEFT JOIN detail d ON d.PackageID = s.PackageID AND d.ItemID = l.ItemID"""
+FROM c_resolved l JOIN c_final s ON l.submission_id = s.submission_id
+  LEFT JOIN detail d ON d.PackageID = s.FinalPackageID AND d.ItemID = l.ItemID"""
 V["c_headers"] = """
 SELECT s.*, c.ClientID, p.ClientID AS ClientPartnerID, CASE WHEN c.ClientID IS NULL
     THEN ' ClientName entered does not match any entries in the database. Please only enter client names from the dropdown list.'
@@ -420,6 +419,31 @@ SELECT coalesce(o.PackageID, n.pid) AS PackageID, coalesce(o.ItemID, n.ItemID) A
   n.LicenseFactor AS NewLicenseFactor, o.DetailItemChangeID AS OldDetailItemChangeID
 FROM c_old_lines o FULL JOIN c_ok_lines n ON o.PackageID = n.pid AND o.ItemID = n.ItemID"""
 C["diff_details"] = "SELECT * FROM c_diff"
+# Unread documents: cut off, or with a quantity that is no number in any line.
+V["c_doc_unread"] = """
+SELECT submission_id, CASE WHEN submission_id % 7 = 3 THEN 'Error in parsing XML: the document is malformed'
+  ELSE 'Error in parsing XML: a value could not be converted' END AS ParseError
+FROM submissions s WHERE submission_id % 7 = 3 OR (submission_id % 11 = 5 AND submission_id IN (SELECT submission_id FROM submission_lines))"""
+V["c_doc_ok"] = """
+SELECT submission_id, pid FROM c_accepted WHERE submission_id NOT IN (SELECT submission_id FROM c_doc_unread)"""
+C["save_from_documents"] = """
+SELECT e.submission_id, CAST(NULL AS BIGINT) AS PackageID, CAST(NULL AS BIGINT) AS ItemID, coalesce(u.ParseError, e.ErrorText) AS Outcome
+FROM c_errors_of_batch e LEFT JOIN c_doc_unread u ON e.submission_id = u.submission_id
+WHERE coalesce(u.ParseError, e.ErrorText) IS NOT NULL
+UNION ALL
+SELECT NULL, coalesce(o.PackageID, n.fid), coalesce(o.ItemID, n.ItemID),
+  CASE WHEN o.PackageID IS NULL THEN 'INSERT' WHEN n.pid IS NULL THEN 'DELETE'
+    WHEN o.Price <> n.ItemPrice OR o.Quantity <> n.Quantity OR o.Discount <> n.ItemDiscount
+      OR o.LicenseFactor <> n.LicenseFactor THEN 'UPDATE' ELSE 'NONE' END
+FROM (SELECT * FROM detail WHERE PackageID IN (SELECT pid FROM c_doc_ok)) o
+  FULL JOIN (SELECT l.*, f.fid FROM c_ok_lines l JOIN c_doc_final f ON l.submission_id = f.submission_id) n
+  ON o.PackageID = n.fid AND o.ItemID = n.ItemID"""
+# New packages are numbered among the submissions that were read.
+V["c_doc_final"] = """
+SELECT k.submission_id, k.pid AS fid FROM c_doc_ok k WHERE k.pid <= (SELECT max(PackageID) FROM header)
+UNION ALL
+SELECT k.submission_id, (SELECT max(PackageID) FROM header) + row_number() OVER (ORDER BY k.submission_id)
+FROM c_doc_ok k WHERE k.pid > (SELECT max(PackageID) FROM header)"""
 V["c_line_change"] = """
 SELECT o.PackageID, max(CASE WHEN n.pid IS NULL OR o.Price IS NULL OR n.ItemPrice IS NULL OR o.Price <> n.ItemPrice
   OR o.Quantity IS NULL OR n.Quantity IS NULL OR o.Quantity <> n.Quantity
@@ -555,7 +579,7 @@ SELECT a.PackageID AS LicensePackageID, x.NextChange AS LicensePackageChangeID,
 FROM c_members_after a JOIN c_next x ON a.PackageID = x.pid WHERE a.PackageID IN (SELECT pid FROM c_changed)"""
 C["row_messages"] = """
 SELECT n.submission_id, n.RowNo, CASE d.Action WHEN 'INSERT' THEN 'Added!' WHEN 'UPDATE' THEN 'Updated!' ELSE '' END AS MessageToUser
-FROM c_ok_lines n JOIN c_diff d ON n.pid = d.PackageID AND n.RowNo = d.RowNo
+FROM c_ok_lines n JOIN c_diff d ON n.pid = d.PackageID AND n.ItemID = d.ItemID
 UNION ALL
 SELECT l.submission_id, l.RowNo, CASE WHEN starts_with(e.ErrorText, 'There were') THEN substring(l.LineErrors, 3) ELSE '' END
 FROM c_lines l JOIN c_errors_of_batch e ON l.submission_id = e.submission_id WHERE e.ErrorText IS NOT NULL"""

@@ -25,10 +25,18 @@ def as_of_column(as_of: dt.date | dt.datetime | None) -> Column:
 
 
 class CheckedBatch:
-    """Submissions and lines after validation; a refused submission does not stop the others."""
+    """Submissions and lines after validation; a refused submission does not stop the others.
 
-    def __init__(self, client: DataFrame, item: DataFrame, header: DataFrame, batch: DataFrame, lines: DataFrame):
+    Without `lines` the submissions carry a column LinesXml with their lines as a document. One that
+    cannot be read refuses its submission, and leaves the package as it is.
+    """
+
+    def __init__(self, client: DataFrame, item: DataFrame, header: DataFrame, batch: DataFrame, lines: DataFrame | None):
         self._client, self._item, self._header = client, item, header
+        self._unread = None
+        if lines is None:
+            lines, self._unread = submissions.parse_lines(batch), submissions.parse_errors(batch)
+            batch = batch.drop("LinesXml")
         self._batch, self._lines = batch, lines
 
     @cached_property
@@ -38,7 +46,7 @@ class CheckedBatch:
     @cached_property
     def checked(self) -> DataFrame:
         headers = submissions.validate_header(self._batch, self._client)
-        errors = submissions.submission_errors(headers, self.checked_lines)
+        errors = submissions.submission_errors(headers, self.checked_lines, self._unread)
         return stage(submissions.mark_new_packages(errors, self._header))
 
     @cached_property
@@ -69,10 +77,10 @@ class CheckedBatch:
         refused = self.refused.withColumn("_show", F.col("ErrorText") == submissions.BAD_LINES)
         shown = (
             self.checked_lines.join(refused.drop("ErrorText"), "submission_id")
-            .select("submission_id", "RowNo", F.lit(None).cast("bigint").alias("PackageID"), F.lit(False).alias("Accepted"),
-                    F.when(F.col("_show"), F.col("LineErrors")).otherwise("").alias("LineErrors"))
+            .select("submission_id", "RowNo", F.lit(None).cast("bigint").alias("PackageID"), "ItemID",
+                    F.lit(False).alias("Accepted"), F.when(F.col("_show"), F.col("LineErrors")).otherwise("").alias("LineErrors"))
         )
-        done = self.lines.select("submission_id", "RowNo", "PackageID", F.lit(True).alias("Accepted"),
+        done = self.lines.select("submission_id", "RowNo", "PackageID", "ItemID", F.lit(True).alias("Accepted"),
                                  F.lit("").alias("LineErrors"))
         return changelog.row_messages(shown.unionByName(done), diff)
 
@@ -80,7 +88,7 @@ class CheckedBatch:
 class SaveBatch(CheckedBatch):
     """First schema: removed lines are deleted, logs hold the values before each change."""
 
-    def __init__(self, tables: BillingTables, batch: DataFrame, lines: DataFrame, as_of=None,
+    def __init__(self, tables: BillingTables, batch: DataFrame, lines: DataFrame | None, as_of=None,
                  base_item_id: int = BASE_ITEM_ID, null_safe: bool = False, post_image: bool = False):
         super().__init__(tables.client, tables.item, tables.header, batch, lines)
         self.tables, self.base_item_id = tables, base_item_id
@@ -197,7 +205,7 @@ class SaveBatch(CheckedBatch):
 class SoftSaveBatch(CheckedBatch):
     """Second schema: rows are marked inactive, headers always change, logs hold the new values."""
 
-    def __init__(self, client: DataFrame, item: DataFrame, tables: SoftTables, batch: DataFrame, lines: DataFrame,
+    def __init__(self, client: DataFrame, item: DataFrame, tables: SoftTables, batch: DataFrame, lines: DataFrame | None,
                  as_of=None, base_item_id: int = BASE_ITEM_ID, null_safe: bool = False):
         super().__init__(client, item, tables.header, batch, lines)
         self.tables, self.base_item_id = tables, base_item_id

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # One shuffle partition per this many bytes of input, before adaptive coalescing.
 BYTES_PER_PARTITION = 64 * 1024 * 1024
-MAX_PARTITIONS = 100_000
 
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,6 +48,5 @@ def plan_bytes(df: DataFrame) -> int:
 def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     """Start adaptive shuffles with enough partitions for the input; AQE merges small ones."""
     wanted = max(spark.sparkContext.defaultParallelism, math.ceil(input_bytes / BYTES_PER_PARTITION))
-    wanted = min(wanted, MAX_PARTITIONS)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return wanted

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leasebook.functions.dates import (UserInputError, month_diff, parse_year_month, read_date_range, year_month_arg,
                                        year_month_error)
 from leasebook.functions.joins import lookup_join
-from leasebook.functions.money import renewal_item_price
+from leasebook.functions.money import package_cost, renewal_item_price
 from leasebook.functions.numbering import number_rows
 from leasebook.functions.text import contains_text, is_blank, yes_no, yes_no_arg
 
@@ -76,16 +76,24 @@ def test_number_rows_is_dense_and_ordered(spark):
     assert wide.where("n <> k / 3 + 1").count() == 0
 
 
-def test_lookup_join_gives_the_same_rows_with_and_without_salt(spark):
-    fact = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 9).cast("bigint").alias("k"), "id")
-    dim = spark.range(8).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    for how in ("left", "inner"):
-        plain = sorted(map(str, lookup_join(fact, dim, ["k"], ["id"], how).collect()))
-        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        try:
-            joined = lookup_join(fact, dim, ["k"], ["id"], how)
-            assert "_salt" in joined._jdf.queryExecution().analyzed().toString()
-            assert sorted(map(str, joined.collect())) == plain
-        finally:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+def test_numbers_of_spread_out_null_and_repeated_keys(spark):
+    hashed = spark.range(3000).select(F.xxhash64("id").alias("k"))
+    numbered = number_rows(hashed, "k", "n")
+    assert [r.n for r in numbered.orderBy("k").collect()] == list(range(1, 3001))
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition(_range") == 2  # over ranges, or inside one
+    few = number_rows(spark.createDataFrame([(5,), (None,), (5,), (-7,)], "k bigint"), "k", "n")
+    assert sorted((str(r.k), r.n) for r in few.collect()) == [("-7", 2), ("5", 3), ("5", 3), ("None", 1)]
+
+
+def test_lookup_join_deals_out_rows_without_a_key(spark):
+    fact = spark.range(1000).select(F.when(F.col("id") < 700, None).otherwise(F.col("id") % 9).cast("bigint").alias("k"), "id")
+    dim = spark.createDataFrame([(i, i * 10) for i in range(8)] + [(None, 5)], "k bigint, v bigint")
+    for how, n in (("left", 1000), ("inner", 267)):
+        rows = lookup_join(fact, dim, ["k"], ["id"], how).collect()
+        assert len(rows) == n and all(r.v == (None if r.k in (None, 8) else r.k * 10) for r in rows)
+
+
+def test_cost_of_an_open_end_and_a_negative_discount(spark):
+    df = spark.createDataFrame([(Decimal("10"), 95988, Decimal("-9.5"))], "m decimal(26,8), n int, d decimal(5,4)")
+    assert df.select(package_cost(F.col("n"), F.col("m"), F.col("d"))).first()[0] == Decimal("10078740.0000")
