@@ -11,11 +11,13 @@ least `percent`. Earlier lines count whether or not they go themselves. Lines of
    position, and the overlap that 128-bit token maps still allow are tested in the join.
 3. What is left is verified on the lines themselves.
 
-A match is needed for each line, not every match. Tokens that stand in the prefixes of `HOT` sets
-or more are therefore taken first with one set each, the earliest of the same size, for two turns;
-only sets that are still without a match meet all earlier sets under a hot token. Nothing is capped.
+A match is needed for each line, not every match. Under tokens that stand in the prefixes of `HOT`
+sets or more, a set is therefore first compared with one set only, the earliest of its size; only
+sets that are still without a match meet all earlier sets there. Nothing is capped.
 
-Only Spark functions are used. The driver holds one table of `SLOTS` counts, whatever the input.
+Only Spark functions are used. The driver holds one table of `SLOTS` counts, whatever the input; a
+token that shares its slot with a frequent one counts as frequent, which changes the order of tokens
+and not the result.
 
 Defined cases: null and empty texts have no lines to remove and stay as they are. A null doc_id
 counts as the smallest. Rows that repeat doc_id and text are one document and get equal results.
@@ -32,49 +34,50 @@ from leasebook.llm.common import KEY, keyed, stage, wrapped
 
 PERCENT = 80
 MIN_TOKENS = 5
-SLOTS = 1 << 13
+SLOTS = 1 << 18
 HOT = 64
-TURNS = 2
 PLACE = ["id", "line", "th"]
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"\s+"), lambda t: t != ""))
+    """Tokens in order, with repeats; blanks in a row leave empty ones."""
+    return F.split(F.translate(F.lower(line), "\t\r\x0b\f\n", "     "), " ")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line, th, tokens) of every line with enough tokens."""
-    split = keyed(docs).where("text IS NOT NULL").select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return split.select(*PLACE, _tokens(F.col("content")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(SLOTS - 1).cast("int")
 
 
-def _slot(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
-
-
-def _rarity(lines: DataFrame) -> Column:
-    """Literal array: class (logarithm of the count) of every token slot."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(_slot(F.col("t")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    table = [0] * SLOTS
+def _rarity(docs: DataFrame) -> Column:
+    """One byte a token slot: a class for the logarithm of its count over all documents."""
+    words = keyed(docs).select(F.explode(_tokens(F.col("text"))).alias("t")).where("t <> ''")
+    counts = words.groupBy(_slot(F.xxhash64("t")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    table = bytearray(b"0" * SLOTS)
     for row in counts.toLocalIterator():  # at most SLOTS rows
-        table[row["slot"]] = min(int(math.log2(row["n"])) + 1, 63)
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+        table[row["slot"]] = 48 + min(int(2 * math.log2(row["n"])) + 1, 63)
+    return F.lit(bytes(table))
 
 
-def _sets(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(lines with the key of their set, sets with first line, size, maps and prefix)."""
-    rarity = _rarity(lines)
-    mark = lambda t: F.shiftleft(F.get(rarity, _slot(t)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(3), t), 8))
+def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(lines with the key of their set, sets with first line, size, maps and prefix).
+
+    A token is a long whose high bits are its rarity class and whose low bits a hash.
+    """
+    rarity = _rarity(docs)
+    rare = lambda h: F.ascii(F.substring(rarity, _slot(h) + 1, F.lit(1)).cast("string")) - 48
+    long = lambda h: F.shiftleft(rare(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    mark = lambda t: F.when(t == "", F.lit(-1).cast("long")).otherwise(long(F.xxhash64(t)))
     n = F.size("marks")
     bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m.bitwiseAND(63).cast("int"))
     side = lambda k: F.aggregate(
-        F.filter("marks", lambda m: F.shiftright(m, 6).bitwiseAND(1) == k), F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(bit(m)))
-    marked = lines.select(*PLACE, F.sort_array(F.transform("tokens", mark)).alias("marks"))
-    keys = marked.select(
+        "marks", F.lit(0).cast("long"), lambda a, m: F.when(m.bitwiseAND(64) == 64 * k, a.bitwiseOR(bit(m))).otherwise(a))
+    lines = keyed(docs).where("text IS NOT NULL").select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    marked = lines.select(*PLACE, F.sort_array(F.array_distinct(F.array_remove(
+        F.transform(_tokens(F.col("content")), mark), F.lit(-1).cast("long")))).alias("marks")).where(F.size("marks") >= MIN_TOKENS)
+    placed = stage(marked.select(
         *PLACE, F.xxhash64("marks").alias("k1"), F.xxhash64(F.lit(7), "marks").alias("k2"), n.alias("n"),
         side(0).alias("b1"), side(1).alias("b2"),
-        F.slice("marks", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
-    placed = stage(keys)
+        F.slice("marks", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix")))
     sets = placed.groupBy("k1", "k2").agg(F.min(F.struct(
         F.struct(*PLACE).alias("at"), "n", "b1", "b2", "prefix")).alias("s")).select("k1", "k2", "s.*")
     return placed.select(*PLACE, "k1", "k2"), stage(sets)
@@ -102,7 +105,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
     by_doc = wanted.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_set("at.line").alias("lines"))
     found = keyed(docs).join(by_doc, KEY).select(*KEY, F.split("text", "\n").alias("parts"), F.explode("lines").alias("line"))
-    tokens = stage(found.select(F.struct(*PLACE).alias("at"), _tokens(F.get("parts", F.col("line"))).alias("tokens")).dropDuplicates(["at"]))
+    tokens = stage(found.select(F.struct(*PLACE).alias("at"), F.array_distinct(F.array_remove(
+        _tokens(F.get("parts", F.col("line"))), "")).alias("tokens")).dropDuplicates(["at"]))
     for side in ("x", "y"):
         pairs = pairs.join(tokens.select(F.col("at").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
     both = F.size(F.array_intersect("x_tokens", "y_tokens"))
@@ -112,22 +116,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (id, line, th) of the lines that go; line is counted from 0."""
-    lines, sets = _sets(_lines(docs), percent)
+    lines, sets = _sets(docs, percent)
     rows = sets.select("at", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "mark"))
     hot_marks = stage(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= HOT).select("mark"))
     hot = stage(rows.join(hot_marks, "mark"))
     cold = rows.join(hot_marks, "mark", "left_anti")
 
-    done = None
-    for _ in range(TURNS):
-        open_ = hot if done is None else hot.join(done.withColumnRenamed("x", "at"), "at", "left_anti")
-        hubs = open_.groupBy("mark", "n").agg(F.min(F.struct("at", "b1", "b2", "pos")).alias("hub")).select("mark", "n", "hub.*")
-        same = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.n") == F.col("y.n"))
-        pairs = open_.alias("x").join(hubs.alias("y"), same & _could_match("x", "y", percent))
-        best = pairs.groupBy(F.col("x.at").alias("x"), F.col("y.at").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
-        best = best.groupBy("x").agg(F.max_by("y", "shared").alias("y"))
-        new = _verified(best, docs, percent)
-        done = new if done is None else stage(done.unionByName(new))
+    hubs = hot.groupBy("mark", "n").agg(F.min(F.struct("at", "b1", "b2", "pos")).alias("hub")).select("mark", "n", "hub.*")
+    same = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.n") == F.col("y.n"))
+    pairs = hot.alias("x").join(hubs.alias("y"), same & _could_match("x", "y", percent))
+    often = pairs.groupBy(F.col("x.at").alias("x"), F.col("y.at").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    done = _verified(often.groupBy("x").agg(F.max_by("y", "shared").alias("y")), docs, percent)
 
     left = hot.join(done.withColumnRenamed("x", "at"), "at", "left_anti")
     candidates = None
