@@ -78,7 +78,7 @@ C["expiring_finder_search"] = _expiring(
     "h.LicenseExpirationDate BETWEEN DATE '1995-06-01' AND DATE '2001-12-01' AND lower(c.ClientName) LIKE '%customer%'"
     " AND lower(cp.ClientName) LIKE '%er#0%'")
 C["expiring_client_info"] = """
-SELECT concat_ws('-', CAST(h.ClientID AS VARCHAR), h.Location) AS ClientLocationKey, c.ClientName,
+SELECT CAST(h.ClientID AS VARCHAR) || '-' || h.Location AS ClientLocationKey, c.ClientName,
   cp.ClientName AS ClientPartnerName, h.Location, c.BillingContactName, c.BillingEmail
 FROM header h LEFT JOIN client c ON h.ClientID = c.ClientID LEFT JOIN partner p ON h.PackageID = p.PackageID
   LEFT JOIN client cp ON p.ClientPartnerID = cp.ClientID
@@ -89,7 +89,7 @@ GROUP BY h.ClientID, h.Location, c.ClientName, cp.ClientName, c.BillingContactNa
 
 def _package_info(where: str) -> str:
     return f"""
-SELECT concat(CAST(h.ClientID AS VARCHAR), '-', h.Location) AS ClientLocationKey, h.PackageID,
+SELECT CAST(h.ClientID AS VARCHAR) || '-' || h.Location AS ClientLocationKey, h.PackageID,
   coalesce(b.Quantity, 0) AS LicensedUsers, h.UserMinimum, b.Price AS BasePrice, h.LicenseStartDate,
   h.LicenseExpirationDate, {TERM} AS DurationMonths,
   coalesce(r.Cost, CAST(0 AS DECIMAL(28,4))) AS CalculatedRenewalCost

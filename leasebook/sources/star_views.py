@@ -35,13 +35,13 @@ VIEWS["item_log"] = """
 SELECT p_partkey AS ItemChangeID, DATE '2019-06-01' AS Updated FROM part WHERE p_size > 16"""
 
 VIEWS["header"] = """
-SELECT o_orderkey AS PackageID, o_custkey AS ClientID, n_name AS Location,
+SELECT o_orderkey AS PackageID, o_custkey AS ClientID, CASE WHEN o_orderkey % 101 <> 7 THEN n_name END AS Location,
   CAST(o_orderdate AS DATE) AS LicenseStartDate,
-  CAST(CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '1' MONTH
+  CAST(CASE WHEN o_orderkey % 211 = 3 THEN DATE '9999-12-31' WHEN o_orderkey % 223 = 4 THEN NULL ELSE CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '1' MONTH
     WHEN 1 THEN CAST(o_orderdate AS DATE) + INTERVAL '3' MONTH
     WHEN 2 THEN CAST(o_orderdate AS DATE) + INTERVAL '12' MONTH
-    ELSE CAST(o_orderdate AS DATE) + INTERVAL '24' MONTH END AS DATE) AS LicenseExpirationDate,
-  CAST((o_orderkey % 5) * 0.02 AS DECIMAL(5,4)) AS PackageDiscount,
+    ELSE CAST(o_orderdate AS DATE) + INTERVAL '24' MONTH END END AS DATE) AS LicenseExpirationDate,
+  CAST(CASE WHEN o_orderkey % 199 = 6 THEN -9.5 ELSE (o_orderkey % 5) * 0.02 END AS DECIMAL(5,4)) AS PackageDiscount,
   CAST(o_orderkey % 50 AS INT) AS UserMinimum,
   CASE WHEN o_orderpriority IN ('1-URGENT', '3-MEDIUM') THEN 3
     WHEN o_orderpriority IN ('2-HIGH', '5-LOW') THEN 2 ELSE 1 END AS HeaderChangeID,
@@ -54,7 +54,8 @@ SELECT l_orderkey AS PackageID, l_partkey AS ItemID, CAST(sum(l_quantity) AS INT
 FROM lineitem GROUP BY l_orderkey, l_partkey"""
 
 VIEWS["detail"] = """
-SELECT m.PackageID, m.ItemID, CAST(p_retailprice AS DECIMAL(19,4)) AS Price, Quantity, Discount, LicenseFactor,
+SELECT m.PackageID, m.ItemID, CAST(CASE WHEN (m.PackageID + m.ItemID) % 97 <> 3 THEN p_retailprice END AS DECIMAL(19,4)) AS Price,
+  CASE WHEN (m.PackageID + m.ItemID) % 89 <> 4 THEN Quantity END AS Quantity, Discount, LicenseFactor,
   CASE WHEN o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND Discount < 0.05 THEN 3
     WHEN o_orderpriority <> '4-NOT SPECIFIED' AND LicenseFactor >= 0.04 THEN 2
     ELSE 1 END AS DetailItemChangeID
@@ -87,10 +88,16 @@ VIEWS["detail_log"] = """
 SELECT d.PackageID, k AS DetailItemChangeID, ItemID, k AS DetailGroupChangeID, Price, Quantity + k - 1 AS Quantity,
   Discount, LicenseFactor, CASE WHEN k = 1 THEN 'INSERT' ELSE 'UPDATE' END AS Operation
 FROM detail d JOIN version v ON d.PackageID = v.PackageID
-WHERE k = 1 OR (k = 2 AND LicenseFactor >= 0.04) OR (k = 3 AND Discount < 0.05)"""
+WHERE k = 1 OR (k = 2 AND LicenseFactor >= 0.04) OR (k = 3 AND Discount < 0.05)
+UNION ALL
+SELECT o_orderkey, 2, 5, 1, CAST(1 AS DECIMAL(19,4)), 1, CAST(0 AS DECIMAL(5,4)), CAST(0 AS DECIMAL(5,4)), 'DELETE'
+FROM orders LEFT JOIN merged_lines m ON o_orderkey = m.PackageID AND m.ItemID = 5
+WHERE m.PackageID IS NULL AND o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0"""
 
 VIEWS["partner_log"] = """
-SELECT PackageID, ClientPartnerChangeID, ClientPartnerID, PartnerSplitPercentage, 'INSERT' AS Operation FROM partner"""
+SELECT PackageID, ClientPartnerChangeID, ClientPartnerID, PartnerSplitPercentage, 'INSERT' AS Operation FROM partner
+UNION ALL
+SELECT o_orderkey, 4, o_custkey, CAST(0.05 AS DECIMAL(5,4)), 'DELETE' FROM orders WHERE o_orderpriority = '3-MEDIUM'"""
 
 VIEWS["note_log"] = """
 SELECT PackageID, NoteChangeID, Note, 'INSERT' AS Operation, 1 AS LicPackageChangeID, DATE '2019-06-01' AS Updated,
@@ -145,7 +152,11 @@ FROM client
 UNION ALL
 SELECT -1000000000000 - s_suppkey, 0, s_name, '', 'DOCK', 1, CAST(0 AS DECIMAL(5,4)), CAST(0 AS DECIMAL(5,4)),
   DATE '2002-01-01', DATE '2002-12-31', '', 'clerk'
-FROM supplier"""
+FROM supplier
+UNION ALL
+SELECT -2000000000000 - o_orderkey, o_orderkey, ClientName, '', 'AGAIN', 1, CAST(0 AS DECIMAL(5,4)), CAST(0 AS DECIMAL(5,4)),
+  DATE '2002-01-01', DATE '2002-12-31', '', 'clerk'
+FROM orders JOIN client ON o_custkey = ClientID WHERE o_orderkey % 307 = 8"""
 
 VIEWS["submission_lines"] = """
 SELECT l_orderkey AS submission_id, l_partkey AS RowNo,
