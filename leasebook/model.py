@@ -68,6 +68,18 @@ COLUMNS = {
     "change_items": ["LicensePackageID", "LicensePackageChangeID", "ItemID",
                      "LatestDetailGroupChangeID"],
 }
+_HEADER_VALUES = ["ClientID", "Location", "LicenseStartDate", "LicenseExpirationDate", "PackageDiscount", "UserMinimum"]
+SOFT_COLUMNS = {
+    "header": ["PackageID", *_HEADER_VALUES, "Inactive", "ChangeID"],
+    "detail": ["PackageID", "ItemID", "Price", "Quantity", "Discount", "LicenseFactor", "Inactive", "ChangeID"],
+    "partner": ["PackageID", "ClientPartnerID", "PartnerSplitPercentage", "Inactive", "ChangeID"],
+    "note": ["PackageID", "Note", "Inactive", "ChangeID"],
+    "header_log": ["PackageID", "ChangeID", *_HEADER_VALUES, "Inactive", "Operation"],
+    "detail_log": ["PackageID", "ChangeID", "ItemID", "Price", "Quantity", "Discount", "LicenseFactor", "Inactive", "Operation"],
+    "partner_log": ["PackageID", "ChangeID", "ClientPartnerID", "PartnerSplitPercentage", "Inactive", "Operation"],
+    "note_log": ["PackageID", "ChangeID", "Note", "Operation", "Inactive"],
+    "change_log": ["PackageID", "ChangeID", "HeaderChangeID", "ClientPartnerChangeID", "NoteChangeID", "Updated", "UpdatedBy"],
+}
 CURRENT_TABLES = ["header", "detail", "partner", "note"]
 LOG_TABLES = ["header_log", "detail_log", "partner_log", "note_log", "change_log", "change_items"]
 DIMENSION_TABLES = ["client", "item", "item_log"]

@@ -88,15 +88,16 @@ def mark_new_packages(submissions: DataFrame, header: DataFrame) -> DataFrame:
     return submissions.join(known, "PackageID", "left").withColumn("IsNew", is_new).drop("_known")
 
 
-def number_new_packages(marked: DataFrame, header: DataFrame) -> DataFrame:
+def number_new_packages(marked: DataFrame, header: DataFrame, highest: int | None = None) -> DataFrame:
     """Add FinalPackageID: known packages keep their id, new ones continue after the highest.
 
-    New packages are numbered in the order of submission_id.
+    New packages are numbered in the order of submission_id. `highest` is for a `header` that holds
+    a part of all packages only.
     """
     kept = marked.where("NOT IsNew").withColumn("FinalPackageID", F.col("PackageID"))
     fresh = number_rows(marked.where("IsNew"), "submission_id", "_number")
-    highest = header.agg(F.coalesce(F.max("PackageID"), F.lit(0))).scalar()
-    return kept.unionByName(fresh.withColumn("FinalPackageID", highest + F.col("_number")).drop("_number"))
+    after = header.agg(F.coalesce(F.max("PackageID"), F.lit(0))).scalar() if highest is None else F.lit(highest).cast("long")
+    return kept.unionByName(fresh.withColumn("FinalPackageID", after + F.col("_number")).drop("_number"))
 
 
 def assign_package_ids(submissions: DataFrame, header: DataFrame) -> DataFrame:

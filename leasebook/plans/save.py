@@ -24,6 +24,11 @@ def as_of_column(as_of: dt.date | dt.datetime | None) -> Column:
     return F.current_timestamp() if as_of is None else F.lit(as_of)
 
 
+def _counts(frames: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        d.agg(F.count(F.lit(1)).alias("RowCount")).select(F.lit(n).alias("Frame"), "RowCount") for n, d in frames.items()])
+
+
 class CheckedBatch:
     """Submissions and lines after validation; a refused submission does not stop the others.
 
@@ -31,8 +36,9 @@ class CheckedBatch:
     cannot be read refuses its submission, and leaves the package as it is.
     """
 
-    def __init__(self, client: DataFrame, item: DataFrame, header: DataFrame, batch: DataFrame, lines: DataFrame | None):
-        self._client, self._item, self._header = client, item, header
+    def __init__(self, client: DataFrame, item: DataFrame, header: DataFrame, batch: DataFrame, lines: DataFrame | None,
+                 highest: int | None = None):
+        self._client, self._item, self._header, self._highest = client, item, header, highest
         self._unread = None
         if lines is None:
             lines, self._unread = submissions.parse_lines(batch), submissions.parse_errors(batch)
@@ -57,7 +63,7 @@ class CheckedBatch:
     def accepted(self) -> DataFrame:
         """Accepted submissions with their final PackageID."""
         ok = self.checked.where("ErrorText IS NULL").drop("ErrorText")
-        numbered = submissions.number_new_packages(ok, self._header)
+        numbered = submissions.number_new_packages(ok, self._header, self._highest)
         return stage(numbered.drop("PackageID").withColumnRenamed("FinalPackageID", "PackageID"))
 
     @cached_property
@@ -89,8 +95,9 @@ class SaveBatch(CheckedBatch):
     """First schema: removed lines are deleted, logs hold the values before each change."""
 
     def __init__(self, tables: BillingTables, batch: DataFrame, lines: DataFrame | None, as_of=None,
-                 base_item_id: int = BASE_ITEM_ID, null_safe: bool = False, post_image: bool = False):
-        super().__init__(tables.client, tables.item, tables.header, batch, lines)
+                 base_item_id: int = BASE_ITEM_ID, null_safe: bool = False, post_image: bool = False,
+                 highest: int | None = None):
+        super().__init__(tables.client, tables.item, tables.header, batch, lines, highest)
         self.tables, self.base_item_id = tables, base_item_id
         self._as_of, self._null_safe, self._post_image = as_of_column(as_of), null_safe, post_image
 
@@ -180,6 +187,10 @@ class SaveBatch(CheckedBatch):
             "change_log": self.change_log_rows, "change_items": self.change_items_rows,
         }
 
+    @property
+    def all_log_rows(self) -> dict[str, DataFrame]:
+        return self.log_rows
+
     def new_table(self, name: str) -> DataFrame:
         """A whole current table after the batch."""
         return replace_packages(getattr(self.tables, name), self.accepted, self.current_rows[name])
@@ -196,18 +207,15 @@ class SaveBatch(CheckedBatch):
 
     def dry_run(self) -> DataFrame:
         """What the batch would write and refuse, as row counts per frame; nothing is written."""
-        frames = {"refused": self.refused, **self.current_rows, **self.log_rows}
-        counts = [d.agg(F.count(F.lit(1)).alias("RowCount")).select(F.lit(n).alias("Frame"), "RowCount")
-                  for n, d in frames.items()]
-        return reduce(DataFrame.unionByName, counts)
+        return _counts({"refused": self.refused, **self.current_rows, **self.log_rows})
 
 
 class SoftSaveBatch(CheckedBatch):
     """Second schema: rows are marked inactive, headers always change, logs hold the new values."""
 
     def __init__(self, client: DataFrame, item: DataFrame, tables: SoftTables, batch: DataFrame, lines: DataFrame | None,
-                 as_of=None, base_item_id: int = BASE_ITEM_ID, null_safe: bool = False):
-        super().__init__(client, item, tables.header, batch, lines)
+                 as_of=None, base_item_id: int = BASE_ITEM_ID, null_safe: bool = False, highest: int | None = None):
+        super().__init__(client, item, tables.header, batch, lines, highest)
         self.tables, self.base_item_id = tables, base_item_id
         self._as_of, self._null_safe = as_of_column(as_of), null_safe
 
@@ -262,6 +270,14 @@ class SoftSaveBatch(CheckedBatch):
         )
         return changelog.change_log_rows(changed, self.next_changes, self.accepted, logs, self._as_of)
 
+    @property
+    def all_log_rows(self) -> dict[str, DataFrame]:
+        return {**self.log_rows, "change_log": self.change_log_rows}
+
+    def dry_run(self) -> DataFrame:
+        """What the batch would write and refuse, as row counts per frame; nothing is written."""
+        return _counts({"refused": self.refused, **self.current_rows, **self.all_log_rows})
+
     def new_table(self, name: str) -> DataFrame:
         return replace_packages(getattr(self.tables, name), self.accepted, self.current_rows[name])
 

@@ -1,12 +1,14 @@
+import dataclasses
 import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from leasebook.model import SoftTables
 from leasebook.operators import submissions as sub
 from leasebook.plans.save import SaveBatch, SoftSaveBatch
-from leasebook.sources.store import PackageStore
+from leasebook.sources.store import PackageStore, SoftPackageStore
 from tests.frames import batch, rows, same_lines, submission, tables
 
 DAY = dt.date(2024, 2, 29)
@@ -207,8 +209,62 @@ def test_one_batch_equals_single_submissions(spark, store, tmp_path):
 
 def test_uncommitted_batch_is_not_seen(spark, store):
     before = state(store.tables())
-    store._write_log("note_log", tables(spark).note_log, 1)
-    store._write_current("note", tables(spark).note.where("false"), 1)
+    store._write("log", "note_log", tables(spark).note_log, 1)
+    store._write("current", "note", tables(spark).note.where("false"), 1)
     assert state(store.tables()) == before
     store.save(*batch(spark, *CHANGE), DAY)
     assert len(state(store.tables())["note_log"]) == 2
+
+
+def test_cut_off_document_leaves_the_package(spark, store):
+    before = state(store.tables())
+    subs = batch(spark, [submission(1, 10), submission(2, 11, "Bolt")], [])[0]
+    docs = subs.withColumn("LinesXml", F.expr("CASE submission_id WHEN 1 THEN '<Root><r><Row>1' ELSE '<Root></Root>' END"))
+    b = store.save(docs, None, DAY)
+    assert rows(b.refused) == [(1, sub.BAD_DOCUMENT)]
+    after = state(store.tables())
+    assert [r for r in after["detail"] if r[0] == 10] == [r for r in before["detail"] if r[0] == 10]
+    assert not [r for r in after["detail"] if r[0] == 11]
+
+
+def test_submission_ids_are_required_and_unique(spark):
+    subs, lines = batch(spark, [submission(1, 10), submission(1, 11, "Bolt"), submission(2, 0)], [])
+    subs = subs.unionByName(subs.where("submission_id = 2").withColumn("submission_id", F.lit(None).cast("long")))
+    b = SaveBatch(tables(spark), subs, lines, DAY)
+    assert sorted(map(str, rows(b.refused))) == sorted(map(str, [
+        (None, sub.NO_SUBMISSION_ID), (1, sub.REPEATED_SUBMISSION_ID), (1, sub.REPEATED_SUBMISSION_ID)]))
+
+
+def test_batch_reads_only_its_buckets(spark, store):
+    subs, _ = batch(spark, *CHANGE)
+    touched = subs.select(store._bucket().alias("pkg_bucket")).distinct()
+    bucket = touched.first()[0]
+    for name in ("detail", "header", "detail_log", "change_log", "change_items"):
+        kind = "current" if name in ("detail", "header") else "log"
+        frame = store.spark.read.parquet(f"{store.root}/{kind}/{name}").join(F.broadcast(touched), "pkg_bucket", "left_semi")
+        assert {f.split("pkg_bucket=")[1].split("/")[0] for f, in frame.select(F.input_file_name()).distinct().collect()} <= {str(bucket)}
+        mine = store.spark.read.parquet(f"{store.root}/{kind}/{name}").where(F.col("pkg_bucket") == bucket).count()
+        assert getattr(store.tables(touched), name).count() == mine
+
+
+def test_superseded_files_are_removed(spark, store):
+    store.save(*batch(spark, *CHANGE), DAY)
+    before = state(store.tables())
+    assert store.clean() > 0 and state(store.tables()) == before and store.clean() == 0
+    with pytest.raises(ValueError):
+        PackageStore(spark, store.root, buckets=1 << 20)
+
+
+def test_soft_store_saves_and_reloads(spark, tmp_path):
+    t, soft = soft_tables(spark)
+    flagged = {n: getattr(soft, n).withColumn("Inactive", F.lit(0)) for n in ("detail_log", "partner_log", "note_log")}
+    soft = dataclasses.replace(soft, **flagged)
+    s = SoftPackageStore(spark, str(tmp_path / "soft"), buckets=4)
+    s.create(soft, t)
+    again = SoftPackageStore(spark, str(tmp_path / "soft"), buckets=4)
+    b = again.save(*batch(spark, [submission(1, 10, partner="", note=""), submission(2, 0)], [(1, 1, "Base", D(10), 4, D(0), D("0.05"))]), DAY)
+    after = s.tables()
+    assert rows(after.detail.where("PackageID = 10"), "ItemID", "Quantity", "Inactive", "ChangeID") == [(5, 4, 0, 2), (6, 1, 1, 2)]
+    top = after.detail_log.where("PackageID = 10").groupBy("ItemID").agg(F.max_by("Quantity", "ChangeID").alias("Quantity"))
+    assert rows(top, "ItemID", "Quantity") == [(5, 4), (6, 1)]
+    assert rows(b.accepted, "PackageID") == [(10,), (12,)] and dict(rows(b.dry_run()))["refused"] == 0
