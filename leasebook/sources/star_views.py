@@ -269,6 +269,10 @@ class StarSource:
             self._views[name] = self.query(f"SELECT * FROM {name}")
         return self._views[name]
 
+    def keep(self, name: str, rows: DataFrame) -> None:
+        """Take `rows` for a view from now on, such as its rows written to a file."""
+        self._views[name] = rows
+
     def tables(self) -> BillingTables:
         return _LazyTables(self, "")
 
