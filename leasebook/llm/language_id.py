@@ -48,7 +48,7 @@ class Duels:
         for i, j in self.pairs:
             rows = (labels == classes[i]) | (labels == classes[j])
             fits.append(svm(x[rows], np.where(labels[rows] == classes[i], 1.0, -1.0)))
-        self.weights = np.array(fits, np.float32).reshape(len(fits), -1)
+        self.weights = np.array(fits, np.float32)
 
     def choose(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the class and a certainty between 0 and 1, per row."""
