@@ -4,8 +4,9 @@ Found and validated: e-mail addresses, payment card numbers (13 to 19 digits, Lu
 telephone numbers with country code, IPv4 addresses (parts up to 255), IBANs (mod 97), US social
 security numbers, and calendar dates from 1900 to 2099 (year-month-day with - or /, and day.month.year).
 
-Each value is permuted within its format, so separators and lengths stay, card numbers keep a right
-check digit, IBANs right check digits, and dates are dates. A permutation depends on the key and the
+Each value is permuted within its format, so separators and lengths stay (but for the parts of an
+address, which stay under 256), card numbers keep a right check digit, IBANs right check digits, and
+dates are dates. A permutation depends on the key and the
 format only: equal values get equal pseudonyms in every document, different values different ones,
 and with the key the way back is open. Values that fail validation are left as they are.
 
@@ -28,7 +29,7 @@ ROUNDS = 8
 
 # The formats, in the order in which they are tried at a place.
 FORMATS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[0-9]{11,26}(?![A-Za-z0-9])",
     "ipv4": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9])",
@@ -189,8 +190,10 @@ HANDLERS: dict[str, Callable[[Column, str, bool], Column]] = {
 
 
 def findings(text: Column | str) -> Column:
-    """Texts that have one of the formats, in order."""
-    return F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))
+    """Texts that have one of the formats, in order. Every format has a digit or an @, so other texts are not searched."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))).when(
+        text.isNotNull(), F.array().cast("array<string>"))
 
 
 def pseudonym(value: Column, key: str, back: bool = False) -> Column:
