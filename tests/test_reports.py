@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 from decimal import Decimal as D
 
@@ -60,11 +61,11 @@ def test_history_cost_counts_each_line_once_per_version(t):
     assert v0 == [(10, D(341)), (11, D(360))]
 
 
-def test_history_repeats_per_cost_of_the_package(t):
-    got = rows(finder.finder_history(t), "PackageID", "ChangeID", "TotalPackageCost", "LicensedUsers", "ClientPartnerName")
+def test_history_repeats_per_cost_only_in_its_first_form(t):
+    got = rows(finder.finder_history(t, by_version_cost=False), "PackageID", "ChangeID", "TotalPackageCost", "LicensedUsers", "ClientPartnerName")
     assert got == [(10, 1, D("306.9"), 2, "Bolt"), (11, 1, D(180), None, None), (11, 1, D(540), None, None),
                    (11, 2, D(180), None, None), (11, 2, D(540), None, None)]
-    exact = rows(finder.finder_history(t, by_version_cost=True), "PackageID", "ChangeID", "TotalPackageCost")
+    exact = rows(finder.finder_history(t), "PackageID", "ChangeID", "TotalPackageCost")
     assert exact == [(10, 1, D("306.9")), (11, 1, D(270)), (11, 2, D(90))]
 
 
@@ -72,7 +73,15 @@ def test_finder_all_sorted_and_history_off(t):
     assert finder.finder_all(t).count() == 1
     got = finder.finder_all(t, FinderSearch(history="yes", inactive="1")).collect()
     keys = [(r.ClientName, r.ClientPartnerName or "", r.PackageID, r.ChangeID) for r in got]
-    assert keys == sorted(keys) and len(got) == 7
+    assert keys == sorted(keys) and len(got) == 5
+    assert finder.finder_all(t, FinderSearch(history="yes", inactive="1"), by_version_cost=False).count() == 7
+
+
+def test_blank_dates_bound_nothing_unless_asked(t):
+    header = t.header.withColumn("LicenseExpirationDate", F.when(F.col("PackageID") == 10, F.lit(dt.date(9999, 12, 31))))
+    open_ = dataclasses.replace(t, header=header)
+    assert rows(finder.finder_current(open_, FinderSearch(inactive="y")), "PackageID") == [(10,), (11,)]
+    assert rows(finder.finder_current(open_, FinderSearch(inactive="y", open_years=100)), "PackageID") == []
 
 
 def test_finder_v0_drops_missing_location(t):
