@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from leasebook.llm.common import map_rows
 
-MEMORY = 1 << 18
+MEMORY = 1 << 19
 LONGEST_REMEMBERED = 64
 
 
@@ -149,36 +149,45 @@ class Transducer:
         ids: list[int] = []
         if len(self.steps) > MEMORY:
             self._forget()
-        state = 0
+        state, get = 0, self.steps.get
         for byte in raw:
             key = state << 8 | byte
-            step = self.steps.get(key)
+            step = get(key)
             if step is None:
                 if len(self.steps) > 2 * MEMORY:  # within one very long piece: keep the state, forget the rest
                     now = self.states[state]
                     self._forget()
+                    get = self.steps.get
                     self.number[now] = state = len(self.states)
                     self.states.append(now)
                     key = state << 8 | byte
                 step = self.steps[key] = self._step(state, byte)
             state = step[0]
-            ids.extend(step[1])
+            if step[1]:
+                ids += step[1]
         return ids + list(self.states[state][-1][2])
 
 
 class Encoder(dict):
-    """Text to ids: pieces of the split pattern, each through the transducer; a dict of pieces seen."""
+    """Text to ids: pieces of the split pattern, each through the transducer; a dict of pieces seen.
+
+    When half of the memory is full its pieces become the old ones, which stay until the next time.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
+        self.old: dict[str, tuple[int, ...]] = {}
         self.ranks, self.split, self.machine = ranks, regex.compile(pattern), Transducer(ranks)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(self.machine.encode(raw))
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            ids = (whole,) if whole is not None else tuple(self.machine.encode(raw))
         if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) > MEMORY:
+            if len(self) > MEMORY // 2:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -230,6 +239,8 @@ class Decoder(dict):
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.bytes_of = {i: t for t, i in ranks.items()}
+        # Text of the tokens that are whole characters: what they do where nothing is unfinished.
+        self.whole = {i: text for i, t in self.bytes_of.items() for text, rest in [utf8(b"", t)] if not rest and "\ufffd" not in text}
 
     def __missing__(self, key: tuple[bytes, int]) -> tuple[str, bytes]:
         if len(self) > MEMORY:
@@ -246,6 +257,17 @@ class Decoder(dict):
         if pending:
             yield "�"
 
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of `stream`, with the short way for tokens of whole characters."""
+        out: list[str] = []
+        pending, whole = b"", self.whole.get
+        for id_ in ids:
+            text = None if pending else whole(id_)
+            if text is None:
+                text, pending = self[pending, id_]
+            out.append(text)
+        return "".join(out) + ("�" if pending else "")
+
 
 @lru_cache(maxsize=2)
 def coders(vocabulary: bytes, pattern: str) -> tuple[Encoder, Decoder]:
@@ -262,7 +284,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str = publi
         encoder, decoder = coders(vocabulary.value, pattern)
         for doc_id, raw in zip(batch["doc_id"], batch["raw"]):
             ids = encoder.encode((raw or b"").decode("utf-8", "replace"))
-            yield doc_id, len(ids), ids.tobytes(), "".join(decoder.stream(ids.tolist()))
+            yield doc_id, len(ids), ids.tobytes(), decoder.decode(ids.tolist())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     return map_rows(rows, code, "doc_id long, n_tokens long, ids binary, decoded string", 256)

@@ -174,7 +174,7 @@ def test_ids_equal_the_public_library(coder, texts, monkeypatch):
     for text in made:
         ids = encoder.encode(text).tolist()
         assert ids == known.encode_ordinary(text)
-        assert "".join(decoder.stream(ids)) == text
+        assert "".join(decoder.stream(ids)) == decoder.decode(ids) == text
 
 
 def test_decoder_of_broken_bytes(coder):
@@ -184,8 +184,9 @@ def test_decoder_of_broken_bytes(coder):
     pool = [0x41, 0x80, 0xBF, 0xC2, 0xE0, 0xA0, 0xED, 0x9F, 0xF0, 0x90, 0xF4, 0x8F, 0xFF, 0xE2, 0x82, 0xAC]
     for _ in range(2000):
         raw = bytes(rng.choice(pool) for _ in range(rng.randint(0, 9)))
-        out = "".join(decoder.stream(single[bytes([b])] for b in raw))
-        assert out == codecs.decode(raw, "utf-8", "replace")
+        ids = [single[bytes([b])] for b in raw]
+        out = "".join(decoder.stream(ids))
+        assert decoder.decode(ids) == out == codecs.decode(raw, "utf-8", "replace")
 
 
 # quality
