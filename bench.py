@@ -36,7 +36,7 @@ def written(spark, sf_dir: str, folder: str) -> StarSource:
 
 def run_once(source: StarSource, name: str, folder: str) -> float:
     if name == "store_save":  # one package in ten is submitted to a fresh store
-        store = PackageStore(source.spark, tempfile.mkdtemp(dir=folder), buckets=64)
+        store = PackageStore(source.spark, tempfile.mkdtemp(dir=folder), buckets=16)
         store.create(source.tables())
         start = time.time()
         store.save(source.view("submissions").where("submission_id % 10 = 0"),
