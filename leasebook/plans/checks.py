@@ -601,16 +601,23 @@ UNION ALL SELECT 'change_items', count(*) FROM ({C['change_items_rows']}) z"""
 
 # Second schema
 
-V["c_soft_diff"] = """
+V["c_soft_pairs"] = """
 SELECT coalesce(o.PackageID, n.pid) AS PackageID, coalesce(o.ItemID, n.ItemID) AS ItemID,
   CASE WHEN o.PackageID IS NULL THEN 'INSERT' WHEN n.pid IS NULL AND o.Inactive = 0 THEN 'DELETE' WHEN n.pid IS NULL THEN 'NONE'
     WHEN o.Inactive = 1 OR o.Price <> n.ItemPrice OR o.Quantity <> n.Quantity OR o.Discount <> n.ItemDiscount
       OR o.LicenseFactor <> n.LicenseFactor THEN 'UPDATE' ELSE 'NONE' END AS Action,
-  coalesce(n.ItemPrice, o.Price) AS Price, coalesce(n.Quantity, o.Quantity) AS Quantity,
-  coalesce(n.ItemDiscount, o.Discount) AS Discount, coalesce(n.LicenseFactor, o.LicenseFactor) AS LicenseFactor,
+  o.Price AS op, o.Quantity AS oq, o.Discount AS od, o.LicenseFactor AS ol,
+  n.ItemPrice AS np, n.Quantity AS nq, n.ItemDiscount AS nd, n.LicenseFactor AS nl,
   CASE WHEN n.pid IS NULL THEN 1 ELSE 0 END AS Inactive, o.ChangeID AS oid
 FROM (SELECT * FROM soft_detail WHERE PackageID IN (SELECT pid FROM c_accepted)) o
   FULL JOIN c_ok_lines n ON o.PackageID = n.pid AND o.ItemID = n.ItemID"""
+# Only an added or changed line takes the submitted values; a line without a change keeps its NULLs.
+V["c_soft_diff"] = """
+SELECT PackageID, ItemID, Action, CASE WHEN Action IN ('INSERT', 'UPDATE') THEN np ELSE op END AS Price,
+  CASE WHEN Action IN ('INSERT', 'UPDATE') THEN nq ELSE oq END AS Quantity,
+  CASE WHEN Action IN ('INSERT', 'UPDATE') THEN nd ELSE od END AS Discount,
+  CASE WHEN Action IN ('INSERT', 'UPDATE') THEN nl ELSE ol END AS LicenseFactor, Inactive, oid
+FROM c_soft_pairs"""
 C["apply_details_soft"] = """
 SELECT PackageID, ItemID, Price, Quantity, Discount, LicenseFactor, Inactive, ChangeID FROM soft_detail
 WHERE PackageID NOT IN (SELECT pid FROM c_accepted)
