@@ -17,8 +17,13 @@ across groups, less those whose rarest shingles rule a link out (`across_groups`
 is complete, so no link between groups is lost beyond the chance of banding
 ((1 - 0.8^4)^32 = 5e-8 a pair) and `miss`.
 
+A node is a set, named by a 64-bit hash of its two 64-bit keys; no doc_id takes part in it.
+
 Defined cases: null and empty texts have no shingles and stand alone. A null doc_id counts as the
-smallest id. Rows that repeat a doc_id are linked with each other.
+smallest id. Rows that share a doc_id (or have none) and differ in text are documents of their own;
+each is linked by its own text, and a group's first row is that of the smallest (doc_id, hash of
+text). Rows that repeat doc_id and text are one document and get equal results. Groups whose
+smallest doc_id is the same show the same component_id.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.llm import words as W
@@ -164,48 +169,46 @@ def across_groups(placed: DataFrame, texts: DataFrame, shingle_words: int, perce
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id of its group), kept."""
+def _grouped(docs: DataFrame, shingle_words: int, threshold: float, miss: float) -> DataFrame:
+    """Per row of `docs`: doc_id, id, th, n and `first`, the smallest (id, th) of its group."""
 
     def sketch(batch: dict[str, list]) -> Iterator[tuple]:
-        for doc_id, id_, raw in zip(batch["doc_id"], batch["id"], batch["raw"]):
+        for doc_id, id_, th, raw in zip(batch["doc_id"], batch["id"], batch["th"], batch["raw"]):
             members = shingles(raw or b"", shingle_words)
             if len(members):
                 k1, k2 = (int(W.signed(W.gram_hashes(members, len(members), lane))[0]) for lane in (0, 1))
-                yield doc_id, id_, len(members), k1, k2, signature(members).tobytes()
+                yield doc_id, id_, th, len(members), k1, k2, signature(members).tobytes()
             else:
-                yield doc_id, id_, 0, None, None, None
-
-    rows = keyed(docs).select("doc_id", "id", F.col("text").cast("binary").alias("raw"))
-    sketches = stage(map_rows(rows, sketch, "doc_id long, id long, n long, k1 long, k2 long, sig binary"))
-    classes = stage(sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node")))
-    nodes = stage(
-        sketches.select("id", "n", "k1", "k2", "sig").join(classes, ["k1", "k2"]).where("id = node")
-        .select("node", "n", "sig").dropDuplicates(["node"])
-    )
+                yield doc_id, id_, th, 0, None, None, None
+
+    rows = keyed(docs).select("doc_id", "id", _text_hash("text"), F.col("text").cast("binary").alias("raw"))
+    sketches = stage(map_rows(rows, sketch, "doc_id long, id long, th long, n long, k1 long, k2 long, sig binary").select(
+        "doc_id", "id", "th", "n", F.when(F.col("n") > 0, F.xxhash64("k1", "k2")).alias("node"), "sig"))
+    classes = stage(sketches.where("n > 0").groupBy("node").agg(
+        F.min(F.struct("id", "th")).alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    nodes = classes.select("node", "n", "sig", F.col("head.id").alias("id"))
 
     def banded(batch: dict[str, list]) -> Iterator[tuple]:
         if batch["sig"]:
             keys = W.signed(bands(np.frombuffer(b"".join(batch["sig"]), np.uint32).reshape(len(batch["sig"]), -1)))
-            yield from zip(batch["node"], batch["n"], keys.tolist())
-
-    buckets = map_rows(nodes, banded, "node long, n long, keys array<long>").select(F.explode("keys").alias("bucket"), "node", "n")
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
-    members = stage(buckets.join(hubs.select("bucket", "hub"), "bucket"))
-    texts = stage(
-        rows.join(members.select(F.col("node").alias("id")).distinct(), "id").select(F.col("id").alias("node"), "raw")
-        .where("raw IS NOT NULL").dropDuplicates(["node"])
-    )
+            yield from zip(batch["node"], batch["n"], batch["id"], keys.tolist())
+
+    buckets = map_rows(nodes, banded, "node long, n long, id long, keys array<long>").select(
+        F.explode("keys").alias("bucket"), "node", "n", F.struct("id", "node").alias("place"))
+    hubs = buckets.groupBy("bucket").agg(F.min("place").alias("hub"), F.max("place").alias("other")).where("hub < other")
+    members = stage(buckets.join(hubs.select("bucket", F.col("hub.node").alias("hub")), "bucket").drop("place"))
+    heads = classes.select("node", "head.*").join(members.select("node").distinct(), "node")
+    texts = stage(rows.join(heads, ["id", "th"]).select("node", "raw").dropDuplicates(["node"]))
     check = lambda pairs: verified(pairs, nodes, texts, shingle_words, threshold, miss)
 
-    met = members.where("node > hub").groupBy("hub", "node").agg(F.count(F.lit(1)).alias("shared"))
+    met = members.where("node <> hub").groupBy("hub", "node").agg(F.count(F.lit(1)).alias("shared"))
     best = met.groupBy("node").agg(F.max_by("hub", "shared").alias("hub"))
     links = check(best.select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
     # Every hub with all nodes of its buckets that are still in other groups.
     placed = _open(members, connected(links))
     x, y = placed.where("node = hub").alias("x"), placed.alias("y")
-    apart = F.expr(f"x.bucket = y.bucket AND x.node < y.node AND x.label <> y.label AND least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)")
+    apart = F.expr(f"x.bucket = y.bucket AND x.label <> y.label AND least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)")
     pairs = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     links = stage(links.unionByName(check(pairs)))
 
@@ -213,16 +216,31 @@ def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float
     links = stage(links.unionByName(check(across_groups(placed, texts, shingle_words, round(threshold * 100)))))
 
     labels = connected(links)
-    out = (
-        sketches.select("doc_id", "id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
-        .join(labels, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node", "id").alias("label"))
-    )
-    component = F.when(F.col("label") != SMALLEST_ID, F.col("label"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    heads = classes.select("node", "head")
+    firsts = labels.join(heads, "node").groupBy("label").agg(F.min("head").alias("first"))
+    linked = labels.join(firsts, "label").select("node", "first")
+    known = heads.join(linked, "node", "left").select("node", F.coalesce("first", "head").alias("first"))
+    return sketches.select("doc_id", "id", "th", "n", "node").join(known, "node", "left").select(
+        "doc_id", "id", "th", "n", F.coalesce("first", F.struct("id", "th")).alias("first"))
+
+
+_KEPT = "struct(id, th) = first"
+
+
+def _text_hash(text: str) -> Column:
+    """64 bits: rows without a doc_id are told apart by this alone."""
+    return F.xxhash64(text).alias("th")
+
+
+def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id of its group), kept."""
+    first = F.col("first.id")
+    return _grouped(docs, shingle_words, threshold, miss).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(first != SMALLEST_ID, first).alias("component_id"), F.expr(_KEPT).alias("kept"))
 
 
-def without_copies(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one row of each group: that of the smallest doc_id, once."""
-    kept = groups(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(SMALLEST_ID)).alias("id")).distinct()
-    return unwrapped(wrapped(docs).join(kept, "id").dropDuplicates(["id"]), docs.columns)
+def without_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """`docs` with one row of each group: that of the smallest doc_id and hash of text, once."""
+    kept = _grouped(docs, shingle_words, threshold, miss).where(_KEPT).select("id", "th").distinct()
+    rows = wrapped(docs).select("row", "id", _text_hash("row.text"))
+    return unwrapped(rows.join(kept, ["id", "th"]).dropDuplicates(["id", "th"]), docs.columns)

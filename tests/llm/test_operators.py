@@ -341,3 +341,21 @@ def test_copies_leave_one_row(spark):
     rows = without_copies(frames.odd(spark)).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(["None", "1", "2", "3", "4", "5", "7", "8", "9"])
     assert set(rows[0].asDict()) >= set(frames.NAMES) and all(r["row"] == "row" for r in rows)
+
+
+def test_rows_that_share_an_id_or_have_none_are_linked_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a), (7, b + " more"), (None, c), (None, c + " more"), (8, c), (None, "text of its own, linked with none"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in without_copies(df).collect()}
+    assert {(5, a), (5, b), rows[7], rows[8]} < got and len(got) == 5 and got - {(5, a), (5, b), rows[7], rows[8]} < {rows[4], rows[5]}
+    out = groups(df).collect()
+    assert sorted(r["component_id"] for r in out if r["doc_id"] in (5, 6, 7)) == [5] * 4
+    assert [r["kept"] for r in out if r["doc_id"] == 5] == [True, True] and not any(r["kept"] for r in out if r["doc_id"] in (6, 7, 8))
+    assert sum(r["kept"] for r in out if r["doc_id"] is None) == 3 and all(r["component_id"] is None for r in out if r["doc_id"] in (None, 8))
+
+
+def test_clean_rows_without_an_id_all_stay(spark):
+    rows = [(i if i % 3 else None, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in without_copies(df).collect()} == set(rows)
