@@ -2,10 +2,12 @@
 
 A line's set holds its distinct lower-cased tokens (split at blanks). A line goes if an earlier
 line (smaller doc_id, or before in the document) has a set whose Jaccard similarity to its own is at
-least `percent`. Earlier lines count whether or not they go themselves. Lines of fewer than
-`MIN_TOKENS` tokens stay, and match nothing.
+least `percent`. Earlier lines count whether or not they go themselves. Lines of any number of
+tokens are compared; only lines without a token stay as they are.
 
-1. Lines with equal sets are one set, known by its first line; its other lines go at once.
+1. Lines with equal sets are one set, known by its first line; its other lines go at once. Sets too
+   small to be similar to any but an equal one (n < t / (1 - t): up to 3 tokens at 80 percent) are
+   done with this.
 2. A set's tokens are ordered by rarity (a class from token counts, then a hash). Two similar sets
    share a token among the first n - ceil(t n) + 1, so only these prefixes are joined. Length,
    position, and the overlap that 128-bit token maps still allow are tested in the join.
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from leasebook.llm.common import KEY, keyed, stage, wrapped
 
 PERCENT = 80
-MIN_TOKENS = 5
 SLOTS = 1 << 18
 HOT = 64
 PLACE = ["id", "line", "th"]
@@ -73,7 +74,7 @@ def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         "marks", F.lit(0).cast("long"), lambda a, m: F.when(m.bitwiseAND(64) == 64 * k, a.bitwiseOR(bit(m))).otherwise(a))
     lines = keyed(docs).where("text IS NOT NULL").select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "content"))
     marked = lines.select(*PLACE, F.sort_array(F.array_distinct(F.array_remove(
-        F.transform(_tokens(F.col("content")), mark), F.lit(-1).cast("long")))).alias("marks")).where(F.size("marks") >= MIN_TOKENS)
+        F.transform(_tokens(F.col("content")), mark), F.lit(-1).cast("long")))).alias("marks")).where(F.size("marks") > 0)
     placed = stage(marked.select(
         *PLACE, F.xxhash64("marks").alias("k1"), F.xxhash64(F.lit(7), "marks").alias("k2"), n.alias("n"),
         side(0).alias("b1"), side(1).alias("b2"),
@@ -117,7 +118,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (id, line, th) of the lines that go; line is counted from 0."""
     lines, sets = _sets(docs, percent)
-    rows = sets.select("at", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "mark"))
+    rows = sets.where(F.col("n") * (100 - percent) >= percent).select("at", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "mark"))
     hot_marks = stage(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= HOT).select("mark"))
     hot = stage(rows.join(hot_marks, "mark"))
     cold = rows.join(hot_marks, "mark", "left_anti")

@@ -79,6 +79,18 @@ def test_lines_equal_brute_force(docs, texts, monkeypatch, hot):
     assert got
 
 
+@pytest.mark.parametrize("hot", [4, 64])
+def test_lines_of_any_length_equal_brute_force(spark, docs, texts, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    few = [x for x in texts if x[0] < 120]
+    rng = random.Random(3)
+    few += [(1000 + i, "\n".join(" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 6))) for _ in range(5))) for i in range(60)]
+    few += [(2000, "Share this page\n全文一行日本語。"), (2001, "share  this page\n全文一行日本語。\n \n\n"), (2002, "\n \nq1 q2 q3 q4\nq1 q2 q3 q4 q5")]
+    got = {(r["id"], r["line"]) for r in line_dedup.repeated_lines(spark.createDataFrame(few, "doc_id long, text string")).collect()}
+    assert got == frames.repeated_lines(few, fewest=1)
+    assert {(2001, 0), (2001, 1), (2002, 3)} <= got and not {(2001, 2), (2001, 3), (2002, 0), (2002, 1), (2002, 2)} & got
+
+
 # language
 
 def test_language_families_and_held_out_accuracy(docs):
