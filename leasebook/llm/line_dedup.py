@@ -142,13 +142,12 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return lines.join(gone, ["k1", "k2"]).where(F.col("similar") | (F.struct(*PLACE) > F.col("at"))).select(*PLACE)
 
 
-def without_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` with `text` less the lines that go, and a last column n_removed."""
+def without_repeated_lines(docs: DataFrame, percent: int = PERCENT, counted: bool = True) -> DataFrame:
+    """`docs` with `text` less the lines that go, and (if `counted`) a last column n_removed."""
     by_doc = repeated_lines(docs, percent).groupBy(*KEY).agg(F.collect_set("line").alias("gone"))
     joined = wrapped(docs).join(by_doc, KEY, "left")
     parts = F.split(F.col("row.text"), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
-    return joined.select(
-        *[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns],
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    count = [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")] if counted else []
+    return joined.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns], *count)

@@ -67,3 +67,9 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
             out = apply(spark, docs, str(tmp_path))
             assert out.columns == docs.columns
             out.collect()
+
+
+def test_line_stage_keeps_a_column_named_like_its_count(spark):
+    docs = frames.odd(spark).selectExpr("*", "'own' AS n_removed")
+    out = corpus_pipeline.lines(spark, docs, SMALL)
+    assert out.columns == docs.columns and {r["n_removed"] for r in out.collect()} == {"own"}
