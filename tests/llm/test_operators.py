@@ -282,6 +282,14 @@ def test_likeness_falls_with_edits_and_sees_order(spark):
     assert same == 1 and 1 > few > many and few > moved > mixed
 
 
+def test_an_early_edit_in_text_without_blanks_leaves_most_equal(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(letters) for _ in range(600)) for letters in ("日本語全文一行東京大学生会社員中国", "abcdefghijklmnopqrstuvwxyz0123456789")]
+    df = spark.createDataFrame([(x, x[:2] + "#" + x[2:]) for x in texts], "a string, b string")
+    df = order_minhash.fingerprint(order_minhash.fingerprint(df, "a", "x"), "b", "y")
+    assert all(r[0] > 0.8 for r in df.select(order_minhash.likeness("x", "y")).collect())
+
+
 # hashes
 
 def test_window_hashes_tell_words_apart():
