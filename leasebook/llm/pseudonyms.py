@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data: keyed Feistel networks inside each format.
 
 Found and validated: e-mail addresses, payment card numbers (13 to 19 digits, Luhn check digit),
-telephone numbers with country code, IPv4 addresses (parts up to 255), IBANs (mod 97), US social
-security numbers, and calendar dates from 1900 to 2099 (year-month-day with - or /, and day.month.year).
+telephone numbers with country code (also after 00) and those of three, three and four digits, IPv4
+addresses (parts up to 255), IBANs (mod 97; of the countries in `IBAN_LENGTHS` also in groups), US social security numbers, and calendar dates from 1900 to 2099 (year-month-day with - or /, and day.month.year).
 
 Each value is permuted within its format, so separators and lengths stay (but for the parts of an
 address, which stay under 256), card numbers keep a right check digit, IBANs right check digits, and
@@ -10,6 +10,11 @@ dates are dates. A permutation depends on the key and the
 format only: equal values get equal pseudonyms in every document, different values different ones,
 and with the key the way back is open. Values that fail validation are left as they are.
 
+Where a card in a usual grouping is followed by a short number, the longer number is taken if its
+check digit is right and the card itself otherwise; the pseudonym is drawn again while it would make the longer number right.
+Not found: dates in other forms (month/day/year, names of months, single digits), and other telephone
+numbers without a country code.
+
 Round functions are SHA-256 of key, format, round and the other half. Everything is a column
 expression; a text is split at its findings and joined again, row by row, without a shuffle.
 
@@ -26,16 +31,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+CARD_STEPS = 16
+
+# Characters in all, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBANS = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_GROUPED = r"(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})"
+_SHORT = r"[ -][0-9]{1,3}"  # a number after a card that may also be its end
 
 # The formats, in the order in which they are tried at a place.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[0-9]{11,26}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + _IBANS + r"|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "ipv4": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])",
-    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])"
+             r"|(?<![\w+.-])00[1-9][0-9]{0,2}[ -](?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![\w-])"
+             r"|(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![ -]?[\w-])",
+    "card": r"(?<![\w-])(?:" + _GROUPED + "(?:" + _SHORT + r"(?![\w-]|[ ./:][0-9]))?(?![\w-])"
+            r"|(?!(?:[0-9]{1,6}[ -]){1,2}" + _GROUPED + r"(?![\w-]))[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))",
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMATS.values())
 DATE_DAYS = (17, 4297)  # 1900-01-01 to 2099-12-31 has 17 * 4297 days
@@ -71,6 +90,11 @@ def _rounds(left: Column, right: Column, turned: Callable[[Column, int], Column]
     return state[0]["l"], state[0]["r"]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once and written once in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
@@ -85,9 +109,9 @@ def digits(value: Column, key: str, kind: str, back: bool = False) -> Column:
     return F.concat(F.when(cut > 0, F.lpad(l.cast("string"), cut, "0")).otherwise(""), F.lpad(r.cast("string"), n - cut, "0"))
 
 
-def refill(shape: Column, new: Column) -> Column:
-    """`shape` with its digits replaced by those of `new`, in order."""
-    parts = F.split(shape, "[0-9]", -1)
+def refill(shape: Column, new: Column, kind: str = "[0-9]") -> Column:
+    """`shape` with its digits (or what `kind` matches) replaced by those of `new`, in order."""
+    parts = F.split(shape, kind, -1)
     return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(new), F.lit(1))),
         lambda i: F.concat(F.substring(new, i, F.lit(1)), F.coalesce(F.get(parts, i), F.lit("")))), ""))
@@ -105,27 +129,48 @@ def _luhn_digit(body: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
-def _card(value: Column, key: str, back: bool) -> Column:
+def _card_alone(value: Column, key: str, back: bool) -> Column:
     plain = _only_digits(value)
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
-    new = digits(body, key, "card", back)
-    return F.when(F.right(plain, F.lit(1)) == _luhn_digit(body), refill(value, F.concat(new, _luhn_digit(new)))).otherwise(value)
+    return _let(digits(body, key, "card", back), lambda new: _let(
+        F.concat(new, _luhn_digit(new)), lambda whole: refill(value, whole)))
+
+
+def _right(value: Column) -> Column:
+    plain = _only_digits(value)
+    return F.length(plain).between(13, 19) & (F.right(plain, F.lit(1)) == _luhn_digit(F.substring(plain, F.lit(1), F.length(plain) - 1)))
 
 
-def _mod97(figures: Column) -> Column:
-    return F.aggregate(F.split(figures, ""), F.lit(0), lambda a, d: (a * 10 + d.cast("int")) % 97)
+def _card(value: Column, key: str, back: bool) -> Column:
+    """The whole number if its check digit is right, else the card before a short number at its end."""
+    whole = _right(value)
+    card = F.when(whole, value).otherwise(F.regexp_extract(value, f"^({_GROUPED}){_SHORT}$", 1))
+    tail = F.substring(value, F.length(card) + 1, F.length(value))
+    # Walks on while card and tail together would pass for one number; one step in ten does.
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(CARD_STEPS)), F.struct(card.alias("card"), F.lit(True).alias("on")), lambda s, _: F.when(
+        s["on"], F.transform(F.array(_card_alone(s["card"], key, back)), lambda c: F.struct(
+            c.alias("card"), ((tail != "") & _right(F.concat(c, tail))).alias("on")))[0]).otherwise(s))["card"]
+    # One walk serves both: with an empty tail it ends after the first step.
+    return F.when(whole | ((card != "") & _right(card)), F.concat(walked, tail)).otherwise(value)
 
 
-def _letters(country: Column) -> Column:
-    return F.concat((F.ascii(country) - 55).cast("string"), (F.ascii(F.substring(country, 2, 1)) - 55).cast("string"))
+def _mod97(characters: Column) -> Column:
+    """Letters count as 10 to 35."""
+    return F.aggregate(F.split(characters, ""), F.lit(0), lambda a, d: F.when(
+        d.between("A", "Z"), a * 100 + F.ascii(d) - 55).otherwise(a * 10 + d.cast("int")) % 97)
 
 
 def _iban(value: Column, key: str, back: bool) -> Column:
-    country, body = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
-    new = digits(body, key, "iban", back)
-    check = 98 - _mod97(F.concat(new, _letters(country), F.lit("00")))
-    valid = _mod97(F.concat(body, _letters(country), F.substring(value, 3, 2))) == 1
-    return F.when(valid, F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)).otherwise(value)
+    """Digits and letters of the account move each within their kind; blanks stay."""
+    country, rest = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
+    figures, letters = _only_digits(rest), F.regexp_replace(rest, "[^A-Z]", "")
+    shape = F.regexp_replace(F.regexp_replace(F.replace(rest, F.lit(" "), F.lit("")), "[A-Z]", "A"), "[0-9]", "9")
+    plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    valid = _mod97(F.concat(plain(rest), country, F.substring(value, 3, 2))) == 1
+    checked = lambda new: F.concat(country, F.lpad((98 - _mod97(F.concat(plain(new), country, F.lit("00")))).cast("string"), 2, "0"), new)
+    moved = _let(F.when(figures == "", "").otherwise(digits(figures, key, "iban", back)), lambda new: refill(rest, new))
+    turned = _let(_moved_letters(letters, key, "iban", F.concat(country, shape), back), lambda new: _let(moved, lambda old: refill(old, new, "[A-Z]")))
+    return F.when(valid, _let(F.when(letters == "", moved).otherwise(turned), checked)).otherwise(value)
 
 
 def _ipv4(value: Column, key: str, back: bool) -> Column:
@@ -148,12 +193,11 @@ def _date(value: Column, key: str, back: bool) -> Column:
     return F.when((day >= 0) & (day < low * high), shown).otherwise(value)
 
 
-def _email(value: Column, key: str, back: bool) -> Column:
-    """Letters and digits of the part before the @ move within their own kind; the domain is part of the key."""
-    local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
+def _moved_letters(local: Column, key: str, kind: str, domain: Column, back: bool) -> Column:
+    """Letters and digits of `local` move within their own kind; `domain` is part of the key."""
     cut = F.ceil(F.length(local) / 2).cast("int")
     def moved(text: Column, other: Column, turn: int) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(f"{key}|email|{turn}"), domain, other), 256)
+        digest = F.sha2(F.concat_ws("|", F.lit(f"{key}|{kind}|{turn}"), domain, other), 256)
 
         def shift(c: Column, i: Column) -> Column:
             by = F.conv(F.substring(digest, (i * 2) % 64 + 1, F.lit(2)), 16, 10).cast("int") * (-1 if back else 1)
@@ -170,12 +214,17 @@ def _email(value: Column, key: str, back: bool) -> Column:
         return F.struct(moved(s["l"], s["r"], turn).alias("l"), s["r"].alias("r"))
 
     left, right = _rounds(F.substring(local, F.lit(1), cut), F.substring(local, cut + 1, F.length(local)), turned, back)
-    return F.concat(left, right, F.lit("@"), F.substring_index(value, "@", -1))
+    return F.concat(left, right)
+
+
+def _email(value: Column, key: str, back: bool) -> Column:
+    domain = F.substring_index(value, "@", -1)
+    return F.concat(_moved_letters(F.substring_index(value, "@", 1), key, "email", F.lower(domain), back), F.lit("@"), domain)
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
     """The country code (digits before the first separator) stays; the others are permuted."""
-    head = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ (-])|^\+[0-9]", 0)
+    head = F.regexp_extract(value, r"^(?:\+|00)[0-9]{1,3}(?=[ (-])|^\+[0-9]", 0)
     rest = F.substring(value, F.length(head) + 1, F.length(value))
     return F.concat(head, refill(rest, digits(_only_digits(rest), key, "phone", back)))
 

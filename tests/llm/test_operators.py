@@ -251,6 +251,26 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert out[7].split()[1] != {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(df, "other").collect()}[7].split()[1]
 
 
+def test_pseudonyms_of_letters_groups_and_neighbours(spark):
+    ibans = ["GB82WEST12345698765432", "NL91ABNA0417164300", "FR1420041010050500013M02606", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    card = "4111 1111 1111 1111"
+    cards = [f"{card} 12/27", f"{card} 123", f"123 {card}", f"4111-1111-1111-1111 {card}", "4111111111111111 192.168.0.1", "3782 822463 10005 1234"]
+    cards += [f"{card} {i:03d}" for i in range(0, 1000, 37)]
+    phones = ["(212) 555-0123", "212-555-0123", "0049 30 1234567"]
+    rows = [(i, f"see {v}, then") for i, v in enumerate(ibans + cards + phones)]
+    new = pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key")
+    out = {r["doc_id"]: r["text"] for r in new.collect()}
+    assert {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(new, "key", back=True).collect()} == dict(rows)
+    shape = lambda x: "".join("9" if c.isdigit() else "A" if c.isupper() else c for c in x)
+    for i, v in enumerate(ibans):
+        got = out[i].removeprefix("see ").removesuffix(", then")
+        plain = got.replace(" ", "")
+        assert got != v and got[:2] == v[:2] and shape(got) == shape(v)
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert not any(x in t for t in out.values() for x in (card, "4111111111111111", "4111-1111", "192.168.0.1", "3782 822463", "555-0123", "1234567"))
+    assert out[len(ibans)].endswith(" 12/27, then")
+
+
 # fingerprints
 
 def test_fingerprints_follow_edits(spark, docs, texts):
