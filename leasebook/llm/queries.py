@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leasebook.llm.byte_bpe import encode_decode
 from leasebook.llm.common import documents, table
+from leasebook.llm.conversation_repair import damaged, repair
 from leasebook.llm.decontamination import contamination
 from leasebook.llm.language_id import learned_and_identified
 from leasebook.llm.line_dedup import without_repeated_lines
@@ -17,6 +18,7 @@ from leasebook.llm.order_minhash import edited_fingerprints
 from leasebook.llm.pseudonyms import findings, pseudonymise
 from leasebook.llm.quality import learned_and_scored
 from leasebook.llm.sharding import shard
+from leasebook.llm.simhash_dedup import groups as simhash_groups
 from leasebook.llm.substring_dedup import remove_repeats
 
 
@@ -72,6 +74,14 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -83,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_decontamination": op9_decontamination,
     "op10_order_minhash": op10_order_minhash,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
