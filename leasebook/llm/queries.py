@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leasebook.llm.byte_bpe import encode_decode
+from leasebook.llm.collocations import collocations
 from leasebook.llm.common import documents, table
 from leasebook.llm.conversation_repair import damaged, repair
 from leasebook.llm.decontamination import contamination
@@ -74,6 +75,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_decontamination": op9_decontamination,
     "op10_order_minhash": op10_order_minhash,
+    "op11_collocations": op11_collocations,
     "op12_simhash_dedup": op12_simhash_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -143,5 +149,22 @@ t AS (SELECT doc_id, count(*) AS n, string_agg(v, ',' ORDER BY v) AS ids
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
        sha256(coalesce(t.ids, '')) AS items_sha256, p.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op11_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w),
+y AS (SELECT lang, w, s, unnest(range(1, 6)) AS m FROM x),
+c AS (SELECT lang, w[s:s+m-1] AS ph, count(*) AS f FROM y WHERE s + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+k AS (SELECT lang, ph, f, unnest(range(1, len(ph))) AS k FROM c WHERE len(ph) > 1),
+q AS (SELECT k.lang, k.ph, k.f, k.k, l.f AS l, r.f AS r, (1000 * k.f::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+      FROM k JOIN t USING (lang) JOIN c l ON l.lang = k.lang AND l.ph = k.ph[1:k.k] JOIN c r ON r.lang = k.lang AND r.ph = k.ph[k.k+1:]),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+e AS (SELECT lang, f, ph[1:len(ph)-1] AS ph FROM c WHERE len(ph) > 2 UNION SELECT lang, f, ph[2:] FROM c WHERE len(ph) > 2),
+z AS (SELECT b.*, array_to_string(ph, ' ') AS phrase FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.lang = b.lang AND e.ph = b.ph AND e.f >= b.f)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM z)
+SELECT o.lang, rank::BIGINT AS rank, phrase, f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN t USING (lang) WHERE rank <= 2000
 """,
 }

@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 import zlib
-from itertools import product
+from collections import Counter
+from itertools import combinations, product
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leasebook.llm import conversation_repair, simhash_dedup
+from leasebook.llm import collocations, conversation_repair, simhash_dedup
 from tests.llm import frames
 
 SMALL = "/root/testdata/sf0.001"
@@ -220,3 +221,67 @@ def test_no_conversations(spark):
     assert conversation_repair.repair(conversation_repair.damaged(df)).count() == 0
     df = spark.createDataFrame([(1, 2, "user", "x" * 3_000_000 + ".", 5, "c")], df.schema)
     assert conversation_repair.repair(conversation_repair.undamaged(df)).first()["audit"] in ("D", "KI")
+
+
+# collocations
+
+def plain_collocations(rows, least, top):
+    count, total = Counter(), Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", frames.lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang or "und"] += len(w)
+            for i, j in combinations(range(len(w) + 1), 2):
+                if j - i <= 5:
+                    count[lang or "und", tuple(w[i:j])] += 1
+    held = {k: f for k, f in count.items() if f >= least}
+    out = []
+    for (lang, w), a in held.items():
+        longer = [v for (x, v), f in held.items() if x == lang and len(v) > len(w) and 100 * f >= 100 * a]
+        if len(w) < 2 or any(v[i: i + len(w)] == w for v in longer for i in range(len(v))):
+            continue
+        n = total[lang]
+        score, k = min((1000 * a * n // (held[lang, w[:k]] * held[lang, w[k:]]), k) for k in range(1, len(w)))
+        out.append((lang, score, a, " ".join(w), held[lang, w[:k]], held[lang, w[k:]], n))
+    result = set()
+    for lang in total:
+        ranked = sorted((r for r in out if r[0] == lang), key=lambda r: (-r[1], -r[2], r[3].encode()))[:top]
+        result |= {(lang, i, r[3], r[2], r[4], r[5], r[6], r[1]) for i, r in enumerate(ranked, 1)}
+    return result
+
+
+def check_collocations(spark, rows, least, top):
+    df = spark.createDataFrame([(*r, "x") for r in rows], "lang string, text string, phrase string")
+    got = [tuple(r) for r in collocations.collocations(df, least, top).collect()]
+    assert set(got) == plain_collocations(rows, least, top) and len(got) == len(set(got))
+    return got
+
+
+@pytest.mark.parametrize("chunk,bits", [(1 << 21, 1 << 26), (40, 1 << 10)])
+def test_collocations_equal_brute_force(spark, monkeypatch, chunk, bits):
+    """Also with texts read in small parts, and with a table so full that it lets much through."""
+    monkeypatch.setattr(collocations, "CHUNK", chunk)
+    monkeypatch.setattr(collocations, "TABLE_BITS", bits)
+    rng = random.Random(chunk)
+    made = lambda: " ".join(rng.choice(["a b c", "a  b", "A\tb c d e f", "x", "y.", "z,", "é", "u v\nw", "u v w", f"r{rng.randrange(40)}"]) for _ in range(rng.randint(0, 40)))
+    rows = [(rng.choice(["en", "en", "de", None]), made()) for _ in range(150)] + [("en", None), ("en", ""), (None, " \n"), ("fr", "one two")]
+    got = check_collocations(spark, rows, 5, 2000)
+    assert any(len(r[2].split()) == 5 for r in got) and {r[0] for r in got} >= {"en", "de", "und"}
+    check_collocations(spark, rows, 5, 3)
+
+
+def test_no_collocations(spark):
+    assert check_collocations(spark, [], 5, 9) == [] and check_collocations(spark, [(None, None), ("en", "")], 1, 9) == []
+
+
+def test_collocations_of_a_third_under_one_word(spark):
+    """Streams over several ranges, whose first phrases begin in ranges before."""
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(5)
+        rows = [("en", " ".join(["the"] + [rng.choice("abcd") for _ in range(6)])) for _ in range(700)]
+        check_collocations(spark, rows, 3, 2000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
