@@ -12,7 +12,8 @@ finely, until capacity and cuts are exact. Offsets are prefix sums over hash buc
 
 Defined cases: a null text has no bytes and is grouped with empty texts. Sizes are bytes plus 1.
 With fewer groups than shards some shards are empty. Repeated rows are rows of one group, each with
-a slot of its own.
+a slot of its own; rows of equal text and doc_id are alike, so which of them has which slot is open. A very
+long text is a group like others, by its bytes. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 from leasebook.llm.common import stage
 
 SHARDS = 16
-BUCKET_BITS = 12
+# Groups of a bucket, about, and bounds of the number of buckets.
+BUCKET_GROUPS = 1 << 16
+LEAST_BITS, MOST_BITS = 12, 20
 PIECES = 1 << 14
+# Stretches that are summed more finely at a time.
+STRETCHES = 256
 # Rows of one group that are numbered together.
 BIN_ROWS = 1 << 10
 GROUP = ["k1", "k2"]
@@ -70,7 +75,10 @@ class Runs:
         return low
 
     def unsure(self, shards: int, least: int) -> tuple[list[int], list[tuple[int, int]]]:
-        """The cuts, if they are certain, and the open stretches that could still move one."""
+        """The cuts, if they are certain, and the open stretches that could still move one.
+
+        Where these are more than `STRETCHES`, only those that the cuts of the two capacities meet.
+        """
         low, high = self.smallest(shards, least, True), self.smallest(shards, least, False)
         first, last = self.cuts(low, False), self.cuts(high, True)
         if low == high and first == last:
@@ -85,13 +93,29 @@ class Runs:
                     break
                 if self.open[i]:
                     wide.append((self.edges[i], self.edges[i + 1]))
+        return [], wide if len(wide := self._merged(wide)) <= STRETCHES else self._merged(self._met(low) + self._met(high))
+
+    def _met(self, capacity: int) -> list[tuple[int, int]]:
+        """Open stretches in which the hopeful cuts of a capacity lie.
+
+        If none were open, the cuts would be certain, so summing these makes headway.
+        """
+        out = []
+        for until in self.cuts(capacity, True):
+            i = bisect_right(self.edges, until) - 1
+            if until != math.inf and self.edges[i] < until and self.open[i]:
+                out.append((self.edges[i], self.edges[i + 1]))
+        return out
+
+    @staticmethod
+    def _merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
         joined: list[tuple[int, int]] = []
-        for begin, end in sorted(set(wide)):
+        for begin, end in sorted(set(stretches)):
             if joined and joined[-1][1] >= begin:
                 joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
             else:
                 joined.append((begin, end))
-        return [], joined
+        return joined
 
     def refine(self, parts: list[tuple[int, int, int, int]]) -> None:
         """Take in runs of groups: first start, last start, last end, number of groups."""
@@ -120,9 +144,10 @@ def _before(column: str, bucket: Window) -> Column:
 
 def _placed(groups: DataFrame) -> DataFrame:
     """Groups with the bytes and rows before them, in the order of their hashes."""
-    bucketed = groups.withColumn("bucket", F.shiftrightunsigned("k1", 64 - BUCKET_BITS).cast("int"))
+    bits = min(max((groups.count() // BUCKET_GROUPS).bit_length(), LEAST_BITS), MOST_BITS)
+    bucketed = groups.withColumn("bucket", F.shiftrightunsigned("k1", 64 - bits).cast("int"))
     inside = Window.partitionBy("bucket").orderBy(*GROUP)
-    # One row a bucket: 2^BUCKET_BITS rows at any size of input.
+    # One row a bucket: 2^MOST_BITS rows at most.
     sums = bucketed.groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
     over = Window.orderBy("bucket")
     starts = sums.select("bucket", _before("bytes", over).alias("byte_base"), _before("rows", over).alias("row_base"))
@@ -142,7 +167,7 @@ def _split(placed: DataFrame, shards: int, total: int, largest: int) -> list[int
             return cuts
         pieces = max(PIECES // len(unsure), 2)
         cell = F.lit(None).cast("long")
-        for k, (begin, end) in enumerate(unsure):
+        for k, (begin, end) in enumerate(unsure):  # STRETCHES at most
             step = -(-(end - begin) // pieces)
             cell = F.when((F.col("start") >= begin) & (F.col("start") < end),
                           F.floor((F.col("start") - begin) / F.lit(step)).cast("long") + k * (pieces + 1)).otherwise(cell)
