@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leasebook.llm import words as W
-from leasebook.llm.common import map_rows, stage
+from leasebook.llm.common import bit_table, map_rows, stage
 
 LONGEST = 5
 LEAST = 100
@@ -167,15 +167,7 @@ def _table(frequent: DataFrame):
             w = Words(lang, raw)
             yield (int(w.slots(len(w.starts), size)[0]),)
 
-    slots = map_rows(frequent.select("lang", "phrase"), slot, "slot long")
-    # A row per 512 bits at most: its size depends on TABLE_BITS alone.
-    blocks = slots.groupBy(F.shiftright("slot", 9).alias("block")).agg(F.collect_set(F.col("slot").bitwiseAND(511).cast("int")).alias("bits"))
-    table = np.zeros((size >> 9, 64), np.uint8)
-    for row in blocks.toLocalIterator():
-        bits = np.zeros(512, np.uint8)
-        bits[row["bits"]] = 1
-        table[row["block"]] = np.packbits(bits, bitorder="little")
-    return frequent.sparkSession.sparkContext.broadcast(table.tobytes())
+    return bit_table(map_rows(frequent.select("lang", "phrase"), slot, "slot long"), size)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

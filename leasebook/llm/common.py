@@ -1,7 +1,7 @@
 """What several operators share: document rows, their keys, Arrow output.
 
 A document row is known by `id` (its doc_id; a null id counts as the smallest) and `th`, a
-32-bit hash of its text. Rows that repeat a doc_id with another text are therefore judged
+64-bit hash of its text. Rows that repeat a doc_id with another text are therefore judged
 apart, and repeated equal rows get equal results.
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leasebook.sources import staging
 
-__all__ = ["SMALLEST_ID", "KEY", "documents", "keyed", "map_rows", "stage", "table", "unwrapped", "wrapped"]
+__all__ = ["SMALLEST_ID", "KEY", "bit_table", "documents", "keyed", "map_rows", "stage", "table", "unwrapped", "wrapped"]
 
 SMALLEST_ID = -(2**63)
 KEY = ["id", "th"]
@@ -50,7 +51,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _key() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST_ID)).alias("id"), F.hash("text").alias("th")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST_ID)).alias("id"), F.xxhash64("text").alias("th")]
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
@@ -95,3 +96,17 @@ def map_rows(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]],
                 yield pack(pending)
 
     return df.mapInArrow(out, empty.schema)
+
+
+def bit_table(slots: DataFrame, size: int):
+    """A table of `size` bits with those in column `slot` set, handed to all tasks.
+
+    The driver gets a row per 512 bits at most, whatever the number of slots.
+    """
+    blocks = slots.groupBy(F.shiftright("slot", 9).alias("block")).agg(F.collect_set(F.col("slot").bitwiseAND(511).cast("int")).alias("bits"))
+    table = np.zeros((max(size >> 9, 1), 64), np.uint8)
+    for row in blocks.toLocalIterator():
+        bits = np.zeros(512, np.uint8)
+        bits[row["bits"]] = 1
+        table[row["block"]] = np.packbits(bits, bitorder="little")
+    return slots.sparkSession.sparkContext.broadcast(table.tobytes())

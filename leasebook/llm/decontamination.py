@@ -111,7 +111,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
     rows = keyed(docs).select("doc_id", *KEY, F.col("text").cast("binary").alias("raw"))
     looked = stage(map_rows(
         rows, document_windows,
-        "doc_id long, id long, th int, n_words long, h1 array<long>, h2 array<long>, size array<int>, start array<int>"))
+        "doc_id long, id long, th long, n_words long, h1 array<long>, h2 array<long>, size array<int>, start array<int>"))
     hits = (
         looked.select(*KEY, F.explode(F.arrays_zip("h1", "h2", "size", "start")).alias("x"))
         .select(*KEY, "x.h1", "x.h2", "x.size", "x.start")

@@ -57,7 +57,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_
             yield id_, th, int(whole[0]), int(whole[1]), W.signed(grams[places]).tolist(), places.astype(np.int32).tolist()
 
     rows = keyed(docs).select(*KEY, F.col("text").cast("binary").alias("raw")).where("raw IS NOT NULL")
-    sketch = stage(map_rows(rows, seeds, "id long, th int, s1 long, s2 long, seeds array<long>, places array<int>"))
+    sketch = stage(map_rows(rows, seeds, "id long, th long, s1 long, s2 long, seeds array<long>, places array<int>"))
     first = sketch.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = sketch.select(*KEY, "s1", "s2").join(first, ["s1", "s2"]).where("id > first.id").select(*KEY).distinct()
     later = stage(later)
@@ -79,7 +79,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_
             yield id_, th, w1.tolist(), w2.tolist(), starts.astype(np.int32).tolist()
 
     windows = stage(
-        map_rows(rows.join(places, KEY), extended, "id long, th int, w1 array<long>, w2 array<int>, starts array<int>", 64)
+        map_rows(rows.join(places, KEY), extended, "id long, th long, w1 array<long>, w2 array<int>, starts array<int>", 64)
         .select(*KEY, F.explode(F.arrays_zip("w1", "w2", "starts")).alias("x"))
         .select(F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2"), *KEY, F.col("x.starts").alias("start"))
     )
