@@ -22,7 +22,8 @@ token that shares its slot with a frequent one counts as frequent, which changes
 and not the result.
 
 Defined cases: null and empty texts have no lines to remove and stay as they are. A null doc_id
-counts as the smallest. Rows that repeat doc_id and text are one document and get equal results.
+counts as the smallest. Rows that repeat doc_id and text are one document and get equal results. A very
+long text is one row's array of lines, a very long line one of tokens. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,11 +75,12 @@ def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         "marks", F.lit(0).cast("long"), lambda a, m: F.when(m.bitwiseAND(64) == 64 * k, a.bitwiseOR(bit(m))).otherwise(a))
     lines = keyed(docs).where("text IS NOT NULL").select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "content"))
     marked = lines.select(*PLACE, F.sort_array(F.array_distinct(F.array_remove(
-        F.transform(_tokens(F.col("content")), mark), F.lit(-1).cast("long")))).alias("marks")).where(F.size("marks") > 0)
+        F.transform(_tokens(F.col("content")), mark), F.lit(-1).cast("long")))).alias("marks"))
+    # Lines without tokens go after the write: a filter before it would make all marks twice.
     placed = stage(marked.select(
         *PLACE, F.xxhash64("marks").alias("k1"), F.xxhash64(F.lit(7), "marks").alias("k2"), n.alias("n"),
         side(0).alias("b1"), side(1).alias("b2"),
-        F.slice("marks", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix")))
+        F.slice("marks", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))).where("n > 0")
     sets = placed.groupBy("k1", "k2").agg(F.min(F.struct(
         F.struct(*PLACE).alias("at"), "n", "b1", "b2", "prefix")).alias("s")).select("k1", "k2", "s.*")
     return placed.select(*PLACE, "k1", "k2"), stage(sets)
@@ -143,11 +145,11 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, percent: int = PERCENT, counted: bool = True) -> DataFrame:
-    """`docs` with `text` less the lines that go, and (if `counted`) a last column n_removed."""
+    """`docs` with `text` less the lines that go, and (if `counted`) a last column n_removed in place of any other of that name."""
     by_doc = repeated_lines(docs, percent).groupBy(*KEY).agg(F.collect_set("line").alias("gone"))
     joined = wrapped(docs).join(by_doc, KEY, "left")
     parts = F.split(F.col("row.text"), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
     count = [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")] if counted else []
-    return joined.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns], *count)
+    return joined.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if not (counted and c == "n_removed")], *count)

@@ -11,8 +11,8 @@ bits are linked; groups are the connected documents.
 3. A pair that met is verified on the whole fingerprints, in the join itself.
 
 Groups need connections, not all pairs. Each variant's nodes are first compared with its smallest
-and its largest fingerprint only. Then the variants whose nodes are still in several groups are
-taken up again, and a pair is compared only across groups. A variant of more than `CROWD` nodes is
+and its largest fingerprint only; each node keeps one such link, and then one link is kept for each two groups
+that others join. Then the variants whose nodes are still in several groups are taken up again, and a pair is compared only across groups. A variant of more than `CROWD` nodes is
 first cut once more: two of its nodes differ in at most `distance` of the bits outside the segment, which
 are cut and indexed in the same way. In what is left only nodes outside the most frequent group look
 for partners, dealt over blocks of about `CROWD` nodes. Every link between groups is found; nothing
@@ -96,10 +96,22 @@ def _with_hubs(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _to_hubs(members: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) between nodes and the two hubs of their buckets."""
+    """Links (a, b) between each node and the smallest of its buckets' hubs that is near."""
     ends = members.select("fp", F.explode(F.array("low", "high")).alias("hub")).where("fp <> hub")
     near = ends.where(_close(F.col("fp"), F.col("hub"), distance))
-    return stage(near.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct())
+    return stage(near.groupBy("fp").agg(F.min("hub").alias("hub")).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")))
+
+
+def _between(pairs: DataFrame) -> DataFrame:
+    """One link per two groups whose labels a pair (p, q) has."""
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def _all_hubs(opened: DataFrame, by: list[str], distance: int) -> DataFrame:
+    """Links between the groups of nodes and of those hubs of their buckets that are near."""
+    labels = opened.where("fp = low OR fp = high").select(*by, F.col("fp").alias("hub"), F.col("label").alias("q"))
+    pairs = opened.join(labels, by).where(_close(F.col("fp"), F.col("hub"), distance) & (F.col("label") != F.col("q")))
+    return _between(pairs.select(F.col("label").alias("p"), "q"))
 
 
 def _open(members: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
@@ -112,23 +124,32 @@ def _open(members: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _across(rows: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """All links between groups inside the buckets of `rows`."""
+    """Links between all groups that have near nodes in a bucket of `rows`."""
     blocks = F.ceil(F.col("n") / CROWD).cast("int")
     x = rows.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
     y = rows.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).alias("y")
     meet = F.expr(" AND ".join(f"x.{c} = y.{c}" for c in [*by, "block"]) + " AND x.label <> y.label AND (x.fp < y.fp OR y.label = x.main)")
     pairs = x.join(y, meet & _close(F.col("x.fp"), F.col("y.fp"), distance))
-    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+    return _between(pairs.select(F.col("x.label").alias("p"), F.col("y.label").alias("q")))
+
+
+def _within(members: DataFrame, found: DataFrame, by: list[str], distance: int) -> tuple[DataFrame, DataFrame]:
+    """(more links: of all nodes with their hubs, rows of buckets that are still in several groups)."""
+    opened = _open(members, found, by)
+    found = stage(found.unionByName(_all_hubs(opened, by, distance)))
+    return found, _open(opened.drop("main"), found, by)
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) that connect distinct fingerprints `fp` as all pairs within `distance` would."""
+    """Links (a, b) that connect distinct fingerprints `fp` as all pairs within `distance` would.
+
+    A link stands for its two nodes or for the groups that links before it have made of them.
+    """
     segments = _cuts(list(range(64)), distance)
     # A variant's segment is told by its place in the array.
     indexed = nodes.select("fp", F.posexplode(_variants(segments)).alias("bit", "key"))
     members = _with_hubs(indexed, ["key"])
-    found = _to_hubs(members, distance)
-    opened = _open(members, found, ["key"])
+    found, opened = _within(members, _to_hubs(members, distance), ["key"], distance)
     found = stage(found.unionByName(_across(opened.where(F.col("n") <= CROWD), ["key"], distance)))
 
     crowded = opened.where(F.col("n") > CROWD)
@@ -142,8 +163,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     members = _with_hubs(inner, ["key", "inner"])
     if members.isEmpty():
         return found
-    found = stage(found.unionByName(_to_hubs(members, distance)))
-    opened = _open(members, found, ["key", "inner"])
+    found, opened = _within(members, found, ["key", "inner"], distance)
     return stage(found.unionByName(_across(opened, ["key", "inner"], distance)))
 
 

@@ -86,13 +86,17 @@ def shingle_groups(docs, size=5, percent=80):
     return {i: root(i) for i in sets}
 
 
-def repeated_lines(docs, percent=80, fewest=5):
+def line_tokens(line):
+    return {w for w in re.split(r"[ \t\n\x0b\f\r]+", line.lower()) if w}
+
+
+def repeated_lines(docs, percent=80):
     """(doc_id, line) of lines similar to an earlier one."""
     at, sets, out = defaultdict(list), [], set()
     for id_, text in sorted(docs):
         for number, line in enumerate((text or "").split("\n")):
-            s = {w for w in re.split(r"[ \t\n\x0b\f\r]+", line.lower()) if w}
-            if len(s) < fewest:
+            s = line_tokens(line)
+            if not s:
                 continue
             shared = defaultdict(int)
             for w in s:

