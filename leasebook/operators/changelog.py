@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.model import BASE_ITEM_ID
@@ -22,28 +24,17 @@ def next_package_change_id(packages: DataFrame, change_log: DataFrame) -> DataFr
     )
 
 
-def changed_packages(new_rows: list[DataFrame]) -> DataFrame:
-    """Packages with at least one new log row of any part."""
-    packages = new_rows[0].select("PackageID")
-    for rows in new_rows[1:]:
-        packages = packages.unionByName(rows.select("PackageID"))
-    return packages.distinct()
-
-
-def change_log_rows(changed: DataFrame, next_changes: DataFrame, accepted: DataFrame,
-                    logs: dict[str, tuple[DataFrame, DataFrame, str]], as_of) -> DataFrame:
+def change_log_rows(packages: DataFrame, parts: dict[str, tuple[Column, str, Column]], as_of) -> DataFrame:
     """One version row per changed package with the highest change id of each part.
 
-    `logs` maps an output column to (log before, new rows, id column). Each log is cut to the
-    accepted packages and brought to one row per package before they meet, instead of joining
-    the logs row by row.
+    `parts` maps an output column (or, without one, a name that starts with a dot) to (does the part change, the
+    highest logged id, the id it gets). All of it stands in the package frame, so nothing is joined.
     """
-    rows = changed.join(next_changes, "PackageID").join(accepted.select("PackageID", "LoginName"), "PackageID")
-    for column, (log, new, id_column) in logs.items():
-        logged = for_packages(log.select("PackageID", F.col(id_column).alias(column)), accepted)
-        ids = logged.unionByName(new.select("PackageID", F.col(id_column).alias(column)))
-        rows = rows.join(ids.groupBy("PackageID").agg(F.max(column).alias(column)), "PackageID", "left")
-    return rows.select("PackageID", "ChangeID", *logs, as_of.alias("Updated"), F.col("LoginName").alias("UpdatedBy"))
+    changed = reduce(lambda a, b: a | b, [c for c, _, _ in parts.values()])
+    ids = [F.greatest(F.col(logged), F.when(c, new)).alias(column)
+           for column, (c, logged, new) in parts.items() if not column.startswith(".")]
+    return packages.where(changed).select(
+        "PackageID", F.col("NextChangeID").alias("ChangeID"), *ids, as_of.alias("Updated"), F.col("new.LoginName").alias("UpdatedBy"))
 
 
 def row_messages(lines: DataFrame, diff: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Changes of package lines: comparison, new current rows, log rows, membership rows.
 
-`accepted` has one row per accepted submission with its PackageID; `lines` are the resolved
-lines of accepted submissions with PackageID. One comparison, `diff_details`, feeds
-everything else.
+One comparison, the line frame of `tagged` with the action of each line, feeds everything else; what is known
+per package comes from the package frame.
 """
 
 from __future__ import annotations
@@ -11,124 +10,89 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.model import COLUMNS
-from leasebook.operators.compare import differs, differs_or_null, for_packages
+from leasebook.operators.compare import differs
+from leasebook.operators.tagged import VALUES, pairs
 
-VALUES = ["Price", "Quantity", "Discount", "LicenseFactor"]
+def _with_action(frame: DataFrame, action: Column) -> DataFrame:
+    """The line frame with `Action`, which is NULL where an item is in the log only."""
+    shown = F.when(F.col("_current").isNotNull() | F.col("_submitted").isNotNull(), action)
+    return frame.withColumn("Action", shown).drop("_current", "_submitted")
 
 
-def _pairs() -> list[tuple[Column, Column]]:
-    return [(F.col(f"Old{v}"), F.col(f"New{v}")) for v in VALUES]
-
-
-def _paired(accepted: DataFrame, lines: DataFrame, detail: DataFrame, extra: dict[str, str]) -> DataFrame:
-    """Current and submitted lines side by side. The key is unique on both sides, so the full
-    join spreads even a single package over all partitions."""
-    current = for_packages(detail, accepted).select(
-        "PackageID", "ItemID", *[F.col(v).alias(f"Old{v}") for v in VALUES],
-        *[F.col(c).alias(a) for c, a in extra.items()], F.lit(True).alias("_current"),
-    )
-    submitted = lines.select(
-        "PackageID", "ItemID", "RowNo", F.col("ItemPrice").alias("NewPrice"), F.col("Quantity").alias("NewQuantity"),
-        F.col("ItemDiscount").alias("NewDiscount"), F.col("LicenseFactor").alias("NewLicenseFactor"),
-        F.lit(True).alias("_submitted"),
-    )
-    return current.join(submitted, ["PackageID", "ItemID"], "full_outer")
+def line_actions(frame: DataFrame, null_safe: bool = False) -> DataFrame:
+    """INSERT, UPDATE, DELETE or NONE per line of the submitted packages."""
+    return _with_action(frame, (
+        F.when(F.col("_current").isNull(), "INSERT").when(F.col("_submitted").isNull(), "DELETE")
+        .when(differs(pairs(), null_safe), "UPDATE").otherwise("NONE")
+    ))
 
 
-def diff_details(accepted: DataFrame, lines: DataFrame, detail: DataFrame, null_safe: bool = False) -> DataFrame:
-    """One row per line of the submitted packages: INSERT, UPDATE, DELETE or NONE, with both images."""
-    action = (
-        F.when(F.col("_current").isNull(), "INSERT").when(F.col("_submitted").isNull(), "DELETE")
-        .when(differs(_pairs(), null_safe), "UPDATE").otherwise("NONE")
-    )
-    return _paired(accepted, lines, detail, {"DetailItemChangeID": "OldDetailItemChangeID"}).select(
-        "PackageID", "ItemID", "RowNo", action.alias("Action"), *[f"Old{v}" for v in VALUES],
-        *[f"New{v}" for v in VALUES], "OldDetailItemChangeID",
+def diff_details(actions: DataFrame) -> DataFrame:
+    """One row per line of the submitted packages with its action and both images."""
+    return actions.where("Action IS NOT NULL").select(
+        "PackageID", "ItemID", "RowNo", "Action", *[f"Old{v}" for v in VALUES], *[f"New{v}" for v in VALUES],
+        "OldDetailItemChangeID",
     )
 
 
-def details_changed(diff: DataFrame) -> DataFrame:
+def details_changed(packages: DataFrame) -> DataFrame:
     """Per package with current lines: would any of them change?
 
     A NULL on either side counts as a change; a submission that only adds lines does not.
     """
-    changed = (F.col("Action") == "DELETE") | differs_or_null(_pairs())
-    return diff.where("Action <> 'INSERT'").groupBy("PackageID").agg(F.max(changed).alias("DetailsChanged"))
-
+    return packages.where("DetailsChanged IS NOT NULL").select("PackageID", "DetailsChanged")
 
-def log_maxima(detail_log: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Per (package, item) of the submitted packages the highest logged ids."""
-    return for_packages(detail_log.select("PackageID", "ItemID", "DetailItemChangeID", "DetailGroupChangeID"),
-                        accepted).groupBy("PackageID", "ItemID").agg(
-        F.max("DetailItemChangeID").alias("_item_max"), F.max("DetailGroupChangeID").alias("_group_max"))
 
+def next_group() -> Column:
+    """The group id that a package's changed lines are logged under."""
+    return F.coalesce(F.col("_group_max") + 1, F.lit(1))
 
-def next_groups(maxima: DataFrame) -> DataFrame:
-    return maxima.groupBy("PackageID").agg((F.max("_group_max") + 1).alias("_next_group"))
 
-
-def detail_rows(diff: DataFrame, maxima: DataFrame | None = None) -> DataFrame:
+def detail_rows(actions: DataFrame, continue_ids: bool = True) -> DataFrame:
     """New current lines of the submitted packages.
 
-    Added lines take change id 1, or with `maxima` the id their log row takes, which differs
-    for an item that was in the package before.
+    Added lines take the id their log row takes, which continues the item's ids where it was in the package before;
+    without `continue_ids` they take 1.
     """
+    first = F.coalesce(F.col("_item_max") + 1, F.lit(1)) if continue_ids else F.lit(1)
     changed = F.col("Action").isin("INSERT", "UPDATE")
     values = [F.when(changed, F.col(f"New{v}")).otherwise(F.col(f"Old{v}")).alias(v) for v in VALUES]
-    first = F.lit(1)
-    rows = diff.where("Action <> 'DELETE'")
-    if maxima is not None:
-        rows = rows.join(maxima.select("PackageID", "ItemID", "_item_max"), ["PackageID", "ItemID"], "left")
-        # The log row of this change continues the item's ids; an id of 1 is then replaced by it.
-        first = F.coalesce(F.col("_item_max") + 1, F.lit(1))
     change_id = (
         F.when(F.col("Action") == "INSERT", first)
         .when(F.col("Action") == "UPDATE", F.col("OldDetailItemChangeID") + 1)
         .otherwise(F.col("OldDetailItemChangeID"))
     )
-    return rows.select("PackageID", "ItemID", *values, change_id.alias("DetailItemChangeID"))
+    return actions.where("Action <> 'DELETE'").select("PackageID", "ItemID", *values, change_id.alias("DetailItemChangeID"))
 
 
-def detail_log_rows(diff: DataFrame, maxima: DataFrame) -> DataFrame:
+def detail_log_rows(actions: DataFrame, packages: DataFrame) -> DataFrame:
     """Log rows of the changed lines: values before the change, or the new ones of added lines."""
     values = [F.coalesce(f"Old{v}", f"New{v}").alias(v) for v in VALUES]
+    groups = packages.select("PackageID", next_group().alias("DetailGroupChangeID"))
     return (
-        diff.where("Action <> 'NONE'")
-        .join(maxima.select("PackageID", "ItemID", "_item_max"), ["PackageID", "ItemID"], "left")
-        .join(next_groups(maxima), "PackageID", "left")
+        actions.where("Action <> 'NONE'").join(groups, "PackageID")
         .select(
             "PackageID", F.coalesce(F.col("_item_max") + 1, F.lit(1)).alias("DetailItemChangeID"), "ItemID",
-            F.coalesce("_next_group", F.lit(1)).alias("DetailGroupChangeID"), *values,
-            F.col("Action").alias("Operation"),
+            "DetailGroupChangeID", *values, F.col("Action").alias("Operation"),
         )
         .select(*COLUMNS["detail_log"])
     )
 
 
-def change_items_rows(diff: DataFrame, maxima: DataFrame, next_changes: DataFrame, changed: DataFrame,
-                      post_image: bool = False) -> DataFrame:
+def change_items_rows(actions: DataFrame, packages: DataFrame, versioned: Column, post_image: bool = False) -> DataFrame:
     """Which items each new version holds, and under which group id their values are logged.
 
     As first written the rows show, per package,
     * no lines before: the new lines, all under group 1;
     * lines about to change: the lines before the change;
     * otherwise: the lines after the change, if any part of the package changed.
-    `post_image` always shows the lines after the change. `next_changes[PackageID, ChangeID]`
-    numbers the versions; `changed` holds the packages that get one.
+    `post_image` always shows the lines after the change. `versioned` is true for packages of the package frame that
+    get a version.
     """
-    after_group = F.when(F.col("Action").isin("INSERT", "UPDATE"), F.coalesce("_next_group", F.lit(1))).otherwise(
-        F.col("_group_max")
-    )
+    after_group = F.when(F.col("Action").isin("INSERT", "UPDATE"), F.col("_next_group")).otherwise(F.col("_group_max"))
     in_after, in_before = F.col("Action") != "DELETE", F.col("Action") != "INSERT"
-    # Everything known per package is brought together first, so the lines meet it in one join.
-    package = (
-        next_changes.join(next_groups(maxima), "PackageID", "left")
-        .join(details_changed(diff), "PackageID", "left")
-        .join(changed.select("PackageID", F.lit(True).alias("_versioned")).distinct(), "PackageID", "left")
-    )
-    rows = diff.join(
-        maxima.select("PackageID", "ItemID", "_group_max"), ["PackageID", "ItemID"], "left"
-    ).join(package, "PackageID")
+    package = packages.select("PackageID", "NextChangeID", "DetailsChanged", next_group().alias("_next_group"), versioned.alias("_versioned"))
+    rows = actions.where("Action IS NOT NULL").join(package, "PackageID")
     if post_image:
         rows = rows.where(in_after & F.col("_versioned"))
         group = after_group
@@ -140,24 +104,27 @@ def change_items_rows(diff: DataFrame, maxima: DataFrame, next_changes: DataFram
         rows = rows.where(keep)
         group = F.when(first_fill, F.lit(1)).when(F.col("DetailsChanged"), F.col("_group_max")).otherwise(after_group)
     return rows.select(
-        F.col("PackageID").alias("LicensePackageID"), F.col("ChangeID").alias("LicensePackageChangeID"), "ItemID",
+        F.col("PackageID").alias("LicensePackageID"), F.col("NextChangeID").alias("LicensePackageChangeID"), "ItemID",
         group.alias("LatestDetailGroupChangeID"),
     )
 
 
 # Second schema: absent lines stay as inactive rows, logs hold the values after the change.
 
-def diff_details_soft(accepted: DataFrame, lines: DataFrame, detail: DataFrame, null_safe: bool = False) -> DataFrame:
-    """As `diff_details`; DELETE means switched to inactive, an inactive line submitted again is updated."""
+def line_actions_soft(frame: DataFrame, null_safe: bool = False) -> DataFrame:
+    """As `line_actions`; DELETE means switched to inactive, an inactive line submitted again is updated."""
     inactive = F.col("OldInactive") == 1
-    action = (
+    return _with_action(frame, (
         F.when(F.col("_current").isNull(), "INSERT")
         .when(F.col("_submitted").isNull(), F.when(inactive, "NONE").otherwise("DELETE"))
-        .when(differs(_pairs(), null_safe) | inactive, "UPDATE").otherwise("NONE")
-    )
-    return _paired(accepted, lines, detail, {"Inactive": "OldInactive", "ChangeID": "OldChangeID"}).select(
-        "PackageID", "ItemID", "RowNo", action.alias("Action"), *[f"Old{v}" for v in VALUES],
-        *[f"New{v}" for v in VALUES], "OldInactive", "OldChangeID",
+        .when(differs(pairs(), null_safe) | inactive, "UPDATE").otherwise("NONE")
+    ))
+
+
+def diff_details_soft(actions: DataFrame) -> DataFrame:
+    return actions.where("Action IS NOT NULL").select(
+        "PackageID", "ItemID", "RowNo", "Action", *[f"Old{v}" for v in VALUES], *[f"New{v}" for v in VALUES],
+        "OldInactive", "OldChangeID",
     )
 
 
@@ -168,21 +135,17 @@ def _soft_image() -> list[Column]:
     return [*values, inactive.alias("Inactive")]
 
 
-def detail_rows_soft(diff: DataFrame) -> DataFrame:
+def detail_rows_soft(actions: DataFrame) -> DataFrame:
     change_id = (
         F.when(F.col("Action") == "INSERT", 1).when(F.col("Action") == "NONE", F.col("OldChangeID"))
         .otherwise(F.col("OldChangeID") + 1)
     )
-    return diff.select("PackageID", "ItemID", *_soft_image(), change_id.alias("ChangeID"))
+    return actions.where("Action IS NOT NULL").select("PackageID", "ItemID", *_soft_image(), change_id.alias("ChangeID"))
 
 
-def detail_log_rows_post(diff: DataFrame, accepted: DataFrame, detail_log: DataFrame) -> DataFrame:
+def detail_log_rows_post(actions: DataFrame) -> DataFrame:
     """Log rows with the values after the change. Switching a line to inactive is an UPDATE."""
-    maxima = for_packages(detail_log.select("PackageID", "ItemID", "ChangeID"), accepted).groupBy(
-        "PackageID", "ItemID").agg(F.max("ChangeID").alias("_max"))
     operation = F.when(F.col("Action") == "INSERT", "INSERT").otherwise("UPDATE")
-    return (
-        diff.where("Action <> 'NONE'").join(maxima, ["PackageID", "ItemID"], "left")
-        .select("PackageID", F.coalesce(F.col("_max") + 1, F.lit(1)).alias("ChangeID"), "ItemID", *_soft_image(),
-                operation.alias("Operation"))
-    )
+    return actions.where("Action <> 'NONE'").select(
+        "PackageID", F.coalesce(F.col("_item_max") + 1, F.lit(1)).alias("ChangeID"), "ItemID", *_soft_image(),
+        operation.alias("Operation"))

@@ -1,7 +1,7 @@
 """Changes of package header, partner and note, with their log rows.
 
-Each `diff_*` pairs the accepted submissions with current rows on PackageID, which is unique
-on both sides; the row functions read only that comparison.
+Each `*_change` reads the package frame of `tagged` and tells what a batch does to a part; `diff_*`
+shows it with both images, and the row functions read only that comparison.
 """
 
 from __future__ import annotations
@@ -11,33 +11,33 @@ from pyspark.sql import functions as F
 
 from leasebook.functions.text import text_key
 from leasebook.model import COLUMNS
-from leasebook.operators.compare import differs, for_packages, next_id
+from leasebook.operators.compare import differs
+from leasebook.operators.tagged import HEADER_VALUES, PARTNER_VALUES
 
-HEADER_VALUES = ["ClientID", "Location", "LicenseStartDate", "LicenseExpirationDate", "PackageDiscount", "UserMinimum"]
 
+def _shown(packages: DataFrame, part: str, old: list[str], new: list[str], action: Column, change: Column) -> DataFrame:
+    """Both images of a part, its action and its change id after it."""
+    return packages.select(
+        "PackageID", *[F.col(f"new.{c}").alias(f"New{c}") for c in new], *[F.col(f"{part}.{c}").alias(f"Old{c}") for c in old],
+        action.alias("Action"), change.alias("ChangeID"), F.col(part).isNotNull().alias("_exists"),
+        F.col("NextChangeID"), F.col("new.LoginName").alias("LoginName"))
 
-def _old(table: DataFrame, columns: list[str]) -> DataFrame:
-    return table.select("PackageID", *[F.col(c).alias(f"Old{c}") for c in columns], F.lit(True).alias("_current"))
 
-
-def diff_header(accepted: DataFrame, header: DataFrame, change_id: str = "HeaderChangeID",
-                detect_change: bool = True, null_safe: bool = False) -> DataFrame:
-    """INSERT, UPDATE or NONE per accepted package. Without `detect_change` every match is an UPDATE."""
+def header_change(change_id: str = "HeaderChangeID", detect_change: bool = True, null_safe: bool = False) -> tuple[Column, Column]:
+    """(INSERT, UPDATE or NONE per package, its header's change id). Without `detect_change` every match is an UPDATE."""
     def key(name: str):
         return text_key(F.col(name)) if name.endswith("Location") else F.col(name)
 
-    changed = differs([(key(f"Old{v}"), key(f"New{v}")) for v in HEADER_VALUES], null_safe)
-    if not detect_change:
-        changed = F.lit(True)
-    action = F.when(F.col("_current").isNull(), "INSERT").when(changed, "UPDATE").otherwise("NONE")
-    new = accepted.select("PackageID", *[F.col(v).alias(f"New{v}") for v in HEADER_VALUES])
-    return (
-        new.join(_old(header, [*HEADER_VALUES, change_id, "Inactive"]), "PackageID", "left")
-        .withColumn("Action", action)
-        .withColumn("ChangeID", F.when(F.col("_current").isNull(), 1).when(
-            F.col("Action") == "UPDATE", F.col(f"Old{change_id}") + 1).otherwise(F.col(f"Old{change_id}")))
-        .drop("_current")
-    )
+    changed = differs([(key(f"header.{v}"), key(f"new.{v}")) for v in HEADER_VALUES], null_safe) if detect_change else F.lit(True)
+    before = F.col(f"header.{change_id}")
+    action = F.when(F.col("header").isNull(), "INSERT").when(changed, "UPDATE").otherwise("NONE")
+    return action, F.when(action == "INSERT", 1).when(action == "UPDATE", before + 1).otherwise(before)
+
+
+def diff_header(packages: DataFrame, change_id: str = "HeaderChangeID", detect_change: bool = True,
+                null_safe: bool = False) -> DataFrame:
+    return _shown(packages, "header", [*HEADER_VALUES, change_id, "Inactive"], HEADER_VALUES,
+                  *header_change(change_id, detect_change, null_safe))
 
 
 def header_rows(diff: DataFrame) -> DataFrame:
@@ -73,37 +73,31 @@ def header_log_rows_soft(diff: DataFrame) -> DataFrame:
     return diff.where("Action <> 'NONE'").select(*_header_image_soft(), F.col("Action").alias("Operation"))
 
 
-PARTNER_VALUES = ["ClientPartnerID", "PartnerSplitPercentage"]
-
-
-def diff_partner(accepted: DataFrame, partner: DataFrame, partner_log: DataFrame,
-                 change_id: str = "ClientPartnerChangeID", soft: bool = False, null_safe: bool = False) -> DataFrame:
-    """INSERT, UPDATE, DELETE or NONE per accepted package with its next change id.
+def partner_change(change_id: str = "ClientPartnerChangeID", soft: bool = False, null_safe: bool = False) -> tuple[Column, Column]:
+    """(INSERT, UPDATE, DELETE or NONE per package, its partner's change id).
 
     A blank partner removes the current one. A partner added again continues the ids of the
     log. With `soft`, removal marks the row inactive, and naming a partner makes it active.
     """
-    new = accepted.select("PackageID", F.col("ClientPartnerID").alias("NewClientPartnerID"),
-                          F.col("PartnerSplit").alias("NewPartnerSplitPercentage"))
-    old = _old(partner, [*PARTNER_VALUES, change_id, *(["Inactive"] if soft else [])])
-    named, exists = F.col("NewClientPartnerID").isNotNull(), F.col("_current").isNotNull()
-    changed = differs([(F.col(f"Old{v}"), F.col(f"New{v}")) for v in PARTNER_VALUES], null_safe)
+    named, exists = F.col("new.ClientPartnerID").isNotNull(), F.col("partner").isNotNull()
+    changed = differs([(F.col(f"partner.{v}"), F.col(f"new.{v}")) for v in PARTNER_VALUES], null_safe)
     removable = exists
     if soft:
-        changed = changed | (F.col("OldInactive") == 1)
-        removable = exists & (F.col("OldInactive") == 0)
+        changed = changed | (F.col("partner.Inactive") == 1)
+        removable = exists & (F.col("partner.Inactive") == 0)
     action = (
         F.when(named & ~exists, "INSERT").when(named & changed, "UPDATE").when(~named & removable, "DELETE")
         .otherwise("NONE")
     )
-    next_ids = next_id(for_packages(partner_log.select("PackageID", change_id), accepted), ["PackageID"], change_id,
-                       "_next_id")
-    next_change = F.when(F.col("Action") == "INSERT", F.coalesce("_next_id", F.lit(1))).when(
-        F.col("Action") == "NONE", F.col(f"Old{change_id}")).otherwise(F.col(f"Old{change_id}") + 1)
-    return (
-        new.join(old, "PackageID", "left").join(next_ids, "PackageID", "left").withColumn("Action", action)
-        .withColumn("ChangeID", next_change).withColumn("_exists", exists).drop("_current", "_next_id")
-    )
+    before = F.col(f"partner.{change_id}")
+    return action, F.when(action == "INSERT", F.coalesce(F.col("_partner_max") + 1, F.lit(1))).when(
+        action == "NONE", before).otherwise(before + 1)
+
+
+def diff_partner(packages: DataFrame, change_id: str = "ClientPartnerChangeID", soft: bool = False,
+                 null_safe: bool = False) -> DataFrame:
+    return _shown(packages, "partner", [*PARTNER_VALUES, change_id, *(["Inactive"] if soft else [])], PARTNER_VALUES,
+                  *partner_change(change_id, soft, null_safe))
 
 
 def _partner_image():
@@ -138,31 +132,30 @@ def partner_log_rows_soft(diff: DataFrame) -> DataFrame:
     )
 
 
-def diff_note(accepted: DataFrame, note: DataFrame, change_id: str = "NoteChangeID", soft: bool = False,
-              null_safe: bool = False) -> DataFrame:
-    """INSERT, UPDATE, DELETE or NONE per accepted package.
+def note_change(change_id: str = "NoteChangeID", soft: bool = False, null_safe: bool = False) -> tuple[Column, Column]:
+    """(INSERT, UPDATE, DELETE or NONE per package, its note's change id).
 
     A note is added only when it is not blank, and updated also to a blank one; with `soft`
     a blank note marks the current one inactive instead, and a text makes it active again.
     """
-    new = accepted.select("PackageID", F.col("Note").alias("NewNote"), "LoginName")
-    old = _old(note, ["Note", change_id, *(["Inactive"] if soft else [])])
-    exists = F.col("_current").isNotNull()
-    filled = F.coalesce(F.length(F.rtrim("NewNote")) > 0, F.lit(False))
-    changed = differs([(text_key(F.col("OldNote")), text_key(F.col("NewNote")))], null_safe)
+    exists = F.col("note").isNotNull()
+    filled = F.coalesce(F.length(F.rtrim(F.col("new.Note"))) > 0, F.lit(False))
+    changed = differs([(text_key(F.col("note.Note")), text_key(F.col("new.Note")))], null_safe)
     action = F.when(~exists & filled, "INSERT")
     if soft:
-        inactive = F.col("OldInactive") == 1
-        blank = F.col("NewNote").isNotNull() & ~filled
+        inactive = F.col("note.Inactive") == 1
+        blank = F.col("new.Note").isNotNull() & ~filled
         action = action.when(exists & filled & (changed | inactive), "UPDATE").when(exists & blank & ~inactive, "DELETE")
     else:
         action = action.when(exists & changed, "UPDATE")
-    next_change = F.when(F.col("Action") == "INSERT", 1).when(
-        F.col("Action") == "NONE", F.col(f"Old{change_id}")).otherwise(F.col(f"Old{change_id}") + 1)
-    return (
-        new.join(old, "PackageID", "left").withColumn("Action", action.otherwise("NONE"))
-        .withColumn("ChangeID", next_change).withColumn("_exists", exists).drop("_current")
-    )
+    action = action.otherwise("NONE")
+    before = F.col(f"note.{change_id}")
+    return action, F.when(action == "INSERT", 1).when(action == "NONE", before).otherwise(before + 1)
+
+
+def diff_note(packages: DataFrame, change_id: str = "NoteChangeID", soft: bool = False, null_safe: bool = False) -> DataFrame:
+    return _shown(packages, "note", ["Note", change_id, *(["Inactive"] if soft else [])], ["Note"],
+                  *note_change(change_id, soft, null_safe))
 
 
 def _note_image():
@@ -175,12 +168,11 @@ def note_rows(diff: DataFrame) -> DataFrame:
     )
 
 
-def note_log_rows(diff: DataFrame, next_changes: DataFrame, as_of) -> DataFrame:
+def note_log_rows(diff: DataFrame, as_of) -> DataFrame:
     """The text before an update, or the added text, with the version it belongs to."""
-    versions = next_changes.select("PackageID", F.col("ChangeID").alias("LicPackageChangeID"))
-    return diff.where("Action <> 'NONE'").join(versions, "PackageID").select(
+    return diff.where("Action <> 'NONE'").select(
         "PackageID", F.col("ChangeID").alias("NoteChangeID"), F.coalesce("OldNote", "NewNote").alias("Note"),
-        F.col("Action").alias("Operation"), "LicPackageChangeID", as_of.alias("Updated"),
+        F.col("Action").alias("Operation"), F.col("NextChangeID").alias("LicPackageChangeID"), as_of.alias("Updated"),
         F.col("LoginName").alias("UpdatedBy"),
     )
 

@@ -222,10 +222,12 @@ def _renewal_sources(requests: DataFrame, autofill, t: BillingTables) -> tuple[D
 
 
 def _renewed_dates():
-    """The next term starts the day after expiry and lasts as many months."""
-    next_day = F.date_add("LicenseExpirationDate", 1)
+    """The next term starts the day after expiry and lasts as many months; a date after 9999-12-31 is NULL."""
+    last = F.lit("9999-12-31").cast("date")
+    next_day = F.when(F.col("LicenseExpirationDate") < last, F.date_add("LicenseExpirationDate", 1))
+    next_end = F.add_months(next_day, _term())
     start = F.when(F.col("_renew"), next_day).otherwise(F.col("LicenseStartDate"))
-    end = F.when(F.col("_renew"), F.add_months(next_day, _term())).otherwise(F.col("LicenseExpirationDate"))
+    end = F.when(F.col("_renew"), F.when(next_end <= last, next_end)).otherwise(F.col("LicenseExpirationDate"))
     return [start.alias("DefaultPackageStartDate"), end.alias("DefaultPackageEndDate")]
 
 

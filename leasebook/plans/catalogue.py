@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leasebook.functions.dates import parse_year_month, year_month_error
 from leasebook.functions.text import yes_no
-from leasebook.operators import changelog, costs, details, expiring, finder, lookups, padding, parts, submissions, versions
+from leasebook.operators import changelog, costs, details, expiring, finder, lookups, padding, parts, searches, submissions, versions
 from leasebook.operators.compare import replace_packages
 from leasebook.operators.finder import FinderSearch
 from leasebook.plans.save import SaveBatch, SoftSaveBatch
@@ -29,8 +29,8 @@ XML_DOCUMENTS = """
 SELECT PackageID * 1000000 + detail.ItemID AS submission_id,
   CASE WHEN Discount = 0.1 THEN concat('<Root><r><Row>1</Row><ItemName>', ItemName)
     WHEN Discount = 0 THEN '<Root></Root>'
-    ELSE concat('<Root><r><Row>1</Row><ItemName>', ItemName, '</ItemName><ItemPrice>', CAST(Price AS STRING),
-      '</ItemPrice><Quantity>', CASE WHEN LicenseFactor = 0.08 THEN 'ten' ELSE CAST(Quantity AS STRING) END,
+    ELSE concat('<Root><r><Row>1</Row><ItemName>', ItemName, '</ItemName><ItemPrice>', coalesce(CAST(Price AS STRING), ''),
+      '</ItemPrice><Quantity>', CASE WHEN LicenseFactor = 0.08 THEN 'ten' ELSE coalesce(CAST(Quantity AS STRING), '') END,
       '</Quantity><ItemDiscount>', CAST(Discount AS STRING), '</ItemDiscount><LicenseFactor></LicenseFactor></r>',
       CASE WHEN LicenseFactor = 0 THEN '<r><Row>2</Row><ItemName>setup &amp; training</ItemName><ItemPrice>95.5</ItemPrice></r>'
         ELSE '' END, '</Root>') END AS LinesXml
@@ -179,6 +179,21 @@ def partner_lookup(s):
     return lookups.partner_lookup(s.view("client"))
 
 
+@query
+def lookup_many(s):
+    return searches.lookup_many(s.view("client"), "ClientName", s.view("name_searches"))
+
+
+@query
+def expiring_finder_many(s):
+    return searches.expiring_finder_many(s.tables(), s.view("expiring_searches"))
+
+
+@query
+def search_errors(s):
+    return searches.search_errors(s.view("expiring_searches"))
+
+
 @query
 def item_lookup(s):
     return lookups.item_lookup(s.view("item"), "[rs]%g")
@@ -302,14 +317,14 @@ def diff_details(s):
 
 @query
 def details_changed(s):
-    return details.details_changed(_batch(s).detail_diff).select(
+    return details.details_changed(_batch(s).packages).select(
         "PackageID", F.col("DetailsChanged").cast("int").alias("DetailsChanged"))
 
 
 @query
 def apply_details(s):
     b = _batch(s)
-    return _replace(b, "detail", details.detail_rows(b.detail_diff))
+    return _replace(b, "detail", details.detail_rows(b.line_actions, continue_ids=False))
 
 
 @query

@@ -155,20 +155,21 @@ C["finder_v0"] = (f"{_current(V0_WHERE, v0=True)} UNION "
 
 # Requests
 
-HAS_PACKAGE = "EXISTS (SELECT 1 FROM header x WHERE x.PackageID = q.PackageID)"
-HAS_VERSION = "EXISTS (SELECT 1 FROM change_log x WHERE x.PackageID = q.PackageID AND x.ChangeID = q.ChangeID)"
-V["c_errors"] = f"""
-SELECT request_id, PackageID, ChangeID, CASE
-  WHEN NOT {HAS_PACKAGE} AND PackageID <> 0 THEN concat('Previous license package ID entered ("', CAST(PackageID AS VARCHAR),
+V["c_asked"] = """
+SELECT q.request_id, q.PackageID, q.ChangeID, h.PackageID IS NOT NULL AS HasPackage, v.PackageID IS NOT NULL AS HasVersion
+FROM requests q LEFT JOIN (SELECT DISTINCT PackageID FROM header) h ON q.PackageID = h.PackageID
+  LEFT JOIN (SELECT DISTINCT PackageID, ChangeID FROM change_log) v ON q.PackageID = v.PackageID AND q.ChangeID = v.ChangeID"""
+V["c_errors"] = """
+SELECT request_id, PackageID, ChangeID, HasVersion, CASE
+  WHEN NOT HasPackage AND PackageID <> 0 THEN concat('Previous license package ID entered ("', CAST(PackageID AS VARCHAR),
     '") does not exist. Please search for an existing package using the LicensePackageFinder and try again.')
-  WHEN NOT {HAS_VERSION} AND ChangeID <> 0 THEN concat('Previous license package ID entered ("',
+  WHEN NOT HasVersion AND ChangeID <> 0 THEN concat('Previous license package ID entered ("',
     CAST(PackageID AS VARCHAR), '") does not have a history entry #', CAST(ChangeID AS VARCHAR),
     '. Please use the LicensePackageFinder to search for a valid ChangeID for this Package.') END AS ErrorText
-FROM requests q"""
-V["c_routed"] = f"""
-SELECT q.request_id, q.PackageID, q.ChangeID, ({HAS_VERSION} AND q.ChangeID <> 0) AS InHistory
-FROM requests q WHERE q.request_id NOT IN (SELECT request_id FROM c_errors WHERE ErrorText IS NOT NULL)"""
-C["request_errors"] = "SELECT * FROM c_errors WHERE ErrorText IS NOT NULL"
+FROM c_asked"""
+V["c_routed"] = """
+SELECT request_id, PackageID, ChangeID, HasVersion AND ChangeID <> 0 AS InHistory FROM c_errors WHERE ErrorText IS NULL"""
+C["request_errors"] = "SELECT request_id, PackageID, ChangeID, ErrorText FROM c_errors WHERE ErrorText IS NOT NULL"
 V["c_version_parts"] = """
 SELECT v.PackageID, v.ChangeID, h.ClientID, p.ClientPartnerID, h.Location, b.Quantity AS LicensedUsers,
   b.Price AS BasePrice, h.UserMinimum, h.PackageDiscount, p.PartnerSplitPercentage, h.LicenseStartDate,
@@ -246,16 +247,17 @@ V["c_renewals"] = """
 SELECT q.request_id, q.LicensePackageID, q.PrevPackageID, q.PrevChangeID,
   lower(q.AutofillHeader) IN ('yes', 'y', '1') AS FillHeader, lower(q.AutofillItems) IN ('yes', 'y', '1') AS FillItems,
   lower(q.EditingMode) IN ('yes', 'y', '1') AS Editing,
-  coalesce(q.PrevChangeID <> 0, false) AND EXISTS (SELECT 1 FROM change_log x
-    WHERE x.PackageID = q.PrevPackageID AND x.ChangeID = q.PrevChangeID) AS InHistory
-FROM renewal_requests q"""
+  coalesce(q.PrevChangeID <> 0, false) AND v.PackageID IS NOT NULL AS InHistory
+FROM renewal_requests q LEFT JOIN (SELECT DISTINCT PackageID, ChangeID FROM change_log) v
+  ON v.PackageID = q.PrevPackageID AND v.ChangeID = q.PrevChangeID"""
 HEAD_COLUMNS = "s.LicensedUsers, s.BasePrice, s.UserMinimum, s.PackageDiscount, s.PartnerSplitPercentage"
 
 
 def _active_header(flag: str) -> str:
-    renewed = f"""{HEAD_COLUMNS}, CAST(s.LicenseExpirationDate + INTERVAL 1 DAY AS DATE) AS DefaultPackageStartDate,
-  CAST(CAST(s.LicenseExpirationDate + INTERVAL 1 DAY AS DATE)
-    + to_months({months('s.LicenseStartDate', 's.LicenseExpirationDate')}) AS DATE) AS DefaultPackageEndDate, s.Note"""
+    next_day = "CASE WHEN s.LicenseExpirationDate < DATE '9999-12-31' THEN CAST(s.LicenseExpirationDate + INTERVAL 1 DAY AS DATE) END"
+    next_end = f"CAST(({next_day}) + to_months({months('s.LicenseStartDate', 's.LicenseExpirationDate')}) AS DATE)"
+    renewed = f"""{HEAD_COLUMNS}, {next_day} AS DefaultPackageStartDate,
+  CASE WHEN {next_end} <= DATE '9999-12-31' THEN {next_end} END AS DefaultPackageEndDate, s.Note"""
     return f"""
 SELECT q.request_id, {HEAD_COLUMNS}, s.LicenseStartDate AS DefaultPackageStartDate,
   s.LicenseExpirationDate AS DefaultPackageEndDate, s.Note
@@ -315,6 +317,20 @@ FROM item i LEFT JOIN item_log l ON i.ItemChangeID = l.ItemChangeID"""
 C["inventory_search"] = _INVENTORY
 C["inventory_search_text"] = _INVENTORY + " WHERE i.ItemName ILIKE '%in%'"
 C["client_lookup"] = "SELECT ClientName FROM client WHERE ClientName ILIKE '%#0000%'"
+C["lookup_many"] = """
+SELECT search_id, ClientName FROM name_searches JOIN client ON CASE search_id % 6
+  WHEN 1 THEN lower(ClientName) LIKE '%0_' || search_id || '%' WHEN 2 THEN regexp_matches(ClientName, '[0-4]' || search_id)
+  WHEN 3 THEN coalesce(trim(SearchText), '') = '' OR contains(lower(ClientName), lower(SearchText))
+  WHEN 5 THEN regexp_matches(lower(ClientName), 'cust.*[^' || (search_id % 10) || '].' || search_id)
+  ELSE contains(lower(ClientName), lower(SearchText)) END"""
+C["search_errors"] = """
+SELECT search_id, 'the start date filter entered could not be interpreted' AS ErrorText FROM expiring_searches
+WHERE StartYM LIKE '%.%'"""
+C["expiring_finder_many"] = f"""
+SELECT search_id, f.* FROM expiring_searches s JOIN ({_expiring('true')}) f ON NOT StartYM LIKE '%.%'
+  AND (StartYM = '' OR EndYM IS NULL OR f.LicenseExpirationDate BETWEEN strptime(StartYM || '-01', '%Y-%m-%d')::DATE
+    AND strptime(EndYM || '/01', '%Y/%m/%d')::DATE)
+  AND lower(f.ClientName) LIKE '%' || ClientText || '%' AND (PartnerText = '' OR lower(f.ClientPartnerName) LIKE '%' || PartnerText || '%')"""
 C["partner_lookup"] = "SELECT ClientName AS ClientPartnerName FROM client"
 C["item_lookup"] = "SELECT ItemName FROM item WHERE regexp_matches(lower(ItemName), '[rs].*g')"
 C["location_lookup"] = """

@@ -1,7 +1,7 @@
 """A batch of submitted packages as one set of DataFrames.
 
 Every property is a plan over the tables as they were before the batch. The checked lines,
-the accepted submissions and the line comparison feed many outputs, so each is staged once
+the accepted submissions, the line comparison and the package frame feed many outputs, so each is staged once
 (see `sources.staging`); nothing else is executed here. A dry run looks at the frames;
 `sources.store` writes them.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.model import BASE_ITEM_ID, BillingTables, SoftTables
-from leasebook.operators import changelog, details, parts, submissions
+from leasebook.operators import changelog, details, parts, submissions, tagged
 from leasebook.operators.compare import replace_packages
 from leasebook.sources.staging import stage
 
@@ -29,6 +29,11 @@ def _counts(frames: dict[str, DataFrame]) -> DataFrame:
         d.agg(F.count(F.lit(1)).alias("RowCount")).select(F.lit(n).alias("Frame"), "RowCount") for n, d in frames.items()])
 
 
+def _part(change: tuple[Column, Column], logged: str) -> tuple[Column, str, Column]:
+    action, new = change
+    return action != "NONE", logged, new
+
+
 class CheckedBatch:
     """Submissions and lines after validation; a refused submission does not stop the others.
 
@@ -73,11 +78,6 @@ class CheckedBatch:
             self.accepted.select("submission_id", "PackageID"), "submission_id"
         )
 
-    stage_parts = False  # stage the smaller comparisons too; worth it when all outputs are wanted
-
-    def _shared(self, df: DataFrame) -> DataFrame:
-        return stage(df) if self.stage_parts else df
-
     def messages(self, diff: DataFrame) -> DataFrame:
         """Line notices are only shown where they are the reason for the refusal."""
         refused = self.refused.withColumn("_show", F.col("ErrorText") == submissions.BAD_LINES)
@@ -101,38 +101,43 @@ class SaveBatch(CheckedBatch):
         self.tables, self.base_item_id = tables, base_item_id
         self._as_of, self._null_safe, self._post_image = as_of_column(as_of), null_safe, post_image
 
-    # Comparisons
+    # Comparisons: two frames are written, all else is read from them without a shuffle for a part.
 
     @cached_property
-    def detail_diff(self) -> DataFrame:
-        return stage(details.diff_details(self.accepted, self.lines, self.tables.detail, self._null_safe))
+    def line_actions(self) -> DataFrame:
+        t = self.tables
+        frame = tagged.line_frame(self.accepted, self.lines, t.detail, t.detail_log, {"DetailItemChangeID": "OldDetailItemChangeID"},
+                                  {"DetailItemChangeID": "_item_max", "DetailGroupChangeID": "_group_max"})
+        return stage(details.line_actions(frame, self._null_safe))
 
     @cached_property
-    def header_diff(self) -> DataFrame:
-        return self._shared(parts.diff_header(self.accepted, self.tables.header, null_safe=self._null_safe))
+    def packages(self) -> DataFrame:
+        t = self.tables
+        return stage(tagged.package_frame(
+            self.accepted, self.line_actions, t.header, t.partner, t.note, t.header_log, t.partner_log, t.note_log, t.change_log,
+            {"header": "HeaderChangeID", "partner": "ClientPartnerChangeID", "note": "NoteChangeID"}))
 
     @cached_property
-    def partner_diff(self) -> DataFrame:
-        return self._shared(parts.diff_partner(self.accepted, self.tables.partner, self.tables.partner_log,
-                                               null_safe=self._null_safe))
+    def detail_diff(self) -> DataFrame:
+        return details.diff_details(self.line_actions)
 
     @cached_property
-    def note_diff(self) -> DataFrame:
-        return self._shared(parts.diff_note(self.accepted, self.tables.note, null_safe=self._null_safe))
+    def header_diff(self) -> DataFrame:
+        return parts.diff_header(self.packages, null_safe=self._null_safe)
 
     @cached_property
-    def next_changes(self) -> DataFrame:
-        return changelog.next_package_change_id(self.accepted, self.tables.change_log)
+    def partner_diff(self) -> DataFrame:
+        return parts.diff_partner(self.packages, null_safe=self._null_safe)
 
     @cached_property
-    def _maxima(self) -> DataFrame:
-        return self._shared(details.log_maxima(self.tables.detail_log, self.accepted))
+    def note_diff(self) -> DataFrame:
+        return parts.diff_note(self.packages, null_safe=self._null_safe)
 
     # New log rows
 
     @cached_property
     def detail_log_rows(self) -> DataFrame:
-        return details.detail_log_rows(self.detail_diff, self._maxima)
+        return details.detail_log_rows(self.line_actions, self.packages)
 
     @cached_property
     def header_log_rows(self) -> DataFrame:
@@ -144,29 +149,32 @@ class SaveBatch(CheckedBatch):
 
     @cached_property
     def note_log_rows(self) -> DataFrame:
-        return parts.note_log_rows(self.note_diff, self.next_changes, self._as_of)
+        return parts.note_log_rows(self.note_diff, self._as_of)
 
-    @cached_property
-    def changed(self) -> DataFrame:
-        return changelog.changed_packages(
-            [d.where("Action <> 'NONE'") for d in (self.header_diff, self.detail_diff, self.partner_diff, self.note_diff)]
-        )
+    def _parts(self) -> dict:
+        return {
+            "HeaderChangeID": _part(parts.header_change(null_safe=self._null_safe), "_header_max"),
+            "DetailGroupChangeID": (F.col("_lines_differ"), "_group_max", details.next_group()),
+            "ClientPartnerChangeID": _part(parts.partner_change(null_safe=self._null_safe), "_partner_max"),
+            "NoteChangeID": _part(parts.note_change(null_safe=self._null_safe), "_note_max"),
+        }
 
     @cached_property
     def change_log_rows(self) -> DataFrame:
-        t = self.tables
-        logs = {
-            "HeaderChangeID": (t.header_log, self.header_log_rows, "HeaderChangeID"),
-            "DetailGroupChangeID": (t.detail_log, self.detail_log_rows, "DetailGroupChangeID"),
-            "ClientPartnerChangeID": (t.partner_log, self.partner_log_rows, "ClientPartnerChangeID"),
-            "NoteChangeID": (t.note_log, self.note_log_rows, "NoteChangeID"),
-        }
-        return changelog.change_log_rows(self.changed, self.next_changes, self.accepted, logs, self._as_of)
+        return changelog.change_log_rows(self.packages, self._parts(), self._as_of)
+
+    @property
+    def _versioned(self) -> Column:
+        return reduce(lambda a, b: a | b, [c for c, _, _ in self._parts().values()])
+
+    @cached_property
+    def changed(self) -> DataFrame:
+        """Packages that get a version."""
+        return self.packages.where(self._versioned).select("PackageID")
 
     @cached_property
     def change_items_rows(self) -> DataFrame:
-        return details.change_items_rows(self.detail_diff, self._maxima, self.next_changes, self.changed,
-                                         self._post_image)
+        return details.change_items_rows(self.line_actions, self.packages, self._versioned, self._post_image)
 
     # New current rows of the submitted packages
 
@@ -174,7 +182,7 @@ class SaveBatch(CheckedBatch):
     def current_rows(self) -> dict[str, DataFrame]:
         return {
             "header": parts.header_rows(self.header_diff),
-            "detail": details.detail_rows(self.detail_diff, self._maxima),
+            "detail": details.detail_rows(self.line_actions),
             "partner": parts.partner_rows(self.partner_diff),
             "note": parts.note_rows(self.note_diff),
         }
@@ -219,32 +227,41 @@ class SoftSaveBatch(CheckedBatch):
         self.tables, self.base_item_id = tables, base_item_id
         self._as_of, self._null_safe = as_of_column(as_of), null_safe
 
+    @cached_property
+    def line_actions(self) -> DataFrame:
+        t = self.tables
+        frame = tagged.line_frame(self.accepted, self.lines, t.detail, t.detail_log, {"Inactive": "OldInactive", "ChangeID": "OldChangeID"},
+                                  {"ChangeID": "_item_max"})
+        return stage(details.line_actions_soft(frame, self._null_safe))
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        t = self.tables
+        return stage(tagged.package_frame(
+            self.accepted, self.line_actions, t.header, t.partner, t.note, t.header_log, t.partner_log, t.note_log, t.change_log,
+            {"header": "ChangeID", "partner": "ChangeID", "note": "ChangeID"}, soft=True))
+
     @cached_property
     def detail_diff(self) -> DataFrame:
-        return stage(details.diff_details_soft(self.accepted, self.lines, self.tables.detail, self._null_safe))
+        return details.diff_details_soft(self.line_actions)
 
     @cached_property
     def header_diff(self) -> DataFrame:
-        return self._shared(parts.diff_header(self.accepted, self.tables.header, "ChangeID", detect_change=False))
+        return parts.diff_header(self.packages, "ChangeID", detect_change=False)
 
     @cached_property
     def partner_diff(self) -> DataFrame:
-        return self._shared(parts.diff_partner(self.accepted, self.tables.partner, self.tables.partner_log, "ChangeID",
-                                               True, self._null_safe))
+        return parts.diff_partner(self.packages, "ChangeID", True, self._null_safe)
 
     @cached_property
     def note_diff(self) -> DataFrame:
-        return self._shared(parts.diff_note(self.accepted, self.tables.note, "ChangeID", True, self._null_safe))
-
-    @cached_property
-    def next_changes(self) -> DataFrame:
-        return changelog.next_package_change_id(self.accepted, self.tables.change_log)
+        return parts.diff_note(self.packages, "ChangeID", True, self._null_safe)
 
     @cached_property
     def log_rows(self) -> dict[str, DataFrame]:
         return {
             "header_log": parts.header_log_rows_soft(self.header_diff),
-            "detail_log": details.detail_log_rows_post(self.detail_diff, self.accepted, self.tables.detail_log),
+            "detail_log": details.detail_log_rows_post(self.line_actions),
             "partner_log": parts.partner_log_rows_soft(self.partner_diff),
             "note_log": parts.note_log_rows_soft(self.note_diff),
         }
@@ -253,22 +270,19 @@ class SoftSaveBatch(CheckedBatch):
     def current_rows(self) -> dict[str, DataFrame]:
         return {
             "header": parts.header_rows_soft(self.header_diff),
-            "detail": details.detail_rows_soft(self.detail_diff),
+            "detail": details.detail_rows_soft(self.line_actions),
             "partner": parts.partner_rows_soft(self.partner_diff),
             "note": parts.note_rows_soft(self.note_diff),
         }
 
     @cached_property
     def change_log_rows(self) -> DataFrame:
-        logs = {
-            column: (getattr(self.tables, log), self.log_rows[log], "ChangeID")
-            for column, log in [("HeaderChangeID", "header_log"), ("ClientPartnerChangeID", "partner_log"),
-                                ("NoteChangeID", "note_log")]
-        }
-        changed = changelog.changed_packages(
-            [d.where("Action <> 'NONE'") for d in (self.header_diff, self.detail_diff, self.partner_diff, self.note_diff)]
-        )
-        return changelog.change_log_rows(changed, self.next_changes, self.accepted, logs, self._as_of)
+        return changelog.change_log_rows(self.packages, {
+            "HeaderChangeID": _part(parts.header_change("ChangeID", detect_change=False), "_header_max"),
+            "ClientPartnerChangeID": _part(parts.partner_change("ChangeID", True, self._null_safe), "_partner_max"),
+            "NoteChangeID": _part(parts.note_change("ChangeID", True, self._null_safe), "_note_max"),
+            ".lines": (F.col("_lines_differ"), "", F.lit(None)),
+        }, self._as_of)
 
     @property
     def all_log_rows(self) -> dict[str, DataFrame]:

@@ -132,12 +132,25 @@ SELECT o_orderkey AS request_id, o_orderkey AS LicensePackageID, o_orderkey - 1
   CASE WHEN o_totalprice > 250000 THEN 'yes' ELSE '' END AS EditingMode
 FROM orders"""
 
+VIEWS["name_searches"] = """
+SELECT s_suppkey AS search_id, CASE s_suppkey % 6 WHEN 0 THEN concat('R#', lpad(CAST(s_suppkey AS VARCHAR(9)), 9, '0'))
+    WHEN 1 THEN concat('0_', CAST(s_suppkey AS VARCHAR(9)), '%') WHEN 2 THEN concat('[0-4]', CAST(s_suppkey AS VARCHAR(9)))
+    WHEN 3 THEN CASE WHEN s_suppkey = 3 THEN ' ' WHEN s_suppkey = 9 THEN NULL ELSE 'none.of these' END
+    WHEN 4 THEN CAST(s_suppkey AS VARCHAR(9)) ELSE concat('CUST%[^', CAST(s_suppkey % 10 AS VARCHAR(9)), ']_', CAST(s_suppkey AS VARCHAR(9))) END AS SearchText
+FROM supplier"""
+
+VIEWS["expiring_searches"] = """
+SELECT s_suppkey AS search_id, CASE s_suppkey % 8 WHEN 7 THEN '' WHEN 6 THEN '1996.05' ELSE concat(CAST(1993 + s_suppkey % 5 AS VARCHAR(4)), '-0', CAST(1 + s_suppkey % 9 AS VARCHAR(1))) END AS StartYM,
+  CASE s_suppkey % 7 WHEN 6 THEN NULL ELSE concat(CAST(1994 + s_suppkey % 11 AS VARCHAR(4)), '/1', CAST(s_suppkey % 3 AS VARCHAR(1))) END AS EndYM,
+  concat('#%', CAST(s_suppkey AS VARCHAR(9))) AS ClientText, CASE s_suppkey % 3 WHEN 0 THEN 'omer' ELSE '' END AS PartnerText
+FROM supplier"""
+
 VIEWS["submissions"] = """
 SELECT h.PackageID AS submission_id, h.PackageID, c.ClientName,
   CASE WHEN o_totalprice > 480000 THEN 'Unknown partner' WHEN h.Inactive = 1 THEN ''
     WHEN pc.ClientName IS NOT NULL THEN pc.ClientName WHEN o_orderpriority = '3-MEDIUM' THEN c.ClientName
     ELSE '' END AS ClientPartnerName,
-  CASE WHEN o_orderpriority = '5-LOW' THEN concat(Location, ' NORTH') ELSE Location END AS Location,
+  CASE WHEN o_orderpriority = '5-LOW' THEN Location || ' NORTH' ELSE Location END AS Location,
   CASE WHEN o_totalprice > 400000 THEN UserMinimum + 5 ELSE UserMinimum END AS UserMinimum,
   PackageDiscount, CAST(0.1 AS DECIMAL(5,4)) AS PartnerSplit, LicenseStartDate, LicenseExpirationDate,
   CASE o_orderstatus WHEN 'P' THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'NOTE 1-urgent ' WHEN '5-LOW' THEN ''

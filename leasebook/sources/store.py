@@ -94,7 +94,6 @@ class PackageStore:
         asked = submissions.where("PackageID IS NOT NULL").select(self._bucket().alias("pkg_bucket")).distinct()
         highest = self._commits().agg(F.max("last_package")).first()[0]
         batch = self._batch(self.tables(asked), submissions, lines, as_of, highest=highest, **options)
-        batch.stage_parts = True
         touched = batch.accepted.select(self._bucket().alias("pkg_bucket")).distinct()
         for name in CURRENT_TABLES:
             kept = self._read("current", name, last, touched)
