@@ -5,11 +5,15 @@ about the square root of their number). One-versus-one linear support vector mac
 family; others, trained only on the family's languages, tell those apart. Features are byte
 n-grams of the lower-cased letters, so spelling decides, not case, digits or marks.
 
-The machines are fitted on a sample of at most `PER_LANGUAGE` rows a language, drawn by a hash of
-doc_id; prediction covers every row and its whole text.
+The machines are fitted on a sample of labelled rows: at most `PER_LANGUAGE` rows, drawn by a hash of
+doc_id and text, of each of the `LANGUAGES` most frequent languages (of equally frequent ones the first by name).
+Prediction covers every row and its whole text.
 
 Defined cases: null texts and texts without letters are `und` with score 0, as are all texts if
 there is nothing to learn from. A single learned language is given to every text with letters.
+Of equal votes and margins the language first by name wins. Repeated rows are each learned from and each
+predicted alike. A very long text is one row of one task. Empty tables give empty results; other
+columns are left behind.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from leasebook.llm.common import map_rows
 from leasebook.llm.linear import fold, gram_counts, logistic, part_of_one, svm, unit
 
 PER_LANGUAGE = 400
+LANGUAGES = 128
 SIZE = 1 << 12
 LONGEST = 4
 UNDETERMINED = "und"
@@ -98,12 +103,15 @@ def families(centroids: dict[str, np.ndarray]) -> list[list[str]]:
     return groups
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
-    """Learn from (doc_id, text, lang); None if no row has a language and a letter."""
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel | None:
+    """Learn from (doc_id, text, lang); None if no row has a language and a letter.
+
+    The broadcast counts have at most `languages` rows, so training texts are read where they lie.
+    """
     known = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     drawn = (
-        known.withColumn("draw", part_of_one("doc_id")).join(counts, "lang")
+        known.withColumn("draw", part_of_one("doc_id", "text")).join(F.broadcast(counts), "lang")
         .where(F.col("draw") < F.lit(1.1 * per_language) / F.col("n")).select("draw", "lang", "text")
     )
 
