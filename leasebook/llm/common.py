@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from leasebook.sources import staging
 
-__all__ = ["SMALLEST_ID", "KEY", "bit_table", "documents", "keyed", "map_rows", "stage", "table", "unwrapped", "wrapped"]
+__all__ = ["SMALLEST_ID", "KEY", "bit_table", "documents", "join_spread", "keyed", "map_rows", "stage", "table", "unwrapped", "wrapped"]
 
 SMALLEST_ID = -(2**63)
 KEY = ["id", "th"]
@@ -98,6 +98,23 @@ def map_rows(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]],
     return df.mapInArrow(out, empty.schema)
 
 
+def join_spread(rows: DataFrame, one: DataFrame, keys: list[str], n: str = "n", most: int = 1 << 14, least: int = 1024) -> DataFrame:
+    """Inner join of `rows` with `one`, which has one row a key and in column `n` the number of its rows in `rows`.
+
+    A key with more than one in `most` of all rows is spread over several tasks, and its row of `one` is
+    copied to each. There are fewer than `most` such keys, whatever the input, so their list is broadcast; the copies
+    are at most twice as many. Both sides should be written tables, as they are read twice. NULL keys match nothing.
+    """
+    bar = max(rows.count() // most, least)
+    ways = F.ceil(F.col(n) / F.lit(bar)).cast("int")
+    frequent = F.broadcast(one.where(F.col(n) > bar).select(*keys, ways.alias("_ways")))
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in keys]
+    dealt = rows.join(frequent, keys, "left").withColumn(
+        "_way", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_ways")), F.lit(0)).cast("int")).drop("_ways")
+    copied = one.withColumn("_way", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > bar, ways - 1).otherwise(0)))).drop(n)
+    return dealt.join(copied, [*keys, "_way"]).drop("_way")
+
+
 def bit_table(slots: DataFrame, size: int):
     """A table of `size` bits with those in column `slot` set, handed to all tasks.
 

@@ -9,13 +9,15 @@ the input, not on what is left.
 2. Seeds that occur once in the corpus end here. Around the others both sides are extended to
    every window that selected the seed; windows carry 96 bits of two independent hashes.
 3. The first place of each window is a grouped minimum, which is summed before the shuffle. The
-   other places are the repeats; overlapping ones form the maximal repeats of a document.
+   other places are the repeats; overlapping ones form the maximal repeats of a document. Places
+   of a frequent window are spread over several tasks, each with a copy of its first place.
 
 Documents whose whole word sequence occurred before need no seeds: all their words go. So groups
 of copies, however large, cost one row a document. Nothing is sampled or capped.
 
 Defined cases: null and empty texts have no words. Texts under `min_words` words keep all. A null
-doc_id counts as the smallest id. Repeated equal rows (same id and text) are one document.
+doc_id counts as the smallest id. Repeated equal rows (same id and text) are one document. A very
+long text is one row of one task. Empty tables give empty results. Other columns are left behind.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.llm import words as W
-from leasebook.llm.common import KEY, keyed, map_rows, stage
+from leasebook.llm.common import KEY, join_spread, keyed, map_rows, stage
 
 MIN_WORDS = 20
 SEED_WORDS = 8
@@ -84,7 +86,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_
         .select(F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2"), *KEY, F.col("x.starts").alias("start"))
     )
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-    again = windows.join(first.where("n > 1"), ["w1", "w2"]).where("struct(id, start) > first")
+    again = join_spread(windows, stage(first.where("n > 1")), ["w1", "w2"]).where("struct(id, start) > first")
     return stage(
         again.groupBy(*KEY).agg(F.collect_set("start").alias("starts")).withColumn("whole", F.lit(False))
         .unionByName(later.withColumns({"starts": F.expr("cast(array() AS array<int>)"), "whole": F.lit(True)}))
