@@ -9,11 +9,15 @@ word inside any occurrence of a window is hit.
 2. Documents are matched against the fingerprints first through a bit table of fixed size
    (`TABLE_BITS`): its size does not grow with the benchmark, it only lets more rows through.
 3. Each match is extended to the windows around it; these are joined with the items' windows on
-   128 bits. Items of equal words are one class, so copies of items do not multiply rows.
+   128 bits. Places of a frequent window are spread over several tasks.
+4. A window names the set of item classes that hold it by 128 bits (a class is the items of equal
+   words), and a document its set of such sets. Items are listed once for each distinct set of
+   sets, so documents that share a passage with many items do not multiply rows.
 
 Defined cases: null texts, and texts without letters or digits, have no words and no hits. Null
 item ids are left out. Repeated rows of items count once per item id, repeated documents each get
-their result.
+their result. A very long text is one row of one task. Empty tables give no hits; other columns
+are left behind (`clean` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.llm import words as W
-from leasebook.llm.common import KEY, keyed, map_rows, stage, unwrapped, wrapped
+from leasebook.llm.common import KEY, join_spread, keyed, map_rows, stage, unwrapped, wrapped
 
 WINDOW = 10
 GRAM = 5
@@ -46,9 +50,9 @@ def _windows(raw: bytes, lanes: list[np.ndarray], size: int, window: int, gram:
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, id, th, n_words) and hits (id, th, start, size, class), with the classes' item ids.
+    """Documents (doc_id, id, th, n_words), hits (id, th, start, size, s1, s2) and members (s1, s2, item_id).
 
-    Returns (documents, hits, members); members has (class, item_id).
+    (s1, s2) names the set of items in which the hit's window occurs.
     """
 
     def item_windows(batch: dict[str, list]) -> Iterator[tuple]:
@@ -66,13 +70,18 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
     held = stage(map_rows(
         source.where("item_id IS NOT NULL AND raw IS NOT NULL"), item_windows,
         "item_id string, c1 long, c2 long, size int, marks array<long>, h1 array<long>, h2 array<long>"))
-    members = held.select("c1", "c2", "item_id").distinct()
     one = held.groupBy("c1", "c2").agg(F.min("item_id").alias("item_id"))
     windows = (
         held.join(one, ["c1", "c2", "item_id"]).dropDuplicates(["c1", "c2"])
         .select("c1", "c2", "size", F.explode(F.arrays_zip("h1", "h2")).alias("x"))
         .select("x.h1", "x.h2", "size", "c1", "c2").distinct()
     )
+    named = stage(windows.groupBy("h1", "h2", "size").agg(*_set_name("c1", "c2")))
+    shown = named.groupBy("s1", "s2").agg(F.min(F.struct("h1", "h2", "size")).alias("w")).select("s1", "s2", "w.*")
+    members = (
+        windows.join(shown, ["h1", "h2", "size"]).select("s1", "s2", "c1", "c2")
+        .join(held.select("c1", "c2", "item_id").distinct(), ["c1", "c2"]).select("s1", "s2", "item_id")
+    )
     slot = F.pmod("mark", F.lit(TABLE_BITS))
     bits = (
         held.select(F.explode("marks").alias("mark")).select(slot.alias("slot"))
@@ -112,12 +121,19 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
     looked = stage(map_rows(
         rows, document_windows,
         "doc_id long, id long, th long, n_words long, h1 array<long>, h2 array<long>, size array<int>, start array<int>"))
-    hits = (
+    window_key = ["h1", "h2", "size"]
+    places = (
         looked.select(*KEY, F.explode(F.arrays_zip("h1", "h2", "size", "start")).alias("x"))
         .select(*KEY, "x.h1", "x.h2", "x.size", "x.start")
-        .join(windows, ["h1", "h2", "size"])
     )
-    return looked.select("doc_id", *KEY, "n_words"), stage(hits.select(*KEY, "start", "size", "c1", "c2")), members
+    met = stage(places.groupBy(*window_key).agg(F.count(F.lit(1)).alias("n")).join(named, window_key))
+    hits = join_spread(places, met, window_key)
+    return looked.select("doc_id", *KEY, "n_words"), stage(hits.select(*KEY, "start", "size", "s1", "s2")), members
+
+
+def _set_name(a: str, b: str) -> list:
+    """128 bits for the set of distinct pairs (a, b) of a group, combined map-side and in any order."""
+    return [F.bit_xor(F.xxhash64(a, b)).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), b, a)).alias("s2")]
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -133,12 +149,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         lambda a: a["n"],
     )
     words = hits.groupBy(*KEY).agg(F.collect_set(F.struct("start", "size")).alias("windows"))
+    sets = stage(hits.select(*KEY, "s1", "s2").distinct())
+    known_by = stage(sets.groupBy(*KEY).agg(*[c.alias(n) for c, n in zip(_set_name("s1", "s2"), ("t1", "t2"))]))
+    shown = known_by.groupBy("t1", "t2").agg(F.min(F.struct(*KEY)).alias("x")).select("t1", "t2", "x.*")
     listed = (
-        hits.select(*KEY, "c1", "c2").distinct().join(members, ["c1", "c2"])
-        .groupBy(*KEY).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+        sets.join(shown, KEY).select("t1", "t2", "s1", "s2").join(members, ["s1", "s2"])
+        .groupBy("t1", "t2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
     return (
-        looked.join(words, KEY, "left").join(listed, KEY, "left")
+        looked.join(words, KEY, "left").join(known_by.join(listed, ["t1", "t2"]), KEY, "left")
         .select("doc_id", *KEY, "n_words", F.coalesce(merged, F.lit(0)).cast("long").alias("n_hit"),
                 F.coalesce("windows", F.expr("array()")).alias("windows"),
                 F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"))
