@@ -1,23 +1,28 @@
 """Quality score by positive-unlabelled learning.
 
 Trusted positives are documents labelled good; the unlabelled set is plain corpus text, good and
-bad. The share of good text in it, the class prior, is estimated from a first positive-versus-
-unlabelled model (the smallest ratio of the two upper tails). The scorer then minimises the
+bad. The share of good text in it, the class prior, is estimated from first positive-versus-
+unlabelled models: the smallest ratio of the two upper tails. There is one such model a fold, and
+Spark counts every unlabelled row once, by the model of the fold that did not learn from it. The
+scorer then minimises the
 non-negative unbiased risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 with the sigmoid loss. Its margins become probabilities by a logistic curve fitted on labelled
 training rows.
 
-Fitting uses at most `POSITIVES`, `UNLABELLED` and `CHECKED` rows drawn by a hash of doc_id; scoring
-covers every row and its whole text. Only text enters a score.
+The gradients use about `POSITIVES`, `UNLABELLED` and `CHECKED` rows drawn by a hash; the
+prior and the scores cover every row and its whole text. Only text enters a score.
 
 Defined cases: null and empty texts get the score of the empty text. Without positives every text
-scores 0.5. Without labelled bad rows the margin's own logistic value is the score.
+scores 0.5. Without labelled bad rows the margin's own logistic value is the score. Of several
+labels of a doc_id the lowest counts. Unlabelled rows are drawn by doc_id and text, so rows without an
+id are not drawn all at once. Equal texts have equal scores. A very long text is one row of one task. Empty tables give empty results; `accepted`
+keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +34,7 @@ from leasebook.llm.common import map_rows
 from leasebook.llm.linear import fold, gram_counts, logistic, part_of_one, unit
 
 POSITIVES, UNLABELLED, CHECKED = 2500, 5000, 1500
+FOLDS = 5
 GRAMS = 1 << 10
 LONGEST = 3
 ACCEPT = 0.3
@@ -100,36 +106,53 @@ def _descend(gradient, size: int, rows: int, turns: int, batch: int = 1024, rate
     return weights
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives in the unlabelled rows, from the scores of rows not trained on.
+def thresholds(positive: np.ndarray) -> np.ndarray:
+    return np.quantile(positive, np.linspace(0.02, 0.98, 49))
 
-    At every threshold the unlabelled upper tail is at least prior times the positives' one; the
-    smallest ratio, with a margin for the sample's size, is the estimate.
+
+def class_prior(positive: list[np.ndarray], above: np.ndarray, rows: int) -> float:
+    """Share of positives in unlabelled rows, from the margins of rows not trained on.
+
+    `positive` has the margins of each fold; `above` counts the unlabelled rows, of `rows`, that reach
+    each of their fold's thresholds. At every one the unlabelled upper tail is at least prior
+    times the positives' one; the smallest ratio, with a margin for the numbers of rows, is the estimate.
     """
-    cuts = np.quantile(positive, np.linspace(0.02, 0.98, 49))
-    tail_p = np.array([(positive >= c).mean() for c in cuts])
-    tail_u = np.array([(unlabelled >= c).mean() for c in cuts])
-    slack = np.sqrt(np.log(100) / (2 * len(unlabelled))) + np.sqrt(np.log(100) / (2 * len(positive)))
+    n = sum(len(p) for p in positive)
+    tail_p = sum((p[:, None] >= thresholds(p)).sum(axis=0) for p in positive) / n
+    tail_u = above / rows
+    slack = np.sqrt(np.log(100) / (2 * rows)) + np.sqrt(np.log(100) / (2 * n))
     best = ((tail_u + slack) / tail_p).argmin()
     return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, turns: int = 40, penalty: float = 1e-2) -> QualityModel:
+Tails = Callable[[list[QualityModel], list[np.ndarray]], tuple[np.ndarray, int]]
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, folds: np.ndarray, tails: Tails, turns: int = 40, penalty: float = 1e-2) -> QualityModel:
+    """`folds` are those of the unlabelled rows; `tails` counts all rows of the corpus that reach each threshold
+    by the model of their fold, and the rows themselves."""
     x = np.vstack([positive, unlabelled])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = scaled(x, centre, scale)
     is_p = np.arange(len(x)) < len(positive)
-    place = np.arange(len(x)) % 5 == 0  # a fifth of the rows is kept for the prior
-    learn = np.flatnonzero(~place)
+    place = np.concatenate([np.arange(len(positive)) % FOLDS, folds])
+
+    def first(k: int) -> QualityModel:
+        learn = np.flatnonzero(place != k)
+
+        def apart(w, rows):  # positive against unlabelled, logistic loss, both sides of equal weight
+            rows = learn[rows]
+            y = is_p[rows]
+            weight = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
+            return x[rows].T @ ((logistic(x[rows] @ w) - y) * weight) + 1e-3 * w
 
-    def apart(w, rows):  # positive against unlabelled, logistic loss, both sides of equal weight
-        rows = learn[rows]
-        y = is_p[rows]
-        weight = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
-        return x[rows].T @ ((logistic(x[rows] @ w) - y) * weight) + 1e-3 * w
+        return QualityModel(centre, scale, _descend(apart, x.shape[1], len(learn), 15), 0.0)
 
-    first = x @ _descend(apart, x.shape[1], len(learn), 15)
-    prior = class_prior(first[place & is_p], first[place & ~is_p])
+    firsts = [first(k) for k in range(FOLDS)]
+    # A fold without positives takes all of them.
+    held = [x[is_p & (place == k)] if (is_p & (place == k)).any() else x[is_p] for k in range(FOLDS)]
+    margins = [h @ m.weights for h, m in zip(held, firsts)]
+    prior = class_prior(margins, *tails(firsts, [thresholds(m) for m in margins]))
 
     def risk(w, rows):
         p, u = x[rows[is_p[rows]]], x[rows[~is_p[rows]]]
@@ -170,7 +193,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     share = F.when(F.col("quality") == 1, want[1] / max(counts.get(1, 0), 1)).otherwise(want[0] / max(counts.get(0, 0), 1))
     chosen = marked.where(part_of_one("doc_id") < share)  # about `want` rows, whatever the labels' number
     source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    plain = source.where(part_of_one("doc_id", "doc_id") < UNLABELLED / max(total, 1))
+    in_fold = F.pmod(F.xxhash64("raw", "doc_id"), F.lit(FOLDS)).cast("int")
+    plain = source.where(part_of_one("doc_id", "raw") < UNLABELLED / max(total, 1))
+
+    def tails(firsts: list[QualityModel], cuts: list[np.ndarray]) -> tuple[np.ndarray, int]:
+        shared = docs.sparkSession.sparkContext.broadcast(firsts)
+
+        def reached(batch: dict[str, list]) -> Iterator[tuple]:
+            found = np.zeros(len(cuts[0]) + 1, np.int64)
+            fold_of = np.array(batch["fold"])
+            x = np.array([features(raw or b"") for raw in batch["raw"]])
+            for k in np.unique(fold_of):
+                at = np.searchsorted(cuts[k], shared.value[k].margins(x[fold_of == k]), "right")
+                found += np.bincount(at, minlength=len(found))
+            yield from ((at, int(n)) for at, n in enumerate(found) if n)
+
+        counts = map_rows(source.select("raw", in_fold.alias("fold")), reached, "reached int, n long").groupBy("reached").agg(F.sum("n").alias("n"))
+        numbers = np.zeros(len(cuts[0]) + 1)
+        for row in counts.collect():  # one row a threshold
+            numbers[row["reached"]] = row["n"]
+        return numbers[::-1].cumsum()[::-1][1:], max(int(numbers.sum()), 1)
 
     def prepare(batch: dict[str, list]) -> Iterator[tuple]:
         for kind, raw in zip(batch["kind"], batch["raw"]):
@@ -178,16 +220,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
 
     drawn = (
         source.join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("kind"), "raw")
-        .unionByName(plain.select(F.lit(2).alias("kind"), "raw"))
+        .unionByName(plain.select((F.lit(2) + in_fold).alias("kind"), "raw"))
     )
     rows = [(r["kind"], bytes(r["x"])) for r in map_rows(drawn, prepare, "kind int, x binary", 64).toLocalIterator()]
     rows.sort()
-    by = {k: np.frombuffer(b"".join(x for kind, x in rows if kind == k), np.float32).reshape(-1, len(features(b""))) for k in (0, 1, 2)}
-    if not len(by[1]) or not len(by[2]):
+    by = {k: np.frombuffer(b"".join(x for kind, x in rows if kind == k), np.float32).reshape(-1, len(features(b""))) for k in range(2 + FOLDS)}
+    unlabelled = np.vstack([by[2 + k] for k in range(FOLDS)])
+    if not len(by[1]) or not len(unlabelled):
         return None
+    folds = np.repeat(np.arange(FOLDS), [len(by[2 + k]) for k in range(FOLDS)])
     order = np.random.default_rng(3).permutation(len(by[1]))
     cut = max(1, len(order) * POSITIVES // want[1])
-    model = train(by[1][order[:cut]], by[2])
+    model = train(by[1][order[:cut]], unlabelled, folds, tails)
     calibrate(model, by[1][order[cut:]], by[0])
     return model
 

@@ -11,7 +11,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from leasebook.llm import byte_bpe, language_id, line_dedup, linear, order_minhash, pseudonyms, quality, sharding, words
-from leasebook.llm.decontamination import clean, contamination
+from leasebook.llm.common import join_spread
+from leasebook.llm.decontamination import clean, contamination, find
 from leasebook.llm.minhash_dedup import fewest_matches, groups, without_copies
 from leasebook.llm.substring_dedup import remove_repeats
 from tests.llm import frames
@@ -151,8 +152,37 @@ def test_svm_separates():
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
 
 
+def test_language_without_ids_and_with_many_languages(spark):
+    rows = [(None, f"aaa bbb ccc {i}", "p") for i in range(60)] + [(None, f"xyz zyx yxz {i}", "q") for i in range(60)] + [(1, "mmm", "z")]
+    df = spark.createDataFrame([(i, f"{t} {chr(97 + n % 26)}", lang) for n, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit(df, per_language=20, languages=2)
+    assert sorted(c for f in model.families for c in f) == ["p", "q"]
+    assert {r["lang_pred"] for r in language_id.identify(df.where("lang = 'q'"), model).collect()} == {"q"}
+
+
 # substring dedup, near duplicates, decontamination
 
+def test_join_spread_equals_a_join(spark):
+    rng = random.Random(8)
+    pairs = [(rng.choice([0] * 6 + list(range(9)) + [None]), i % 5, f"t{i}") for i in range(400)] * 2
+    rows = spark.createDataFrame(pairs, "k long, l long, v string")
+    one = rows.groupBy("k", "l").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least")).where("k IS NULL OR k < 7")
+    want = sorted(tuple(r) for r in rows.join(one.drop("n"), ["k", "l"]).select("k", "l", "v", "least").collect())
+    for most, least in ((8, 3), (1 << 14, 1024), (2, 1)):
+        got = join_spread(rows, one, ["k", "l"], most=most, least=least).select("k", "l", "v", "least")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_documents_sharing_a_passage_with_many_items(spark):
+    passage = " ".join(f"p{i}" for i in range(10))
+    items = [(i, f"{passage} {'a' if i % 3 else 'b'}{i}") for i in range(40)] + [(99, " ".join(f"q{i}" for i in range(10)))]
+    rows = [(d, f"d{d} {passage} e{d}" + (" " + items[-1][1] if d % 4 == 0 else "")) for d in range(30)]
+    df, it = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert find(df, it)[1].count() == 30 + 8  # a row per place of a shared window, whatever the number of items
+    for r in contamination(df, it).collect():
+        n, hit, found = frames.hit_words(dict(rows)[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], r["items"]) == (n, hit, sorted(map(str, found)))
+
 def test_shared_passages_with_short_windows(spark):
     rng = random.Random(4)
     passages = [" ".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(6)]
@@ -250,7 +280,19 @@ def test_class_prior():
     rng = np.random.default_rng(1)
     positive = rng.normal(2, 1, 4000)
     unlabelled = np.concatenate([rng.normal(2, 1, 2800), rng.normal(-2, 1, 1200)])
-    assert abs(quality.class_prior(positive, unlabelled) - 0.7) < 0.06
+    above = np.array([(unlabelled >= c).sum() for c in quality.thresholds(positive)])
+    assert abs(quality.class_prior([positive], above, len(unlabelled)) - 0.7) < 0.06
+
+
+def test_prior_covers_all_rows(spark, monkeypatch):
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    seen = {}
+    monkeypatch.setattr(quality, "UNLABELLED", 40)
+    monkeypatch.setattr(quality, "class_prior", lambda p, above, rows: seen.update(above=above, rows=rows) or 0.5)
+    quality.fit(docs, labels)
+    assert seen["rows"] == docs.count() > 100
+    assert (np.diff(seen["above"]) <= 0).all() and 0 < seen["above"][0] <= seen["rows"]
 
 
 # pseudonyms
