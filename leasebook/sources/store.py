@@ -1,12 +1,9 @@
-"""Billing tables in Parquet: versioned current state, appended logs, one commit per batch.
+"""Billing tables in Parquet, by buckets of packages: a batch overwrites the buckets it touches and appends to the logs.
 
-Packages are hashed into buckets. A batch writes new files only for the buckets it touches,
-then its rows for each log, and last a commit row per touched bucket. Readers take from each
-bucket the files of its latest commit, so they see a batch wholly or not at all, and a batch
-that failed before its commit is simply written again. There is one writer at a time.
-
-Current tables and logs are both kept by bucket, and a batch reads only the buckets of its
-submissions, so its work follows the batch and not the store.
+A batch reads only the buckets of its submissions. All new current rows are written aside before any table changes;
+then logs are appended, and current tables follow, so current rows never name a log row that is missing. Each write is
+whole or absent, but a batch is no transaction over tables: keep a table format below where that is needed. There is
+one writer at a time. Frames of a saved batch stay readable, but for `new_table`, which reads the tables as they were.
 """
 
 from __future__ import annotations
@@ -18,122 +15,82 @@ from leasebook.model import COLUMNS, CURRENT_TABLES, DIMENSION_TABLES, LOG_TABLE
 from leasebook.operators.compare import replace_packages
 from leasebook.plans.save import CheckedBatch, SaveBatch, SoftSaveBatch
 from leasebook.session import tune_session
+from leasebook.sources.staging import stage
 
-BUCKETS = 1024
-# A list of all buckets is broadcast, so their number is bounded.
-MOST_BUCKETS = 1 << 16
+MOST_BUCKETS = 1 << 16  # the list of touched buckets is broadcast, so their number is bounded
 
 
 class PackageStore:
-    """First schema. `columns` and the two methods at the end are what the second schema changes."""
+    """First schema."""
 
     columns = {name: COLUMNS[name] for name in (*CURRENT_TABLES, *LOG_TABLES)}
-    logs = list(LOG_TABLES)
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 1024):
         if not 1 <= buckets <= MOST_BUCKETS:
             raise ValueError(f"buckets must be between 1 and {MOST_BUCKETS}")
         self.spark, self.root, self.buckets = tune_session(spark), root.rstrip("/"), buckets
 
-    def _bucket(self, package: str = "PackageID"):
-        # The same value as a long and as an int, so that a key's type does not move it.
-        return F.pmod(F.xxhash64(F.col(package).cast("long")), F.lit(self.buckets)).cast("int")
+    def _bucketed(self, rows: DataFrame, key: str = "PackageID") -> DataFrame:
+        # A long, so that a key's type does not move it.
+        return rows.withColumn("pkg_bucket", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(self.buckets)).cast("int"))
+
+    def _touched(self, packages: DataFrame) -> DataFrame:
+        # The condition always holds; with a condition on this side, Spark prunes the folders of the other.
+        return self._bucketed(packages).where("pkg_bucket >= 0").select("pkg_bucket").distinct()
+
+    def _write(self, name: str, rows: DataFrame, mode: str, partitions: str = "dynamic") -> None:
+        # Rebalancing keeps a bucket's files together and splits a bucket that is too large.
+        (rows.select(*self.columns[name], "pkg_bucket").hint("rebalance", "pkg_bucket").write.mode(mode)
+         .option("partitionOverwriteMode", partitions).partitionBy("pkg_bucket").parquet(f"{self.root}/{name}"))
 
     def create(self, tables, dimensions: BillingTables | None = None) -> None:
-        """Write a first version of every table; `dimensions` holds client and item tables if `tables` does not."""
+        """Write every table; `dimensions` holds client and item tables if `tables` does not."""
         for name in DIMENSION_TABLES:
-            getattr(dimensions or tables, name).write.mode("overwrite").parquet(f"{self.root}/dimension/{name}")
-        for name in CURRENT_TABLES:
-            self._write("current", name, getattr(tables, name), 0)
-        for name in self.logs:
-            self._write("log", name, getattr(tables, name), 0)
-        last = tables.header.agg(F.coalesce(F.max("PackageID"), F.lit(0))).first()[0]
-        self._write_commit(self.spark.range(self.buckets).select(F.col("id").cast("int").alias("pkg_bucket")), 0, last)
-
-    def _write(self, kind: str, name: str, rows: DataFrame, batch: int) -> None:
-        # Rebalancing keeps a bucket's files together and splits a bucket that is too large.
-        key = "PackageID" if "PackageID" in self.columns[name] else "LicensePackageID"
-        (rows.select(*self.columns[name], self._bucket(key).alias("pkg_bucket")).hint("rebalance", "pkg_bucket")
-         .write.mode("overwrite").partitionBy("pkg_bucket").parquet(f"{self.root}/{kind}/{name}/batch={batch}"))
-
-    def _write_commit(self, touched: DataFrame, batch: int, last_package: int) -> None:
-        rows = touched.withColumn("last_package", F.lit(last_package).cast("long"))
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/batch={batch}")
-
-    def _commits(self) -> DataFrame:
-        return self.spark.read.schema("pkg_bucket int, last_package long, batch int").parquet(f"{self.root}/commits")
-
-    def last_batch(self) -> int:
-        return self._commits().agg(F.max("batch")).first()[0]
-
-    def _read(self, kind: str, name: str, last: int, touched: DataFrame | None) -> DataFrame:
-        """Rows of committed batches, of the touched buckets only if given. The right sides hold at
-        most one row a bucket, which bounds the broadcast, and prune directories before files are read."""
-        rows = self.spark.read.parquet(f"{self.root}/{kind}/{name}").where(F.col("batch") <= last)
-        if kind == "current":
-            live = self._commits().where(F.col("batch") <= last).groupBy("pkg_bucket").agg(F.max("batch").alias("batch"))
-            if touched is not None:
-                live = live.join(F.broadcast(touched), "pkg_bucket", "left_semi")
-            rows = rows.join(F.broadcast(live), ["pkg_bucket", "batch"], "left_semi")
-        elif touched is not None:
+            getattr(dimensions or tables, name).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        for name, columns in self.columns.items():
+            self._write(name, self._bucketed(getattr(tables, name), columns[0]), "overwrite", "static")
+
+    def _read(self, name: str, touched: DataFrame | None = None) -> DataFrame:
+        """Rows of a table, or of its touched buckets: these prune folders before files are read."""
+        rows = self.spark.read.parquet(f"{self.root}/{name}")
+        if touched is not None:
             rows = rows.join(F.broadcast(touched), "pkg_bucket", "left_semi")
-        return rows.select(*self.columns[name])
-
-    def dimension(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/dimension/{name}")
+        columns = self.columns.get(name, rows.columns)
+        return rows.select(*columns).where(F.col(columns[0]).isNotNull()) if name in CURRENT_TABLES else rows.select(*columns)
 
     def tables(self, touched: DataFrame | None = None):
-        """All tables as of the last commit, or their rows in the touched buckets."""
-        last = self.last_batch()
-        frames = {n: self._read("current", n, last, touched) for n in CURRENT_TABLES}
-        return self._collect(frames | {n: self._read("log", n, last, touched) for n in self.logs})
+        """All tables, or their rows in the touched buckets."""
+        return BillingTables(**{n: self._read(n) for n in DIMENSION_TABLES}, **{n: self._read(n, touched) for n in self.columns})
+
+    def _batch(self, tables, submissions, lines, as_of, **options) -> CheckedBatch:
+        return SaveBatch(tables, submissions, lines, as_of, **options)
 
     def save(self, submissions: DataFrame, lines: DataFrame | None, as_of=None, **options) -> CheckedBatch:
         """Check and apply a batch; the returned plans give messages, refusals and figures."""
-        last = self.last_batch()
-        asked = submissions.where("PackageID IS NOT NULL").select(self._bucket().alias("pkg_bucket")).distinct()
-        highest = self._commits().agg(F.max("last_package")).first()[0]
+        asked = self._touched(submissions.where("PackageID IS NOT NULL"))
+        highest = self._read("header").agg(F.coalesce(F.max("PackageID"), F.lit(0))).first()[0]
         batch = self._batch(self.tables(asked), submissions, lines, as_of, highest=highest, **options)
-        touched = batch.accepted.select(self._bucket().alias("pkg_bucket")).distinct()
-        for name in CURRENT_TABLES:
-            kept = self._read("current", name, last, touched)
-            self._write("current", name, replace_packages(kept, batch.accepted, batch.current_rows[name]), last + 1)
-        for name in self.logs:
-            self._write("log", name, batch.all_log_rows[name], last + 1)
-        given = batch.accepted.agg(F.max("PackageID")).first()[0] or 0
-        self._write_commit(touched, last + 1, max(highest, given))
+        touched = self._touched(batch.accepted)
+        # A row of NULLs for each touched bucket, so that a bucket left without rows is overwritten too.
+        after = {
+            name: stage(self._bucketed(replace_packages(self._read(name, touched), batch.accepted, rows))
+                        .unionByName(touched, allowMissingColumns=True))
+            for name, rows in batch.current_rows.items()
+        }
+        for name, rows in batch.all_log_rows.items():
+            self._write(name, self._bucketed(rows, self.columns[name][0]), "append")
+        for name, rows in after.items():
+            self._write(name, rows, "overwrite")
         return batch
 
-    def clean(self) -> int:
-        """Remove the directories of current rows that a later commit replaced; returns their number.
-
-        Readers of an older commit must be done. At most one directory a bucket, table and batch is visited.
-        """
-        latest = self._commits().groupBy("pkg_bucket").agg(F.max("batch").alias("latest"))
-        old = self._commits().join(F.broadcast(latest), "pkg_bucket").where("batch < latest").select("pkg_bucket", "batch")
-        jvm = self.spark.sparkContext._jvm
-        removed = 0
-        for row in old.distinct().toLocalIterator():
-            for name in CURRENT_TABLES:
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/current/{name}/batch={row['batch']}/pkg_bucket={row['pkg_bucket']}")
-                removed += path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        return removed
-
-    def _collect(self, frames: dict[str, DataFrame]):
-        return BillingTables(**{n: self.dimension(n) for n in DIMENSION_TABLES}, **frames)
-
-    def _batch(self, tables, submissions, lines, as_of, **options) -> CheckedBatch:
-        return SaveBatch(tables, submissions, lines, as_of, **options)
-
 
 class SoftPackageStore(PackageStore):
     """Second schema: rows are marked inactive, logs hold the new values."""
 
     columns = SOFT_COLUMNS
-    logs = [name for name in SOFT_COLUMNS if name not in CURRENT_TABLES]
 
-    def _collect(self, frames: dict[str, DataFrame]) -> SoftTables:
-        return SoftTables(**frames)
+    def tables(self, touched: DataFrame | None = None) -> SoftTables:
+        return SoftTables(**{n: self._read(n, touched) for n in self.columns})
 
     def _batch(self, tables, submissions, lines, as_of, **options) -> CheckedBatch:
-        return SoftSaveBatch(self.dimension("client"), self.dimension("item"), tables, submissions, lines, as_of, **options)
+        return SoftSaveBatch(self._read("client"), self._read("item"), tables, submissions, lines, as_of, **options)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leasebook.model import SoftTables
 from leasebook.operators import submissions as sub
 from leasebook.plans.save import SaveBatch, SoftSaveBatch
+from leasebook.sources.staging import stage
 from leasebook.sources.store import PackageStore, SoftPackageStore
 from tests.frames import batch, rows, same_lines, submission, tables
 
@@ -185,7 +186,6 @@ def test_store_applies_a_batch_once(spark, store):
     assert [r for r in first["header"] if r[0] == 11] == [r for r in before["header"] if r[0] == 11]
     store.save(*batch(spark, *CHANGE), DAY)
     assert state(store.tables()) == first  # the same submission again makes no version
-    assert store.last_batch() == 2
 
 
 def test_log_maxima_equal_current_ids(spark, store):
@@ -207,13 +207,21 @@ def test_one_batch_equals_single_submissions(spark, store, tmp_path):
     assert state(single.tables()) == state(store.tables())
 
 
-def test_uncommitted_batch_is_not_seen(spark, store):
+def test_a_bucket_left_without_rows_is_overwritten(spark, tmp_path):
+    s = PackageStore(spark, str(tmp_path / "wide"), buckets=4096)  # a bucket a package
+    s.create(tables(spark))
+    assert s.tables().detail.where("PackageID = 11").count()
+    s.save(*batch(spark, [submission(1, 11, "Bolt")], []), DAY)
+    after = state(s.tables())
+    assert not [r for r in after["detail"] if r[0] == 11] and None not in {r[0] for n in after for r in after[n]}
+    assert [r for r in after["detail"] if r[0] == 10] == [r for r in rows(tables(spark).detail.select(*s.columns["detail"])) if r[0] == 10]
+
+
+def test_empty_batch_changes_nothing(spark, store):
     before = state(store.tables())
-    store._write("log", "note_log", tables(spark).note_log, 1)
-    store._write("current", "note", tables(spark).note.where("false"), 1)
+    subs, lines = batch(spark, *CHANGE)
+    store.save(subs.where("false"), lines.where("false"), DAY)
     assert state(store.tables()) == before
-    store.save(*batch(spark, *CHANGE), DAY)
-    assert len(state(store.tables())["note_log"]) == 2
 
 
 def test_cut_off_document_leaves_the_package(spark, store):
@@ -235,22 +243,17 @@ def test_submission_ids_are_required_and_unique(spark):
         (None, sub.NO_SUBMISSION_ID), (1, sub.REPEATED_SUBMISSION_ID), (1, sub.REPEATED_SUBMISSION_ID)]))
 
 
-def test_batch_reads_only_its_buckets(spark, store):
-    subs, _ = batch(spark, *CHANGE)
-    touched = subs.select(store._bucket().alias("pkg_bucket")).distinct()
+def test_batch_reads_and_writes_only_its_buckets(spark, store):
+    subs, lines = batch(spark, *CHANGE)
+    touched = store._touched(stage(subs))
     bucket = touched.first()[0]
-    for name in ("detail", "header", "detail_log", "change_log", "change_items"):
-        kind = "current" if name in ("detail", "header") else "log"
-        frame = store.spark.read.parquet(f"{store.root}/{kind}/{name}").join(F.broadcast(touched), "pkg_bucket", "left_semi")
-        assert {f.split("pkg_bucket=")[1].split("/")[0] for f, in frame.select(F.input_file_name()).distinct().collect()} <= {str(bucket)}
-        mine = store.spark.read.parquet(f"{store.root}/{kind}/{name}").where(F.col("pkg_bucket") == bucket).count()
-        assert getattr(store.tables(touched), name).count() == mine
-
-
-def test_superseded_files_are_removed(spark, store):
-    store.save(*batch(spark, *CHANGE), DAY)
-    before = state(store.tables())
-    assert store.clean() > 0 and state(store.tables()) == before and store.clean() == 0
+    path = f"{store.root}/detail"
+    assert "dynamicpruning" in store.tables(touched).detail._jdf.queryExecution().executedPlan().toString()
+    assert store.tables(touched).detail.count() == spark.read.parquet(path).where(F.col("pkg_bucket") == bucket).count()
+    files = lambda: {r[0] for r in spark.read.parquet(path).where(F.col("pkg_bucket") != bucket).select(F.input_file_name()).collect()}
+    others = files()
+    store.save(subs, lines, DAY)
+    assert files() == others
     with pytest.raises(ValueError):
         PackageStore(spark, store.root, buckets=1 << 20)
 
