@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from leasebook.functions.dates import parse_year_month, year_month_error
 from leasebook.functions.text import yes_no
-from leasebook.operators import changelog, costs, details, expiring, finder, lookups, padding, parts, searches, submissions, versions
+from leasebook.model import SOFT_COLUMNS
+from leasebook.operators import changelog, costs, details, expiring, finder, log_state, lookups, padding, parts, searches, submissions, versions
 from leasebook.operators.compare import replace_packages
 from leasebook.operators.finder import FinderSearch
 from leasebook.plans.save import SaveBatch, SoftSaveBatch
@@ -372,5 +373,25 @@ def change_log_rows_soft(s):
     return _soft_batch(s).change_log_rows
 
 
+@query
+def dry_run_soft(s):
+    return _soft_batch(s).dry_run()
+
+
+@query
+def state_from_logs(s):
+    """Current tables after a batch, from the logs and the batch's log rows."""
+    t, b = s.soft_tables(), _soft_batch(s)
+    return log_state.state_from_logs({
+        n: getattr(t, n).select(*SOFT_COLUMNS[n]).unionByName(rows.select(*SOFT_COLUMNS[n])) for n, rows in b.log_rows.items()})
+
+
+@query
+def log_drift(s):
+    """Lines whose log does not give their current row."""
+    t = s.soft_tables()
+    return log_state.drift(t.detail, t.detail_log, "detail")
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES[name](StarSource(spark, sf_dir))

@@ -697,5 +697,47 @@ FROM c_accepted a JOIN c_soft_header h ON a.pid = h.PackageID LEFT JOIN c_soft_p
   LEFT JOIN c_soft_note n ON a.pid = n.PackageID"""
 
 
+C["dry_run_soft"] = """
+SELECT 'refused' AS Frame, count(*) AS RowCount FROM c_errors_of_batch WHERE ErrorText IS NOT NULL
+UNION ALL SELECT 'header', count(*) FROM c_accepted
+UNION ALL SELECT 'detail', count(*) FROM c_soft_diff
+UNION ALL SELECT 'partner', count(*) FROM (SELECT PackageID FROM c_soft_partner UNION
+  SELECT PackageID FROM soft_partner WHERE PackageID IN (SELECT pid FROM c_accepted)) z
+UNION ALL SELECT 'note', count(*) FROM (SELECT PackageID FROM c_soft_note UNION
+  SELECT PackageID FROM soft_note WHERE PackageID IN (SELECT pid FROM c_accepted)) z
+UNION ALL SELECT 'header_log', count(*) FROM c_soft_header
+UNION ALL SELECT 'detail_log', count(*) FROM c_soft_detail_log_rows
+UNION ALL SELECT 'partner_log', count(*) FROM c_soft_partner
+UNION ALL SELECT 'note_log', count(*) FROM c_soft_note
+UNION ALL SELECT 'change_log', count(*) FROM c_accepted"""
+
+# Logs folded: the row without a later one.
+for _part, _keys, _values in [
+    ("header", ["PackageID"], ["ClientID", "Location", "LicenseStartDate", "LicenseExpirationDate", "PackageDiscount", "UserMinimum"]),
+    ("detail", ["PackageID", "ItemID"], ["Price", "Quantity", "Discount", "LicenseFactor"]),
+    ("partner", ["PackageID"], ["ClientPartnerID", "PartnerSplitPercentage"]),
+    ("note", ["PackageID"], ["Note"]),
+]:
+    _columns = ", ".join([*_keys, "ChangeID", *_values, "Inactive"])
+    _rows = {"detail": "c_soft_detail_log_rows"}.get(_part, f"c_soft_{_part}")
+    V[f"c_logged_{_part}"] = f"SELECT {_columns} FROM soft_{_part}_log UNION ALL SELECT {_columns} FROM {_rows}"
+    V[f"c_state_{_part}"] = f"""
+SELECT {_columns} FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(_keys)} ORDER BY ChangeID DESC) AS nth
+  FROM c_logged_{_part}) z WHERE nth = 1"""
+C["state_from_logs"] = """
+SELECT 'header' AS Part, * FROM c_state_header UNION ALL BY NAME SELECT 'detail' AS Part, * FROM c_state_detail
+UNION ALL BY NAME SELECT 'partner' AS Part, * FROM c_state_partner UNION ALL BY NAME SELECT 'note' AS Part, * FROM c_state_note"""
+V["c_logged_lines"] = """
+SELECT g.* FROM soft_detail_log g WHERE NOT EXISTS (SELECT 1 FROM soft_detail_log l
+  WHERE l.PackageID = g.PackageID AND l.ItemID = g.ItemID AND l.ChangeID > g.ChangeID)"""
+C["log_drift"] = """
+SELECT coalesce(d.PackageID, g.PackageID) AS PackageID, coalesce(d.ItemID, g.ItemID) AS ItemID,
+  CASE WHEN g.PackageID IS NULL THEN 'no log' WHEN d.PackageID IS NULL THEN 'no row' ELSE 'differs' END AS Fault
+FROM soft_detail d FULL JOIN c_logged_lines g ON d.PackageID = g.PackageID AND d.ItemID = g.ItemID
+WHERE d.PackageID IS NULL OR g.PackageID IS NULL OR d.Price IS DISTINCT FROM g.Price OR d.Quantity IS DISTINCT FROM g.Quantity
+  OR d.Discount IS DISTINCT FROM g.Discount OR d.LicenseFactor IS DISTINCT FROM g.LicenseFactor
+  OR d.Inactive IS DISTINCT FROM g.Inactive OR d.ChangeID IS DISTINCT FROM g.ChangeID"""
+
+
 def check_sql() -> dict[str, str]:
     return {name: with_views(sql, after=V) for name, sql in C.items()}

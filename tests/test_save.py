@@ -5,7 +5,8 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from leasebook.model import SoftTables
+from leasebook.model import SOFT_COLUMNS, SoftTables
+from leasebook.operators import log_state
 from leasebook.operators import submissions as sub
 from leasebook.plans.save import SaveBatch, SoftSaveBatch
 from leasebook.sources.staging import stage
@@ -271,3 +272,37 @@ def test_soft_store_saves_and_reloads(spark, tmp_path):
     top = after.detail_log.where("PackageID = 10").groupBy("ItemID").agg(F.max_by("Quantity", "ChangeID").alias("Quantity"))
     assert rows(top, "ItemID", "Quantity") == [(5, 4), (6, 1)]
     assert rows(b.accepted, "PackageID") == [(10,), (12,)] and dict(rows(b.dry_run()))["refused"] == 0
+
+
+SOFT_LOG = "PackageID long, ChangeID long, ItemID long, Price decimal(19,4), Quantity int, Discount decimal(5,4), LicenseFactor decimal(5,4), Inactive int"
+
+
+def test_log_folds_to_the_latest_rows(spark):
+    one = lambda p, c, i, q, gone=0: (p, c, i, D(1), q, D(0), None, gone)
+    log = spark.createDataFrame([
+        one(1, 1, 5, 3), one(1, 2, 5, 4), one(1, 10, 5, None, 1), one(1, 1, 6, 7), one(1, None, 6, 9), one(2, 1, 5, 1), one(2, 1, 5, 2),
+        one(None, 1, 5, 1), one(3, 1, None, 8)], SOFT_LOG)
+    assert rows(log_state.current_from_log(log, "detail"), "PackageID", "ItemID", "Quantity", "Inactive", "ChangeID") == [
+        (1, 5, None, 1, 10), (1, 6, 7, 0, 1), (2, 5, 2, 0, 1), (3, None, 8, 0, 1)]
+    earlier = log_state.current_from_log(log, "detail", F.col("ChangeID") <= 2)
+    assert rows(earlier.where("PackageID = 1"), "ItemID", "Quantity") == [(5, 4), (6, 7)]
+    assert log_state.current_from_log(log.where("false"), "detail").count() == 0
+
+
+def test_drift_of_current_rows_from_their_log(spark):
+    log = spark.createDataFrame([(1, 1, 5, D(1), 3, D(0), None, 0), (1, 1, 6, D(1), 3, D(0), None, 0), (1, 1, 7, D(1), 3, D(0), None, 0)], SOFT_LOG)
+    current = log.where("ItemID < 7").withColumn("Quantity", F.expr("IF(ItemID = 6, NULL, Quantity)"))
+    current = current.union(current.withColumn("ItemID", F.lit(8)).limit(1))
+    assert rows(log_state.drift(current, log, "detail")) == [(1, 6, "differs"), (1, 7, "no row"), (1, 8, "no log")]
+
+
+def test_logs_fold_to_what_a_batch_leaves(spark):
+    t, soft = soft_tables(spark)
+    logs = {f"{n}_log": getattr(soft, n).withColumn("Operation", F.lit("INSERT")) for n in log_state.KEYS}
+    soft = dataclasses.replace(soft, **logs)
+    b = SoftSaveBatch(t.client, t.item, soft, *batch(spark, [submission(1, 10, partner="", note="")], [(1, 1, "Base", D(10), 4, D(0), D("0.05"))]), DAY)
+    for name in log_state.KEYS:
+        columns = SOFT_COLUMNS[name]
+        log = logs[f"{name}_log"].select(*columns).unionByName(b.log_rows[f"{name}_log"].select(*columns))
+        assert rows(log_state.current_from_log(log, name)) == rows(b.new_table(name).select(*columns))
+        assert log_state.drift(b.new_table(name), log, name).count() == 0
