@@ -101,11 +101,11 @@ def map_rows(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]],
 def join_spread(rows: DataFrame, one: DataFrame, keys: list[str], n: str = "n", most: int = 1 << 14, least: int = 1024) -> DataFrame:
     """Inner join of `rows` with `one`, which has one row a key and in column `n` the number of its rows in `rows`.
 
-    A key with more than one in `most` of all rows is spread over several tasks, and its row of `one` is
-    copied to each. There are fewer than `most` such keys, whatever the input, so their list is broadcast; the copies
-    are at most twice as many. Both sides should be written tables, as they are read twice. NULL keys match nothing.
+    A key with more than one in `most` of all matches is spread over several tasks, and its row of `one` is
+    copied to each. There are at most `most` such keys, whatever the input, so their list is broadcast; the copies
+    are at most twice as many. `one` should be a written table, as it is read three times. NULL keys match nothing.
     """
-    bar = max(rows.count() // most, least)
+    bar = max(-(-(one.agg(F.sum(n)).first()[0] or 0) // most), least)
     ways = F.ceil(F.col(n) / F.lit(bar)).cast("int")
     frequent = F.broadcast(one.where(F.col(n) > bar).select(*keys, ways.alias("_ways")))
     rest = [F.col(f"`{c}`") for c in rows.columns if c not in keys]

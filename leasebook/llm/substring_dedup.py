@@ -10,7 +10,7 @@ the input, not on what is left.
    every window that selected the seed; windows carry 96 bits of two independent hashes.
 3. The first place of each window is a grouped minimum, which is summed before the shuffle. The
    other places are the repeats; overlapping ones form the maximal repeats of a document. Places
-   of a frequent window are spread over several tasks, each with a copy of its first place.
+   of a frequent window or seed are spread over several tasks, each with a copy of the other side's row.
 
 Documents whose whole word sequence occurred before need no seeds: all their words go. So groups
 of copies, however large, cost one row a document. Nothing is sampled or capped.
@@ -68,8 +68,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_
         .select(*KEY, F.explode(F.arrays_zip("seeds", "places")).alias("x"))
         .select(F.col("x.seeds").alias("seed"), *KEY, F.col("x.places").alias("place"))
     )
-    repeated = occurrence.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    places = stage(occurrence.join(repeated, "seed").groupBy(*KEY).agg(F.collect_list("place").alias("places")))
+    repeated = stage(occurrence.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    places = stage(join_spread(occurrence, repeated, ["seed"]).groupBy(*KEY).agg(F.collect_list("place").alias("places")))
 
     def extended(batch: dict[str, list]) -> Iterator[tuple]:
         for id_, th, raw, near in zip(batch["id"], batch["th"], batch["raw"], batch["places"]):
