@@ -10,7 +10,7 @@ tokens are compared; only lines without a token stay as they are.
    done with this.
 2. A set's tokens are ordered by rarity (a class from token counts, then a hash). Two similar sets
    share a token among the first n - ceil(t n) + 1, so only these prefixes are joined. Length,
-   position, and the overlap that 128-bit token maps still allow are tested in the join.
+   position, and the overlap that 64-bit parity maps of tokens still allow are tested in the join.
 3. What is left is verified on the lines themselves.
 
 A match is needed for each line, not every match. Under tokens that stand in the prefixes of `HOT`
@@ -61,47 +61,62 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(lines with the key of their set, sets with first line, size, maps and prefix).
+    """(lines with the key of their set, sets with first line, size, map and prefix).
 
     A token is a long whose high bits are its rarity class and whose low bits a hash.
     """
     rarity = _rarity(docs)
-    rare = lambda h: F.ascii(F.substring(rarity, _slot(h) + 1, F.lit(1)).cast("string")) - 48
-    long = lambda h: F.shiftleft(rare(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    mark = lambda t: F.when(t == "", F.lit(-1).cast("long")).otherwise(long(F.xxhash64(t)))
-    n = F.size("marks")
+    rare = lambda h: F.ascii(F.substring(rarity, _slot(h) + 1, F.lit(1)).cast("string")).cast("long")
+    mark = lambda h: F.shiftleft(rare(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m.bitwiseAND(63).cast("int"))
-    side = lambda k: F.aggregate(
-        "marks", F.lit(0).cast("long"), lambda a, m: F.when(m.bitwiseAND(64) == 64 * k, a.bitwiseOR(bit(m))).otherwise(a))
+    n = F.size("marks")
     lines = keyed(docs).where("text IS NOT NULL").select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    marked = lines.select(*PLACE, F.sort_array(F.array_distinct(F.array_remove(
-        F.transform(_tokens(F.col("content")), mark), F.lit(-1).cast("long")))).alias("marks"))
+    hashes = F.array_distinct(F.transform(F.array_remove(_tokens(F.col("content")), ""), lambda t: F.xxhash64(t)))
+    marked = lines.select(*PLACE, F.sort_array(F.transform(hashes, mark)).alias("marks"))
     # Lines without tokens go after the write: a filter before it would make all marks twice.
     placed = stage(marked.select(
         *PLACE, F.xxhash64("marks").alias("k1"), F.xxhash64(F.lit(7), "marks").alias("k2"), n.alias("n"),
-        side(0).alias("b1"), side(1).alias("b2"),
+        F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(bit(m))).alias("map"),
         F.slice("marks", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))).where("n > 0")
     sets = placed.groupBy("k1", "k2").agg(F.min(F.struct(
-        F.struct(*PLACE).alias("at"), "n", "b1", "b2", "prefix")).alias("s")).select("k1", "k2", "s.*")
+        F.struct(*PLACE).alias("at"), "n", "map", "prefix")).alias("s")).select("k1", "k2", "s.at.*", "s.n", "s.map", "s.prefix")
     return placed.select(*PLACE, "k1", "k2"), stage(sets)
 
 
+def _earlier(y: str, x: str) -> Column:
+    """Whether the place of `y` comes before that of `x`."""
+    before = F.lit(False)
+    for name in reversed(PLACE):
+        a, b = F.col(f"{y}.{name}"), F.col(f"{x}.{name}")
+        before = (a < b) | ((a == b) & before)
+    return before
+
+
 def _could_match(x: str, y: str, percent: int) -> Column:
     """Length, position and map filters on two prefix rows of a common token; y is the earlier set.
 
     The position filter takes the token for the first that the sets share: it holds for the row of
-    that token, and a similar pair needs no other.
+    that token, and a similar pair needs no other. Maps differ in at most as many bits as the sets in tokens.
     """
     xn, yn = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = F.ceil((xn + yn) * percent / F.lit(100 + percent))
-    apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ("b1", "b2"))
+    apart = F.bit_count(F.col(f"{x}.map").bitwiseXOR(F.col(f"{y}.map")))
     i, j = F.col(f"{x}.pos"), F.col(f"{y}.pos")
     return (
-        (F.col(f"{y}.at") < F.col(f"{x}.at")) & (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent)
-        & ((xn + yn - apart) >= need * 2) & (F.least(xn - i, yn - j) >= need)
+        (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent)
+        & ((xn + yn - apart) >= need * 2) & (F.least(xn - i, yn - j) >= need) & _earlier(y, x)
     )
 
 
+def _place(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}.{name}") for name in PLACE]).alias(side)
+
+
+def _prefixes(sets: DataFrame, *more: str) -> DataFrame:
+    """One row a prefix token of each set."""
+    return sets.select(*PLACE, "n", "map", *more, F.posexplode("prefix").alias("pos", "mark"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Distinct `x` of those (x, y) whose lines' sets are similar; x and y are places of lines."""
     pairs = stage(pairs)
@@ -120,26 +135,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (id, line, th) of the lines that go; line is counted from 0."""
     lines, sets = _sets(docs, percent)
-    rows = sets.where(F.col("n") * (100 - percent) >= percent).select("at", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "mark"))
+    open_sets = sets.where(F.col("n") * (100 - percent) >= percent)
+    rows = _prefixes(open_sets)
     hot_marks = stage(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= HOT).select("mark"))
-    hot = stage(rows.join(hot_marks, "mark"))
-    cold = rows.join(hot_marks, "mark", "left_anti")
-
-    hubs = hot.groupBy("mark", "n").agg(F.min(F.struct("at", "b1", "b2", "pos")).alias("hub")).select("mark", "n", "hub.*")
+    hot = rows.join(hot_marks, "mark")
+    hubs = stage(hot.groupBy("mark", "n").agg(F.min(F.struct(*PLACE, "map", "pos")).alias("hub")).select("mark", "n", "hub.*"))
     same = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.n") == F.col("y.n"))
     pairs = hot.alias("x").join(hubs.alias("y"), same & _could_match("x", "y", percent))
-    often = pairs.groupBy(F.col("x.at").alias("x"), F.col("y.at").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    often = pairs.groupBy(_place("x"), _place("y")).agg(F.count(F.lit(1)).alias("shared"))
     done = _verified(often.groupBy("x").agg(F.max_by("y", "shared").alias("y")), docs, percent)
 
-    left = hot.join(done.withColumnRenamed("x", "at"), "at", "left_anti")
-    candidates = None
-    for later, earlier in ((cold, cold), (left, hot)):
-        x, y = later.alias("x"), earlier.alias("y")
-        pairs = x.join(y, (F.col("x.mark") == F.col("y.mark")) & _could_match("x", "y", percent)).select(F.col("x.at").alias("x"), F.col("y.at").alias("y"))
-        candidates = pairs if candidates is None else candidates.unionByName(pairs)
-    done = done.unionByName(_verified(candidates.distinct(), docs, percent)).distinct()
+    # Both sides of the join are one exchange: `left` is tested in the join, on columns of both.
+    matched = done.select("x.*", F.lit(True).alias("matched"))
+    rows = _prefixes(open_sets.join(matched, PLACE, "left").withColumn("left", F.col("matched").isNull()), "left")
+    still = F.col("x.left") | (F.col("y.left") & (F.col("y.n") < 0))
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.mark") == F.col("y.mark")) & still & _could_match("x", "y", percent))
+    done = done.unionByName(_verified(pairs.select(_place("x"), _place("y")).distinct(), docs, percent))
 
-    gone = sets.select("k1", "k2", "at").join(done.withColumn("similar", F.lit(True)), F.col("at") == F.col("x"), "left").select(
+    first = F.struct(*PLACE)
+    gone = sets.select("k1", "k2", first.alias("at")).join(done.withColumn("similar", F.lit(True)), F.col("at") == F.col("x"), "left").select(
         "k1", "k2", "at", F.coalesce("similar", F.lit(False)).alias("similar"))
     return lines.join(gone, ["k1", "k2"]).where(F.col("similar") | (F.struct(*PLACE) > F.col("at"))).select(*PLACE)
 
