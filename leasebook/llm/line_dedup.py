@@ -14,8 +14,9 @@ tokens are compared; only lines without a token stay as they are.
 3. What is left is verified on the lines themselves.
 
 A match is needed for each line, not every match. Under tokens that stand in the prefixes of `HOT`
-sets or more, a set is therefore first compared with one set only, the earliest of its size; only
-sets that are still without a match meet all earlier sets there. Nothing is capped.
+sets or more, a set therefore first meets four sets at most, the earliest of its own and of the two
+neighbouring sizes and the one on most lines, and is verified with the most promising of all these; only sets that are
+still without a match meet all earlier sets there. Nothing is capped.
 
 Only Spark functions are used. The driver holds one table of `SLOTS` counts, whatever the input; a
 token that shares its slot with a frequent one counts as frequent, which changes the order of tokens
@@ -61,7 +62,7 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(lines with the key of their set, sets with first line, size, map and prefix).
+    """(lines with the key of their set, sets with number of lines, first line, size, map and prefix).
 
     A token is a long whose high bits are its rarity class and whose low bits a hash.
     """
@@ -79,7 +80,8 @@ def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(bit(m))).alias("map"),
         F.slice("marks", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))).where("n > 0")
     sets = placed.groupBy("k1", "k2").agg(F.min(F.struct(
-        F.struct(*PLACE).alias("at"), "n", "map", "prefix")).alias("s")).select("k1", "k2", "s.at.*", "s.n", "s.map", "s.prefix")
+        F.struct(*PLACE).alias("at"), "n", "map", "prefix")).alias("s"), F.count(F.lit(1)).alias("times")).select(
+        "k1", "k2", "times", "s.at.*", "s.n", "s.map", "s.prefix")
     return placed.select(*PLACE, "k1", "k2"), stage(sets)
 
 
@@ -136,14 +138,20 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (id, line, th) of the lines that go; line is counted from 0."""
     lines, sets = _sets(docs, percent)
     open_sets = sets.where(F.col("n") * (100 - percent) >= percent)
-    rows = _prefixes(open_sets)
+    rows = _prefixes(open_sets, "times")
     hot_marks = stage(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= HOT).select("mark"))
     hot = rows.join(hot_marks, "mark")
-    hubs = stage(hot.groupBy("mark", "n").agg(F.min(F.struct(*PLACE, "map", "pos")).alias("hub")).select("mark", "n", "hub.*"))
-    same = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.n") == F.col("y.n"))
+    shown = [*PLACE, "n", "map", "pos"]
+    by_size = stage(hot.groupBy("mark", F.col("n").alias("for_n")).agg(
+        F.min(F.struct(*shown)).alias("first"), F.min(F.struct(-F.col("times"), *shown)).alias("common")))
+    common = by_size.groupBy("mark").agg(F.min("common").alias("y"))
+    near = by_size.select("mark", F.explode(F.array(*[F.col("for_n") + k for k in (-1, 0, 1)])).alias("for_n"), "first.*")
+    hubs = near.unionByName(by_size.select("mark", "for_n").join(common, "mark").select("mark", "for_n", *[f"y.{c}" for c in shown]))
+    same = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.n") == F.col("y.for_n"))
     pairs = hot.alias("x").join(hubs.alias("y"), same & _could_match("x", "y", percent))
-    often = pairs.groupBy(_place("x"), _place("y")).agg(F.count(F.lit(1)).alias("shared"))
-    done = _verified(often.groupBy("x").agg(F.max_by("y", "shared").alias("y")), docs, percent)
+    total, apart = F.col("x.n") + F.col("y.n"), F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map")))
+    nearest = pairs.select(_place("x"), _place("y"), ((total - apart) / total).alias("alike"))
+    done = _verified(nearest.groupBy("x").agg(F.max_by("y", "alike").alias("y")), docs, percent)
 
     # Both sides of the join are one exchange: `left` is tested in the join, on columns of both.
     matched = done.select("x.*", F.lit(True).alias("matched"))
