@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.functions.dates import month_diff
+from leasebook.functions.exact import Exact
 from leasebook.functions.money import line_amount, package_cost, renewal_item_price
 
 LINE_AMOUNT_ARGS = ("Quantity", "Price", "Discount", "LicenseFactor")
@@ -35,6 +36,18 @@ def renewal_cost(detail: DataFrame, header: DataFrame) -> DataFrame:
     )
 
 
+def renewal_cost_exact(detail: DataFrame, header: DataFrame) -> DataFrame:
+    """`renewal_cost` with the result types of T-SQL at every step, decimal(38,6) in the end."""
+    rest = lambda rate: Exact.whole(1) - Exact.whole(1) * Exact.of(F.col(rate), 5, 4)
+    price = Exact.of(F.col("Price"), 19, 4)
+    unit = (price + price * Exact.of(F.col("LicenseFactor"), 5, 4)) * rest("Discount")
+    monthly = (Exact.whole(F.col("Quantity")) * unit).total()
+    cost = Exact.whole(_months()) * Exact(F.col("_monthly"), monthly.precision, monthly.scale) * rest("PackageDiscount")
+    terms = header.select("PackageID", "LicenseStartDate", "LicenseExpirationDate", "PackageDiscount")
+    sums = detail.groupBy("PackageID").agg(monthly.column.alias("_monthly"))
+    return sums.join(terms, "PackageID").select("PackageID", cost.column.alias("CalculatedRenewalCost"))
+
+
 def package_summary(detail: DataFrame, base_item_id: int) -> DataFrame:
     """Per package the base item's quantity and price and the monthly amount, in one pass over the lines.
 

@@ -35,6 +35,23 @@ BLANK_PRICE = ", Price should not be left blank"
 BLANK_QUANTITY = ", Quantity should not be left blank"
 
 
+def unreadable_line(line: Column) -> Column:
+    """Whether a line of texts holds a value that cannot be converted."""
+    bad = F.lit(False)
+    for name, kind in LINE_FIELDS.items():
+        if kind != "string":
+            value = F.trim(line[name])
+            bad = bad | (F.coalesce(F.length(value) > 0, F.lit(False)) & value.try_cast(kind).isNull())
+    return bad
+
+
+def typed_line(line: str) -> list[Column]:
+    """The fields of a column of texts with their types and names."""
+    values = {n: F.col(f"{line}.{n}") for n in LINE_FIELDS}
+    return [(values[n] if k == "string" else F.trim(values[n]).try_cast(k)).alias("RowNo" if n == "Row" else n)
+            for n, k in LINE_FIELDS.items()]
+
+
 def _parsed_documents(submissions: DataFrame) -> DataFrame:
     fields = ", ".join(f"{name}: string" for name in LINE_FIELDS)
     options = {"rowTag": DOCUMENT_TAG, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
@@ -45,15 +62,7 @@ def _parsed_documents(submissions: DataFrame) -> DataFrame:
     # which would parse every document once per reference.
     parsed = submissions.select("submission_id", F.explode(F.array(F.when(filled, document))).alias("_doc"))
 
-    def unreadable(line: Column) -> Column:
-        bad = F.lit(False)
-        for name, kind in LINE_FIELDS.items():
-            if kind != "string":
-                value = F.trim(line[name])
-                bad = bad | (F.coalesce(F.length(value) > 0, F.lit(False)) & value.try_cast(kind).isNull())
-        return bad
-
-    bad_value = F.coalesce(F.exists("_doc.r", unreadable), F.lit(False))
+    bad_value = F.coalesce(F.exists("_doc.r", unreadable_line), F.lit(False))
     error = F.when(F.col("_doc._corrupt").isNotNull(), BAD_DOCUMENT).when(bad_value, BAD_VALUE)
     return parsed.select("submission_id", F.col("_doc.r").alias("_lines"), error.alias("ParseError"))
 
@@ -65,10 +74,7 @@ def parse_lines(submissions: DataFrame) -> DataFrame:
     """
     rows = _parsed_documents(submissions).where("ParseError IS NULL")
     lines = rows.select("submission_id", F.explode("_lines").alias("_line"))
-    values = {n: F.col(f"_line.{n}") for n in LINE_FIELDS}
-    typed = [(values[n] if k == "string" else F.trim(values[n]).try_cast(k)).alias("RowNo" if n == "Row" else n)
-             for n, k in LINE_FIELDS.items()]
-    return lines.select("submission_id", *typed)
+    return lines.select("submission_id", *typed_line("_line"))
 
 
 def parse_errors(submissions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from leasebook.operators import changelog, costs, details, expiring, finder, log
 from leasebook.operators.compare import replace_packages
 from leasebook.operators.finder import FinderSearch
 from leasebook.plans.save import SaveBatch, SoftSaveBatch
+from leasebook.sources.documents import ROW_TAG, LineFiles
+from leasebook.sources.staging import staging_root
 from leasebook.sources.star_views import StarSource
 
 AS_OF = dt.date(2024, 2, 29)
@@ -75,6 +78,12 @@ def renewal_cost(s):
     return costs.renewal_cost(t.detail, t.header)
 
 
+@query
+def renewal_cost_exact(s):
+    t = s.tables()
+    return costs.renewal_cost_exact(t.detail, t.header)
+
+
 @query
 def expiring_finder(s):
     return expiring.expiring_finder(s.tables())
@@ -262,6 +271,16 @@ def parse_errors(s):
     return submissions.parse_errors(s.query(XML_DOCUMENTS))
 
 
+@query
+def parse_files(s):
+    """Every line that has a price and a quantity, written as XML documents and read back."""
+    folder = f"{staging_root(s.spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    s.query("""SELECT CAST(detail.ItemID AS INT) AS Row, ItemName, Price AS ItemPrice, Quantity, Discount AS ItemDiscount, LicenseFactor
+        FROM detail JOIN item ON detail.ItemID = item.ItemID WHERE Price IS NOT NULL AND Quantity IS NOT NULL""").write.format("xml").option(
+        "rootTag", submissions.DOCUMENT_TAG).option("rowTag", ROW_TAG).save(folder)
+    return LineFiles(s.spark, folder).lines().drop("File")
+
+
 @query
 def assign_package_ids(s):
     rows = submissions.assign_package_ids(s.view("submissions"), s.view("header"))

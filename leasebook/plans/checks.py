@@ -58,6 +58,12 @@ C: dict[str, str] = {}  # one statement per query
 
 # Expiring packages
 
+C["renewal_cost_exact"] = f"""
+SELECT h.PackageID, CAST(CAST(q.Monthly AS DECIMAL(26,6)) * CAST({TERM} AS DECIMAL(6,0)) * CAST(1 - PackageDiscount AS DECIMAL(6,4))
+  AS DECIMAL(38,6)) AS CalculatedRenewalCost
+FROM header h JOIN (SELECT PackageID, sum(CAST(Quantity AS DECIMAL(10,0)) * CAST((Price + Price * LicenseFactor)
+    * CAST(1 - Discount AS DECIMAL(6,4)) AS DECIMAL(25,6))) AS Monthly
+  FROM detail GROUP BY PackageID) q ON h.PackageID = q.PackageID"""
 C["renewal_cost"] = "SELECT PackageID, Cost AS CalculatedRenewalCost FROM c_cost"
 
 
@@ -361,6 +367,9 @@ FROM detail d JOIN item i ON d.ItemID = i.ItemID WHERE d.Discount NOT IN (0, 0.1
 UNION ALL
 SELECT d.PackageID * 1000000 + d.ItemID, 2, 'setup & training', 95.5, NULL, NULL, NULL
 FROM detail d WHERE d.Discount NOT IN (0, 0.1) AND d.LicenseFactor = 0"""
+C["parse_files"] = """
+SELECT CAST(d.ItemID AS INT) AS RowNo, i.ItemName, d.Price AS ItemPrice, d.Quantity, d.Discount AS ItemDiscount, d.LicenseFactor
+FROM detail d JOIN item i ON d.ItemID = i.ItemID WHERE d.Price IS NOT NULL AND d.Quantity IS NOT NULL"""
 C["parse_errors"] = """
 SELECT PackageID * 1000000 + ItemID AS submission_id, CASE WHEN Discount = 0.1
   THEN 'Error in parsing XML: the document is malformed'
