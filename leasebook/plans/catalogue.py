@@ -16,6 +16,7 @@ from leasebook.operators import changelog, costs, details, expiring, finder, log
 from leasebook.operators.compare import replace_packages
 from leasebook.operators.finder import FinderSearch
 from leasebook.plans.save import SaveBatch, SoftSaveBatch
+from leasebook.plans.sql_reports import register_reports
 from leasebook.sources.documents import ROW_TAG, LineFiles
 from leasebook.sources.staging import staging_root
 from leasebook.sources.star_views import StarSource
@@ -94,6 +95,20 @@ def expiring_finder_search(s):
     return expiring.expiring_finder(s.tables(), "1995/06", "2001-12", "customer", "er#0")
 
 
+@query
+def expiring_packages_sql(s):
+    """`expiring_finder_search`, called from SQL."""
+    register_reports(s.spark, s.tables())
+    return s.spark.sql("SELECT * FROM expiring_packages('1995/06', '2001-12', 'customer', partner_text => 'er#0')")
+
+
+@query
+def expiring_clients_sql(s):
+    """`expiring_client_info`, called from SQL."""
+    register_reports(s.spark, s.tables())
+    return s.spark.sql("SELECT * FROM expiring_clients('1995-01', '2003-12')")
+
+
 @query
 def expiring_client_info(s):
     return expiring.expiring_client_info(s.tables(), "1995-01", "2003-12")

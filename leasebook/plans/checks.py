@@ -93,6 +93,10 @@ GROUP BY h.ClientID, h.Location, c.ClientName, cp.ClientName, c.BillingContactNa
   h.LicenseExpirationDate"""
 
 
+C["expiring_packages_sql"] = C["expiring_finder_search"]
+C["expiring_clients_sql"] = C["expiring_client_info"]
+
+
 def _package_info(where: str) -> str:
     return f"""
 SELECT CAST(h.ClientID AS VARCHAR) || '-' || h.Location AS ClientLocationKey, h.PackageID,
