@@ -1,22 +1,22 @@
-"""Near-duplicate groups by SimHash, with one-wildcard segment variants as index.
+"""Near-duplicate groups by SimHash, with combinations of equal blocks of bits as index.
 
 A document's fingerprint has 64 bits; a bit is set if it is set in over half the 64-bit hashes of
 the document's word shingles, repeats included. Two fingerprints that differ in at most `distance`
 bits are linked; groups are the connected documents.
 
 1. Documents of equal fingerprints are one node, so exact copies never meet as pairs.
-2. 64 bits are cut into distance / 2 + 1 segments. Of `distance` differing bits, some segment holds
-   one at most. Each segment is indexed once per bit with that bit left out, so two such segments
-   share a variant. Nodes that share a variant meet by equality.
-3. A pair that met is verified on the whole fingerprints, in the join itself.
+2. 64 bits are cut into distance + 3 blocks. Of `distance` differing bits, at least three blocks hold none. Each
+   fingerprint is indexed under every three of its blocks (35 keys of some 27 bits). Nodes that share a key meet by equality.
+3. A pair that met is verified on the whole fingerprints.
 
-Groups need connections, not all pairs. Each variant's nodes are first compared with its smallest
+Groups need connections, not all pairs. Each key's nodes are first compared with its smallest
 and its largest fingerprint only; each node keeps one such link, and then one link is kept for each two groups
-that others join. Then the variants whose nodes are still in several groups are taken up again, and a pair is compared only across groups. A variant of more than `CROWD` nodes is
-first cut once more: two of its nodes differ in at most `distance` of the bits outside the segment, which
-are cut and indexed in the same way. In what is left only nodes outside the most frequent group look
-for partners, dealt over blocks of about `CROWD` nodes. Every link between groups is found; nothing
-is capped.
+that others join. Then the keys whose nodes are still in several groups are taken up again, and a pair is compared only
+across groups. A key of more than `CROWD` nodes is first cut once more: two of its nodes differ in at most `distance` of the
+bits outside the key's blocks, which are cut and indexed in the same way. In what is left only nodes outside the most
+frequent group look for partners, dealt over blocks of about `CROWD` nodes. Every link between groups is found; nothing
+is capped. Labels of groups are joined to nodes and then indexed, so no join has more rows than there are nodes but
+those of keys that several groups share.
 
 Defined cases: null and empty texts, and texts of blanks, have the fingerprint zero, which is linked like any
 other. A text of fewer words than a shingle is one shingle. Very long texts are hashed in pieces, so
@@ -28,6 +28,7 @@ fingerprints for equal texts. An empty table gives no rows. Other columns are no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -39,6 +40,7 @@ from leasebook.llm.components import connected
 
 SHINGLE_WORDS = 4
 DISTANCE = 4
+SHARED = 3
 SEED = 42
 CROWD = 256
 # Shingles hashed at a time.
@@ -70,33 +72,37 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
         "doc_id", F.coalesce("doc_id", F.lit(SMALLEST_ID)).alias("id"), "fp")
 
 
-def _cuts(bits: list[int], distance: int) -> list[list[int]]:
-    """`bits` in segments, one of which holds at most one of `distance` differing bits."""
-    parts = max(distance // 2 + 1, 2)
-    return [bits[len(bits) * k // parts: len(bits) * (k + 1) // parts] for k in range(parts)]
+def _masks(bits: list[int], distance: int) -> list[int]:
+    """Masks of `bits`, one of which two fingerprints share that differ in at most `distance` of these bits.
 
+    The bits are cut into `distance` + SHARED blocks, of which SHARED at least are equal; a mask holds SHARED blocks.
+    """
+    parts = distance + SHARED
+    blocks = [bits[len(bits) * k // parts: len(bits) * (k + 1) // parts] for k in range(parts)]
+    return [sum(1 << b for block in some for b in block) for some in combinations(blocks, SHARED)]
+
+
+def _longs(values: list[int]) -> str:
+    return f"array({', '.join(f'CAST({v - (v >> 63 << 64)} AS BIGINT)' for v in values)})"
 
-def _variants(segments: list[list[int]]) -> Column:
-    """One long per bit: its number, and its segment without it."""
-    def mask(bits: list[int]) -> Column:
-        value = sum(1 << b for b in bits)
-        return F.col("fp").bitwiseAND(F.lit(value - (value >> 63 << 64)))
 
-    return F.array(*[F.xxhash64(F.lit(bit), mask([b for b in bits if b != bit])) for bits in segments for bit in bits])
+def _keys(masks: Column) -> Column:
+    """One long per mask: the mask and the fingerprint's bits in it."""
+    return F.transform(masks, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))
 
 
 def _close(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
-def _with_hubs(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of buckets with several nodes, each with its bucket's smallest and largest node and size."""
-    buckets = rows.groupBy(*by).agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
-    return stage(rows.join(buckets.where("low < high"), by))
+def _open(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (fp, label and `by`) of buckets whose nodes are in several groups, with the bucket's size and extreme labels."""
+    buckets = rows.groupBy(*by).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    return stage(rows.join(stage(buckets.where("low < high")), by))
 
 
 def _to_hubs(members: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) between each node and the smallest of its buckets' hubs that is near."""
+    """Links (a, b) between each node and the smallest of its buckets' hubs that is near; all nodes are groups of their own."""
     ends = members.select("fp", F.explode(F.array("low", "high")).alias("hub")).where("fp <> hub")
     near = ends.where(_close(F.col("fp"), F.col("hub"), distance))
     return stage(near.groupBy("fp").agg(F.min("hub").alias("hub")).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")))
@@ -109,22 +115,27 @@ def _between(pairs: DataFrame) -> DataFrame:
 
 def _all_hubs(opened: DataFrame, by: list[str], distance: int) -> DataFrame:
     """Links between the groups of nodes and of those hubs of their buckets that are near."""
-    labels = opened.where("fp = low OR fp = high").select(*by, F.col("fp").alias("hub"), F.col("label").alias("q"))
-    pairs = opened.join(labels, by).where(_close(F.col("fp"), F.col("hub"), distance) & (F.col("label") != F.col("q")))
-    return _between(pairs.select(F.col("label").alias("p"), "q"))
-
-
-def _open(members: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of the buckets whose nodes are in several groups, with `label` and the most frequent one, `main`."""
-    labels = connected(links).withColumnRenamed("node", "fp")
-    placed = members.drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    sizes = placed.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("held"))
-    main = sizes.groupBy(*by).agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    return stage(placed.join(main.where("labels > 1").drop("labels"), by))
-
-
-def _across(rows: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Links between all groups that have near nodes in a bucket of `rows`."""
+    ends = opened.groupBy(*by).agg(*[f(c).alias(a) for a, c, f in [
+        ("first", "fp", F.min), ("last", "fp", F.max),
+        ("first_label", "label", lambda c: F.min_by(c, "fp")), ("last_label", "label", lambda c: F.max_by(c, "fp"))]])
+    hubs = F.explode(F.array(F.struct(F.col("first").alias("fp"), F.col("first_label").alias("label")),
+                             F.struct(F.col("last").alias("fp"), F.col("last_label").alias("label"))))
+    pairs = opened.join(ends, by).select("fp", "label", hubs.alias("hub"))
+    near = pairs.where(_close(F.col("fp"), F.col("hub.fp"), distance) & (F.col("label") != F.col("hub.label")))
+    return _between(near.select(F.col("label").alias("p"), F.col("hub.label").alias("q")))
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` with the label of each node's group."""
+    labels = connected(found).withColumnRenamed("node", "fp")
+    return stage(rows.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+
+
+def _across(opened: DataFrame, by: list[str], distance: int) -> DataFrame:
+    """Links between all groups that have near nodes in a bucket of `opened`."""
+    held = opened.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("held"))
+    main = held.groupBy(*by).agg(F.max_by("label", F.struct("held", "label")).alias("main"))
+    rows = stage(opened.join(main, by))
     blocks = F.ceil(F.col("n") / CROWD).cast("int")
     x = rows.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
     y = rows.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).alias("y")
@@ -133,38 +144,29 @@ def _across(rows: DataFrame, by: list[str], distance: int) -> DataFrame:
     return _between(pairs.select(F.col("x.label").alias("p"), F.col("y.label").alias("q")))
 
 
-def _within(members: DataFrame, found: DataFrame, by: list[str], distance: int) -> tuple[DataFrame, DataFrame]:
-    """(more links: of all nodes with their hubs, rows of buckets that are still in several groups)."""
-    opened = _open(members, found, by)
-    found = stage(found.unionByName(_all_hubs(opened, by, distance)))
-    return found, _open(opened.drop("main"), found, by)
-
-
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints `fp` as all pairs within `distance` would.
 
     A link stands for its two nodes or for the groups that links before it have made of them.
     """
-    segments = _cuts(list(range(64)), distance)
-    # A variant's segment is told by its place in the array.
-    indexed = nodes.select("fp", F.posexplode(_variants(segments)).alias("bit", "key"))
-    members = _with_hubs(indexed, ["key"])
-    found, opened = _within(members, _to_hubs(members, distance), ["key"], distance)
+    nodes = nodes.select("fp")
+    masks = _masks(list(range(64)), distance)
+    # A key's mask is told by its place in the array. Labels meet nodes, not the rows of their keys.
+    outer = lambda rows: rows.select("*", F.posexplode(_keys(F.expr(_longs(masks)))).alias("mask", "key"))
+    found = _to_hubs(_open(outer(nodes.withColumn("label", F.col("fp"))), ["key"]), distance)
+    found = stage(found.unionByName(_all_hubs(_open(outer(_labelled(nodes, found)), ["key"]), ["key"], distance)))
+    opened = _open(outer(_labelled(nodes, found)), ["key"])
     found = stage(found.unionByName(_across(opened.where(F.col("n") <= CROWD), ["key"], distance)))
 
-    crowded = opened.where(F.col("n") > CROWD)
-    inner = None
-    for at, segment in enumerate(segments):
-        first = sum(len(s) for s in segments[:at])
-        rest = _cuts([b for b in range(64) if b not in segment], distance)
-        rows = crowded.where(F.col("bit").between(first, first + len(segment) - 1)).select(
-            "fp", "key", F.explode(_variants(rest)).alias("inner"))
-        inner = rows if inner is None else inner.unionByName(rows)
-    members = _with_hubs(inner, ["key", "inner"])
-    if members.isEmpty():
+    crowded = stage(opened.where(F.col("n") > CROWD).select("fp", "mask", "key"))
+    if crowded.isEmpty():
         return found
-    found, opened = _within(members, found, ["key", "inner"], distance)
-    return stage(found.unionByName(_across(opened, ["key", "inner"], distance)))
+    rest = [_masks([b for b in range(64) if not m >> b & 1], distance) for m in masks]
+    inner_masks = F.get(F.expr(f"array({', '.join(map(_longs, rest))})"), F.col("mask"))
+    inner = lambda found: _labelled(crowded, found).select("fp", "label", "key", F.explode(_keys(inner_masks)).alias("inner"))
+    by = ["key", "inner"]
+    found = stage(found.unionByName(_all_hubs(_open(inner(found), by), by, distance)))
+    return stage(found.unionByName(_across(_open(inner(found), by), by, distance)))
 
 
 def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
