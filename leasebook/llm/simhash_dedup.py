@@ -10,13 +10,15 @@ bits are linked; groups are the connected documents.
 3. A pair that met is verified on the whole fingerprints.
 
 Groups need connections, not all pairs. Each key's nodes are first compared with its smallest
-and its largest fingerprint only; each node keeps one such link, and then one link is kept for each two groups
-that others join. Then the keys whose nodes are still in several groups are taken up again, and a pair is compared only
-across groups. A key of more than `CROWD` nodes is first cut once more: two of its nodes differ in at most `distance` of the
-bits outside the key's blocks, which are cut and indexed in the same way. In what is left only nodes outside the most
+and its largest fingerprint only, and each node keeps one such link. Then the keys whose nodes are still in several
+groups are taken up again, and a pair is compared only across groups; one link is kept for each two groups. A key of
+more than `CROWD` nodes is first cut once more: two of its nodes differ in at most `distance` of the
+bits outside the key's blocks, which are cut and indexed in the same way, and each node is compared with the extremes
+again. In what is left only nodes outside the most
 frequent group look for partners, dealt over blocks of about `CROWD` nodes. Every link between groups is found; nothing
 is capped. Labels of groups are joined to nodes and then indexed, so no join has more rows than there are nodes but
-those of keys that several groups share.
+those of keys that several groups share. The rows of shared keys are joined with their keys three times in all: for the
+extremes, for the groups and for the most frequent group.
 
 Defined cases: null and empty texts, and texts of blanks, have the fingerprint zero, which is linked like any
 other. A text of fewer words than a shingle is one shingle. Very long texts are hashed in pieces, so
@@ -96,35 +98,19 @@ def _close(a: Column, b: Column, distance: int) -> Column:
 
 
 def _open(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (fp, label and `by`) of buckets whose nodes are in several groups, with the bucket's size and extreme labels."""
+    """Rows (fp, label and `by`) of buckets whose nodes are in several groups, with the bucket's size."""
     buckets = rows.groupBy(*by).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-    return stage(rows.join(stage(buckets.where("low < high")), by))
+    return stage(rows.join(stage(buckets.where("low < high").drop("low", "high")), by))
 
 
-def _to_hubs(members: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) between each node and the smallest of its buckets' hubs that is near; all nodes are groups of their own."""
-    ends = members.select("fp", F.explode(F.array("low", "high")).alias("hub")).where("fp <> hub")
+def _to_hubs(rows: DataFrame, by: list[str], distance: int) -> DataFrame:
+    """Links (a, b) between each node and the smallest of its buckets' extreme fingerprints that is near."""
+    buckets = rows.groupBy(*by).agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    ends = rows.join(stage(buckets.where("low < high")), by).select("fp", F.explode(F.array("low", "high")).alias("hub")).where("fp <> hub")
     near = ends.where(_close(F.col("fp"), F.col("hub"), distance))
     return stage(near.groupBy("fp").agg(F.min("hub").alias("hub")).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")))
 
 
-def _between(pairs: DataFrame) -> DataFrame:
-    """One link per two groups whose labels a pair (p, q) has."""
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-
-def _all_hubs(opened: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Links between the groups of nodes and of those hubs of their buckets that are near."""
-    ends = opened.groupBy(*by).agg(*[f(c).alias(a) for a, c, f in [
-        ("first", "fp", F.min), ("last", "fp", F.max),
-        ("first_label", "label", lambda c: F.min_by(c, "fp")), ("last_label", "label", lambda c: F.max_by(c, "fp"))]])
-    hubs = F.explode(F.array(F.struct(F.col("first").alias("fp"), F.col("first_label").alias("label")),
-                             F.struct(F.col("last").alias("fp"), F.col("last_label").alias("label"))))
-    pairs = opened.join(ends, by).select("fp", "label", hubs.alias("hub"))
-    near = pairs.where(_close(F.col("fp"), F.col("hub.fp"), distance) & (F.col("label") != F.col("hub.label")))
-    return _between(near.select(F.col("label").alias("p"), F.col("hub.label").alias("q")))
-
-
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """`rows` with the label of each node's group."""
     labels = connected(found).withColumnRenamed("node", "fp")
@@ -132,7 +118,7 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _across(opened: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Links between all groups that have near nodes in a bucket of `opened`."""
+    """Links between all groups that have near nodes in a bucket of `opened`, one for each two groups."""
     held = opened.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("held"))
     main = held.groupBy(*by).agg(F.max_by("label", F.struct("held", "label")).alias("main"))
     rows = stage(opened.join(main, by))
@@ -141,7 +127,7 @@ def _across(opened: DataFrame, by: list[str], distance: int) -> DataFrame:
     y = rows.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).alias("y")
     meet = F.expr(" AND ".join(f"x.{c} = y.{c}" for c in [*by, "block"]) + " AND x.label <> y.label AND (x.fp < y.fp OR y.label = x.main)")
     pairs = x.join(y, meet & _close(F.col("x.fp"), F.col("y.fp"), distance))
-    return _between(pairs.select(F.col("x.label").alias("p"), F.col("y.label").alias("q")))
+    return pairs.select(F.least("x.label", "y.label").alias("a"), F.greatest("x.label", "y.label").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -153,20 +139,19 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     masks = _masks(list(range(64)), distance)
     # A key's mask is told by its place in the array. Labels meet nodes, not the rows of their keys.
     outer = lambda rows: rows.select("*", F.posexplode(_keys(F.expr(_longs(masks)))).alias("mask", "key"))
-    found = _to_hubs(_open(outer(nodes.withColumn("label", F.col("fp"))), ["key"]), distance)
-    found = stage(found.unionByName(_all_hubs(_open(outer(_labelled(nodes, found)), ["key"]), ["key"], distance)))
+    found = _to_hubs(outer(nodes), ["key"], distance)
     opened = _open(outer(_labelled(nodes, found)), ["key"])
     found = stage(found.unionByName(_across(opened.where(F.col("n") <= CROWD), ["key"], distance)))
 
-    crowded = stage(opened.where(F.col("n") > CROWD).select("fp", "mask", "key"))
+    crowded = opened.where(F.col("n") > CROWD).select("fp", "mask", "key")
     if crowded.isEmpty():
         return found
     rest = [_masks([b for b in range(64) if not m >> b & 1], distance) for m in masks]
     inner_masks = F.get(F.expr(f"array({', '.join(map(_longs, rest))})"), F.col("mask"))
-    inner = lambda found: _labelled(crowded, found).select("fp", "label", "key", F.explode(_keys(inner_masks)).alias("inner"))
+    inner = lambda rows: rows.withColumn("inner", F.explode(_keys(inner_masks)))
     by = ["key", "inner"]
-    found = stage(found.unionByName(_all_hubs(_open(inner(found), by), by, distance)))
-    return stage(found.unionByName(_across(_open(inner(found), by), by, distance)))
+    found = stage(found.unionByName(_to_hubs(inner(crowded), by, distance)))
+    return stage(found.unionByName(_across(_open(inner(_labelled(crowded, found)), by), by, distance)))
 
 
 def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
