@@ -11,7 +11,9 @@ tokens are compared; only lines without a token stay as they are.
 2. A set's tokens are ordered by rarity (a class from token counts, then a hash). Two similar sets
    share a token among the first n - ceil(t n) + 1, so only these prefixes are joined. Length,
    position, and the overlap that 64-bit parity maps of tokens still allow are tested in the join.
-3. What is left is verified on the lines themselves.
+3. What is left is tested with parity maps of 256 bits and then verified on the lines themselves.
+
+Sets are numbered in the order of their first lines, so that prefix rows and pairs carry one long for a place.
 
 A match is needed for each line, not every match. Under tokens that stand in the prefixes of `HOT`
 sets or more, a set therefore first meets four sets at most, the earliest of its own and of the two
@@ -40,6 +42,8 @@ PERCENT = 80
 SLOTS = 1 << 18
 HOT = 64
 PLACE = ["id", "line", "th"]
+# Longs of a wide parity map.
+LANES = 4
 
 
 def _tokens(line: Column) -> Column:
@@ -47,6 +51,10 @@ def _tokens(line: Column) -> Column:
     return F.split(F.translate(F.lower(line), "\t\r\x0b\f\n", "     "), " ")
 
 
+def _bit(hashed: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(63).cast("int"))
+
+
 def _slot(hashed: Column) -> Column:
     return hashed.bitwiseAND(SLOTS - 1).cast("int")
 
@@ -62,14 +70,13 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(lines with the key of their set, sets with number of lines, first line, size, map and prefix).
+    """(lines with the key of their set, sets with number of lines, first line, size, map and prefix), sets numbered `s` by first line.
 
     A token is a long whose high bits are its rarity class and whose low bits a hash.
     """
     rarity = _rarity(docs)
     rare = lambda h: F.ascii(F.substring(rarity, _slot(h) + 1, F.lit(1)).cast("string")).cast("long")
     mark = lambda h: F.shiftleft(rare(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m.bitwiseAND(63).cast("int"))
     n = F.size("marks")
     lines = keyed(docs).where("text IS NOT NULL").select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "content"))
     hashes = F.array_distinct(F.transform(F.array_remove(_tokens(F.col("content")), ""), lambda t: F.xxhash64(t)))
@@ -77,21 +84,14 @@ def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # Lines without tokens go after the write: a filter before it would make all marks twice.
     placed = stage(marked.select(
         *PLACE, F.xxhash64("marks").alias("k1"), F.xxhash64(F.lit(7), "marks").alias("k2"), n.alias("n"),
-        F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(bit(m))).alias("map"),
+        F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(_bit(m))).alias("map"),
         F.slice("marks", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))).where("n > 0")
     sets = placed.groupBy("k1", "k2").agg(F.min(F.struct(
         F.struct(*PLACE).alias("at"), "n", "map", "prefix")).alias("s"), F.count(F.lit(1)).alias("times")).select(
         "k1", "k2", "times", "s.at.*", "s.n", "s.map", "s.prefix")
-    return placed.select(*PLACE, "k1", "k2"), stage(sets)
-
-
-def _earlier(y: str, x: str) -> Column:
-    """Whether the place of `y` comes before that of `x`."""
-    before = F.lit(False)
-    for name in reversed(PLACE):
-        a, b = F.col(f"{y}.{name}"), F.col(f"{x}.{name}")
-        before = (a < b) | ((a == b) & before)
-    return before
+    # Ranges of places in order, and rows in order within each: ids rise with the place.
+    numbered = sets.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("s", F.monotonically_increasing_id())
+    return placed.select(*PLACE, "k1", "k2"), stage(numbered)
 
 
 def _could_match(x: str, y: str, percent: int) -> Column:
@@ -106,29 +106,43 @@ def _could_match(x: str, y: str, percent: int) -> Column:
     i, j = F.col(f"{x}.pos"), F.col(f"{y}.pos")
     return (
         (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent)
-        & ((xn + yn - apart) >= need * 2) & (F.least(xn - i, yn - j) >= need) & _earlier(y, x)
+        & ((xn + yn - apart) >= need * 2) & (F.least(xn - i, yn - j) >= need) & (F.col(f"{y}.s") < F.col(f"{x}.s"))
     )
 
 
-def _place(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}.{name}") for name in PLACE]).alias(side)
-
-
 def _prefixes(sets: DataFrame, *more: str) -> DataFrame:
     """One row a prefix token of each set."""
-    return sets.select(*PLACE, "n", "map", *more, F.posexplode("prefix").alias("pos", "mark"))
+    return sets.select("s", "n", "map", *more, F.posexplode("prefix").alias("pos", "mark"))
+
+
+def _wide(tokens: Column) -> Column:
+    """Parity map of 64 * LANES bits."""
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
 
+    def lane(k: int) -> Column:
+        own = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(LANES - 1) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(_bit(h)))
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Distinct `x` of those (x, y) whose lines' sets are similar; x and y are places of lines."""
+    return F.struct(*[lane(k).alias(f"w{k}") for k in range(LANES)])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Distinct `x` of those (x, y) whose sets are similar on the lines themselves; x and y are numbers of sets."""
     pairs = stage(pairs)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
-    by_doc = wanted.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_set("at.line").alias("lines"))
-    found = keyed(docs).join(by_doc, KEY).select(*KEY, F.split("text", "\n").alias("parts"), F.explode("lines").alias("line"))
-    tokens = stage(found.select(F.struct(*PLACE).alias("at"), F.array_distinct(F.array_remove(
-        _tokens(F.get("parts", F.col("line"))), "")).alias("tokens")).dropDuplicates(["at"]))
+    wanted = sets.select("s", *PLACE).join(pairs.select(F.explode(F.array("x", "y")).alias("s")).distinct(), "s")
+    by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("line", "s")).alias("lines"))
+    # Rows that repeat a document give each of its lines once.
+    found = keyed(docs).join(by_doc, KEY).select(F.split("text", "\n").alias("parts"), F.explode("lines").alias("at")).select(
+        F.col("at.s").alias("s"), F.array_distinct(F.array_remove(_tokens(F.get("parts", F.col("at.line"))), "")).alias("tokens"))
+    tokens = stage(found.dropDuplicates(["s"]).select("s", "tokens", F.size("tokens").alias("n"), _wide(F.col("tokens")).alias("wide")))
+    for side in ("x", "y"):
+        pairs = pairs.join(tokens.select(F.col("s").alias(side), F.col("n").alias(f"{side}_n"), F.col("wide").alias(f"{side}_wide")), side)
+    # Maps differ in at most as many bits as the sets in tokens.
+    apart = sum((F.bit_count(F.col(f"x_wide.w{k}").bitwiseXOR(F.col(f"y_wide.w{k}"))) for k in range(LANES)), F.lit(0))
+    total = F.col("x_n") + F.col("y_n")
+    pairs = stage(pairs.where((total - apart) * (100 + percent) >= total * percent * 2).select("x", "y"))
     for side in ("x", "y"):
-        pairs = pairs.join(tokens.select(F.col("at").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
+        pairs = pairs.join(tokens.select(F.col("s").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
     both = F.size(F.array_intersect("x_tokens", "y_tokens"))
     either = F.size("x_tokens") + F.size("y_tokens") - both
     return stage(pairs.where(both * 100 >= either * percent).select("x").distinct())
@@ -141,7 +155,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = _prefixes(open_sets, "times")
     hot_marks = stage(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= HOT).select("mark"))
     hot = rows.join(hot_marks, "mark")
-    shown = [*PLACE, "n", "map", "pos"]
+    shown = ["s", "n", "map", "pos"]
     by_size = stage(hot.groupBy("mark", F.col("n").alias("for_n")).agg(
         F.min(F.struct(*shown)).alias("first"), F.min(F.struct(-F.col("times"), *shown)).alias("common")))
     common = by_size.groupBy("mark").agg(F.min("common").alias("y"))
@@ -150,18 +164,19 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.n") == F.col("y.for_n"))
     pairs = hot.alias("x").join(hubs.alias("y"), same & _could_match("x", "y", percent))
     total, apart = F.col("x.n") + F.col("y.n"), F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map")))
-    nearest = pairs.select(_place("x"), _place("y"), ((total - apart) / total).alias("alike"))
-    done = _verified(nearest.groupBy("x").agg(F.max_by("y", "alike").alias("y")), docs, percent)
+    nearest = pairs.select(F.col("x.s").alias("x"), F.col("y.s").alias("y"), ((total - apart) / total).alias("alike"))
+    done = _verified(nearest.groupBy("x").agg(F.max_by("y", "alike").alias("y")), sets, docs, percent)
 
     # Both sides of the join are one exchange: `left` is tested in the join, on columns of both.
-    matched = done.select("x.*", F.lit(True).alias("matched"))
-    rows = _prefixes(open_sets.join(matched, PLACE, "left").withColumn("left", F.col("matched").isNull()), "left")
+    matched = done.select(F.col("x").alias("s"), F.lit(True).alias("matched"))
+    rows = _prefixes(open_sets.join(matched, "s", "left").withColumn("left", F.col("matched").isNull()), "left")
     still = F.col("x.left") | (F.col("y.left") & (F.col("y.n") < 0))
     pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.mark") == F.col("y.mark")) & still & _could_match("x", "y", percent))
-    done = done.unionByName(_verified(pairs.select(_place("x"), _place("y")).distinct(), docs, percent))
+    found = pairs.select(F.col("x.s").alias("x"), F.col("y.s").alias("y")).distinct()
+    done = done.unionByName(_verified(found, sets, docs, percent))
 
     first = F.struct(*PLACE)
-    gone = sets.select("k1", "k2", first.alias("at")).join(done.withColumn("similar", F.lit(True)), F.col("at") == F.col("x"), "left").select(
+    gone = sets.select("k1", "k2", "s", first.alias("at")).join(done.withColumn("similar", F.lit(True)), F.col("s") == F.col("x"), "left").select(
         "k1", "k2", "at", F.coalesce("similar", F.lit(False)).alias("similar"))
     return lines.join(gone, ["k1", "k2"]).where(F.col("similar") | (F.struct(*PLACE) > F.col("at"))).select(*PLACE)
 
