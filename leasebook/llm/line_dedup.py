@@ -10,8 +10,10 @@ tokens are compared; only lines without a token stay as they are.
    done with this.
 2. A set's tokens are ordered by rarity (a class from token counts, then a hash). Two similar sets
    share a token among the first n - ceil(t n) + 1, so only these prefixes are joined. Length,
-   position, and the overlap that 64-bit parity maps of tokens still allow are tested in the join.
-3. What is left is tested with parity maps of 256 bits and then verified on the lines themselves.
+   position, and the overlap that parity maps of tokens still allow are tested in the join; where
+   all earlier sets are met, the maps of two sets of more than `LONG` tokens have 128 bits, as so many fill 64.
+3. What is left is tested with parity maps of 256 bits and then verified on the lines themselves. Tables written on
+   the way are deleted as soon as the last that reads them is written.
 
 Sets are numbered in the order of their first lines, so that prefix rows and pairs carry one long for a place.
 
@@ -37,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasebook.llm.common import KEY, keyed, stage, wrapped
+from leasebook.sources.staging import discard
 
 PERCENT = 80
 SLOTS = 1 << 18
@@ -44,6 +47,8 @@ HOT = 64
 PLACE = ["id", "line", "th"]
 # Longs of a wide parity map.
 LANES = 4
+# Sets of more tokens carry a second long of their map.
+LONG = 64
 
 
 def _tokens(line: Column) -> Column:
@@ -55,17 +60,26 @@ def _bit(hashed: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(63).cast("int"))
 
 
+def _parity(hashes: Column) -> Column:
+    """64 bits, each whether an odd number of hashes have its place in their low bits."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(_bit(h)))
+
+
 def _slot(hashed: Column) -> Column:
     return hashed.bitwiseAND(SLOTS - 1).cast("int")
 
 
+def _rarity_class(count: int) -> int:
+    return 48 + min(int(2 * math.log2(count)) + 1, 63)
+
+
 def _rarity(docs: DataFrame) -> Column:
     """One byte a token slot: a class for the logarithm of its count over all documents."""
     words = keyed(docs).select(F.explode(_tokens(F.col("text"))).alias("t")).where("t <> ''")
     counts = words.groupBy(_slot(F.xxhash64("t")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     table = bytearray(b"0" * SLOTS)
     for row in counts.toLocalIterator():  # at most SLOTS rows
-        table[row["slot"]] = 48 + min(int(2 * math.log2(row["n"])) + 1, 63)
+        table[row["slot"]] = _rarity_class(row["n"])
     return F.lit(bytes(table))
 
 
@@ -84,25 +98,37 @@ def _sets(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # Lines without tokens go after the write: a filter before it would make all marks twice.
     placed = stage(marked.select(
         *PLACE, F.xxhash64("marks").alias("k1"), F.xxhash64(F.lit(7), "marks").alias("k2"), n.alias("n"),
-        F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(_bit(m))).alias("map"),
+        _parity(F.col("marks")).alias("map"),
+        F.when(n > LONG, _parity(F.filter("marks", lambda m: m.bitwiseAND(64) != 0))).alias("half"),
         F.slice("marks", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))).where("n > 0")
     sets = placed.groupBy("k1", "k2").agg(F.min(F.struct(
-        F.struct(*PLACE).alias("at"), "n", "map", "prefix")).alias("s"), F.count(F.lit(1)).alias("times")).select(
-        "k1", "k2", "times", "s.at.*", "s.n", "s.map", "s.prefix")
+        F.struct(*PLACE).alias("at"), "n", "map", "half", "prefix")).alias("s"), F.count(F.lit(1)).alias("times")).select(
+        "k1", "k2", "times", "s.at.*", "s.n", "s.map", "s.half", "s.prefix")
     # Ranges of places in order, and rows in order within each: ids rise with the place.
     numbered = sets.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("s", F.monotonically_increasing_id())
     return placed.select(*PLACE, "k1", "k2"), stage(numbered)
 
 
-def _could_match(x: str, y: str, percent: int) -> Column:
+def _apart(x: str, y: str) -> Column:
+    """Bits in which the maps of two sets differ: at most as many as tokens in which the sets do."""
+    return F.bit_count(F.col(f"{x}.map").bitwiseXOR(F.col(f"{y}.map")))
+
+
+def _far_apart(x: str, y: str) -> Column:
+    """As `_apart`, of 128 bits where both sets have `half`: `map` covers all tokens, `half` those with one more bit of their hash."""
+    whole = F.col(f"{x}.map").bitwiseXOR(F.col(f"{y}.map"))
+    half = F.col(f"{x}.half").bitwiseXOR(F.col(f"{y}.half"))
+    return F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(whole)), F.bit_count(whole))
+
+
+def _could_match(x: str, y: str, percent: int, apart: Column) -> Column:
     """Length, position and map filters on two prefix rows of a common token; y is the earlier set.
 
     The position filter takes the token for the first that the sets share: it holds for the row of
-    that token, and a similar pair needs no other. Maps differ in at most as many bits as the sets in tokens.
+    that token, and a similar pair needs no other.
     """
     xn, yn = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = F.ceil((xn + yn) * percent / F.lit(100 + percent))
-    apart = F.bit_count(F.col(f"{x}.map").bitwiseXOR(F.col(f"{y}.map")))
     i, j = F.col(f"{x}.pos"), F.col(f"{y}.pos")
     return (
         (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent)
@@ -121,14 +147,14 @@ def _wide(tokens: Column) -> Column:
 
     def lane(k: int) -> Column:
         own = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(LANES - 1) == k)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(_bit(h)))
+        return _parity(own)
 
     return F.struct(*[lane(k).alias(f"w{k}") for k in range(LANES)])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Distinct `x` of those (x, y) whose sets are similar on the lines themselves; x and y are numbers of sets."""
-    pairs = stage(pairs)
+    met = pairs = stage(pairs)
     wanted = sets.select("s", *PLACE).join(pairs.select(F.explode(F.array("x", "y")).alias("s")).distinct(), "s")
     by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("line", "s")).alias("lines"))
     # Rows that repeat a document give each of its lines once.
@@ -140,12 +166,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
     # Maps differ in at most as many bits as the sets in tokens.
     apart = sum((F.bit_count(F.col(f"x_wide.w{k}").bitwiseXOR(F.col(f"y_wide.w{k}"))) for k in range(LANES)), F.lit(0))
     total = F.col("x_n") + F.col("y_n")
-    pairs = stage(pairs.where((total - apart) * (100 + percent) >= total * percent * 2).select("x", "y"))
+    near = pairs = stage(pairs.where((total - apart) * (100 + percent) >= total * percent * 2).select("x", "y"))
+    discard(met)
     for side in ("x", "y"):
         pairs = pairs.join(tokens.select(F.col("s").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
     both = F.size(F.array_intersect("x_tokens", "y_tokens"))
     either = F.size("x_tokens") + F.size("y_tokens") - both
-    return stage(pairs.where(both * 100 >= either * percent).select("x").distinct())
+    similar = stage(pairs.where(both * 100 >= either * percent).select("x").distinct())
+    discard(near)
+    discard(tokens)
+    return similar
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -153,6 +183,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines, sets = _sets(docs, percent)
     open_sets = sets.where(F.col("n") * (100 - percent) >= percent)
     rows = _prefixes(open_sets, "times")
+    # A hot token occurs `HOT` times at least, which its rarity class tells without a shuffle.
+    rows = rows.where(F.shiftrightunsigned("mark", 56) >= _rarity_class(HOT))
     hot_marks = stage(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= HOT).select("mark"))
     hot = rows.join(hot_marks, "mark")
     shown = ["s", "n", "map", "pos"]
@@ -162,16 +194,18 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = by_size.select("mark", F.explode(F.array(*[F.col("for_n") + k for k in (-1, 0, 1)])).alias("for_n"), "first.*")
     hubs = near.unionByName(by_size.select("mark", "for_n").join(common, "mark").select("mark", "for_n", *[f"y.{c}" for c in shown]))
     same = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.n") == F.col("y.for_n"))
-    pairs = hot.alias("x").join(hubs.alias("y"), same & _could_match("x", "y", percent))
-    total, apart = F.col("x.n") + F.col("y.n"), F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map")))
+    pairs = hot.alias("x").join(hubs.alias("y"), same & _could_match("x", "y", percent, _apart("x", "y")))
+    total, apart = F.col("x.n") + F.col("y.n"), _apart("x", "y")
     nearest = pairs.select(F.col("x.s").alias("x"), F.col("y.s").alias("y"), ((total - apart) / total).alias("alike"))
     done = _verified(nearest.groupBy("x").agg(F.max_by("y", "alike").alias("y")), sets, docs, percent)
+    discard(by_size)
+    discard(hot_marks)
 
     # Both sides of the join are one exchange: `left` is tested in the join, on columns of both.
     matched = done.select(F.col("x").alias("s"), F.lit(True).alias("matched"))
-    rows = _prefixes(open_sets.join(matched, "s", "left").withColumn("left", F.col("matched").isNull()), "left")
+    rows = _prefixes(open_sets.join(matched, "s", "left").withColumn("left", F.col("matched").isNull()), "half", "left")
     still = F.col("x.left") | (F.col("y.left") & (F.col("y.n") < 0))
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.mark") == F.col("y.mark")) & still & _could_match("x", "y", percent))
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.mark") == F.col("y.mark")) & still & _could_match("x", "y", percent, _far_apart("x", "y")))
     found = pairs.select(F.col("x.s").alias("x"), F.col("y.s").alias("y")).distinct()
     done = done.unionByName(_verified(found, sets, docs, percent))
 

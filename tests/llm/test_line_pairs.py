@@ -1,5 +1,6 @@
 """Pairs of lines that are verified."""
 
+import os
 import random
 
 from leasebook.llm import line_dedup
@@ -39,3 +40,46 @@ def test_sets_are_numbered_by_their_first_lines(spark):
     assert len({r["s"] for r in rows}) == len(rows)
     by_number = [tuple(r[c] for c in line_dedup.PLACE) for r in sorted(rows, key=lambda r: r["s"])]
     assert by_number == sorted(by_number)
+
+
+def test_long_lines_of_common_words_do_not_meet(spark, monkeypatch):
+    """64 bits are full at such lengths, so that lines with a few words in common would all be pairs."""
+    staged = []
+    stage = line_dedup.stage
+
+    def noted(df):
+        staged.append(stage(df))
+        return staged[-1] if staged[-1].columns != ["x", "y"] else counted(staged[-1])
+
+    met = []
+
+    def counted(pairs):
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "stage", noted)
+    draw = random.Random(11)
+    words = [f"v{i}" for i in range(1500)]
+    texts = [(i, " ".join(draw.sample(words, 150))) for i in range(60)]
+    texts += [(100 + i, f"{texts[i][1]} more") for i in range(5)]
+    got = {(r["id"], r["line"]) for r in line_dedup.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == frames.repeated_lines(texts) == {(100 + i, 0) for i in range(5)}
+    # Without hot tokens the first round has none; the second meets the five copies and hardly more.
+    assert met[0] == 0 and 5 <= met[2] < 50
+
+
+def test_tables_on_the_way_are_deleted(spark, monkeypatch):
+    folders = []
+    stage = line_dedup.stage
+
+    def noted(df):
+        out = stage(df)
+        folders.append((out.columns, {f.rsplit("/", 1)[0].removeprefix("file:") for f in out.inputFiles()}))
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", noted)
+    texts = [(i, f"a b c d e f g h i j k l {i % 3}") for i in range(9)] + [(20, "a b c d e f g h i j k l x")]
+    got = {(r["id"], r["line"]) for r in line_dedup.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == frames.repeated_lines(texts) and got
+    passing = [f for columns, found in folders if columns in (["x", "y"], ["s", "tokens", "n", "wide"]) for f in found]
+    assert passing and not any(os.path.exists(f) for f in passing)
