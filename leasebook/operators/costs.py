@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leasebook.functions.dates import month_diff
 from leasebook.functions.exact import Exact
 from leasebook.functions.money import line_amount, package_cost, renewal_item_price
+from leasebook.sources.staging import stage
 
 LINE_AMOUNT_ARGS = ("Quantity", "Price", "Discount", "LicenseFactor")
 
@@ -103,14 +104,17 @@ def history_cost_v0(detail_log: DataFrame, header_log: DataFrame) -> DataFrame:
 
 def version_cost(change_log: DataFrame, change_items: DataFrame, detail_log: DataFrame,
                  header_log: DataFrame) -> DataFrame:
-    """Cost of each package version from the items that version held (the evident intent)."""
+    """Cost of each package version from the items that version held (the evident intent).
+
+    The amounts, which take the shuffles of all logged lines, are staged before they meet the terms.
+    """
     members = change_items.select(
         F.col("LicensePackageID").alias("PackageID"), F.col("LicensePackageChangeID").alias("ChangeID"),
         "ItemID", F.col("LatestDetailGroupChangeID").alias("DetailGroupChangeID"),
     )
-    monthly = _monthly(
+    monthly = stage(_monthly(
         members.join(detail_log, ["PackageID", "DetailGroupChangeID", "ItemID"]), ["PackageID", "ChangeID"]
-    )
+    ))
     terms = header_log.select("PackageID", "HeaderChangeID", "LicenseStartDate", "LicenseExpirationDate",
                               "PackageDiscount")
     return (

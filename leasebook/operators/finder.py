@@ -13,6 +13,7 @@ from leasebook.functions.text import is_blank, where_text, yes_no_arg
 from leasebook.model import BASE_ITEM_ID, BillingTables
 from leasebook.operators.costs import history_cost, history_cost_v0, package_summary, term_cost, version_cost
 from leasebook.operators.shared import base_item_rows, named_partners, with_client
+from leasebook.sources.staging import stage
 
 # Notices, provenance and status texts, sort order.
 BAD_DATES = [
@@ -146,16 +147,17 @@ def finder_history(t: BillingTables, s: FinderSearch = FinderSearch(), by_versio
 
     The cost is that of the version. As first written (`by_version_cost=False`) it comes from
     `history_cost`, whose rows a version meets on PackageID alone, so that a version repeats
-    once per distinct cost of its package.
+    once per distinct cost of its package. Costs, and rows before they are sorted, are staged: the
+    shuffles of a step are gone before the next one begins.
     """
     header_log = with_client(_where_header(t.header_log, s), t.client, ["ClientName"], s.client_text, VERSION_KEY)
     if by_version_cost:
-        costs = version_cost(t.change_log, t.change_items, t.detail_log, t.header_log)
+        costs = stage(version_cost(t.change_log, t.change_items, t.detail_log, t.header_log))
         keys = ["PackageID", "ChangeID"]
     else:
         costs = history_cost(t.detail_log, t.header_log).select("PackageID", "TotalPackageCost").distinct()
         keys = ["PackageID"]
-    rows = _report(_history_rows(t, _versions(t, header_log), s, costs, keys), HISTORY_TEXT).distinct()
+    rows = stage(_report(_history_rows(t, _versions(t, header_log), s, costs, keys), HISTORY_TEXT).distinct())
     return rows.orderBy(*SORT_KEYS) if sort else rows
 
 
