@@ -1,11 +1,14 @@
 """Steps that are written leave no shuffle files behind."""
 
 import time
+from decimal import Decimal as D
 
 from leasebook.operators import costs, finder
 from leasebook.operators.finder import FinderSearch
+from leasebook.operators.log_state import state_from_logs
 from leasebook.sources.staging import stage
-from tests.frames import rows, tables
+from tests.frames import rows, same_lines, submission, tables
+from tests.test_save import soft_plan
 
 
 def shuffle_files(spark) -> set[str]:
@@ -46,3 +49,13 @@ def test_costs_and_history_are_written_before_they_are_sorted(spark):
     assert "Join" not in plan and plan.count("Exchange") == 1  # the sort's own
     everything = finder.finder_all(t, FinderSearch(history="yes", inactive="1"))
     assert len(rows(everything)) == len(rows(history)) + len(rows(finder.finder_current(t, FinderSearch(inactive="1"))))
+
+
+def test_a_batch_for_many_outputs_leaves_no_shuffles(spark):
+    before = shuffle_files(spark)
+    b = soft_plan(spark, [submission(1, 10), submission(2, 0)], same_lines() + [(2, 1, "base", D(1), 1, D(0), D(0))])
+    counts, log_rows = b.dry_run(), b.log_rows
+    assert not left_since(spark, before)
+    assert {r["Frame"]: r["RowCount"] for r in counts.collect()}["refused"] == 0
+    state = state_from_logs(log_rows)  # of the two packages of the batch
+    assert state.where("Part = 'header'").count() == 2
